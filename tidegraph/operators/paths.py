@@ -70,7 +70,9 @@ def relax(
         hubs = hubs if hub_count else None
     plain = edges if hubs is None else edges.join(F.broadcast(hubs), "src", "left_anti")
     plain = plain.repartition(width, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
-    hub_side = None if hubs is None else edges.join(F.broadcast(hubs), "src", "left_semi")
+    hub_side = None
+    if hubs is not None:
+        hub_side = edges.join(F.broadcast(hubs), "src", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
 
     def offers(values: DataFrame) -> DataFrame:
         fresh = values.where("fresh").select(F.col("id").alias("src"), "value")
@@ -107,6 +109,8 @@ def relax(
                 )
     finally:
         plain.unpersist()
+        if hub_side is not None:
+            hub_side.unpersist()
     return values.select("id", "value", "hops")
 
 
@@ -183,7 +187,15 @@ def fewest_hops(contacts: DataFrame, root: int, first: int, last: int, vertices:
     return _reached(found, "hops", "hops")
 
 
-def window_clock_arrival(edges: DataFrame, root: int, t1: int, t2: int, max_hops: int | None = MAX_HOPS) -> DataFrame:
-    """Clock arrival over edges started in ``[t1, t2)``, as the checkpoint after ``t2`` saw them."""
+def window_clock_arrival(
+    edges: DataFrame, root: int, t1: int, t2: int, max_hops: int | None = MAX_HOPS, vertices: DataFrame | None = None
+) -> DataFrame:
+    """Clock arrival over edges started in ``[t1, t2)``, as the checkpoint after ``t2`` saw them.
+
+    The window leaves no edge out of the vertex set, so the root counts as long
+    as any edge of the checkpoint touches it.
+    """
     seen = checkpoint_at(edges, covering_checkpoint(t2))
-    return clock_arrival(window_edges(seen, t1, t2), root, max_hops)
+    if vertices is None:
+        vertices = endpoints(seen.where((F.col("src") == root) | (F.col("dst") == root)))
+    return clock_arrival(window_edges(seen, t1, t2), root, max_hops, vertices)

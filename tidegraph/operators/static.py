@@ -169,7 +169,7 @@ def restore_then_fold(commands: DataFrame, read_base, snapshots: DataFrame) -> D
     )
     if load is None:
         return fold_bag(commands).select("src", "dst", "label")
-    tick = nearest_snapshot(snapshots, load["label"])
+    tick = nearest_snapshot(snapshots, load["label"]).first()["tick"]
     rest = commands.where(F.col("pos") > load["pos"]).select("pos", "op", "src", "dst", "label")
     if tick is None:
         return fold_bag(rest).select("src", "dst", "label")

@@ -29,11 +29,10 @@ def checkpoint_at(edges: DataFrame, tick: int) -> DataFrame:
 def checkpoints(edges: DataFrame, last_tick: int, every: int = CHECKPOINT_EVERY) -> DataFrame:
     """All checkpoints up to ``last_tick``, one copy of the history so far in each."""
     first = checkpoint_tick(F.col("start_tick"), every)
-    # sequence() counts down when its bounds are reversed, hence the filter.
-    return (
-        edges.where(first <= last_tick)
-        .withColumn("tick", F.explode(F.sequence(first, F.lit(last_tick).cast("long"), F.lit(every).cast("long"))))
-        .select("tick", "src", "dst", "start_tick", seen_at(F.col("tick")).alias("end_tick"))
+    ticks = F.sequence(first, F.lit(last_tick).cast("long"), F.lit(every).cast("long"))
+    # sequence() rejects reversed bounds, so edges after the last checkpoint skip it.
+    return edges.withColumn("tick", F.explode(F.when(first <= last_tick, ticks))).select(
+        "tick", "src", "dst", "start_tick", seen_at(F.col("tick")).alias("end_tick")
     )
 
 
@@ -42,12 +41,13 @@ def covering_checkpoint(tick: int, every: int = CHECKPOINT_EVERY) -> int:
     return -(-tick // every) * every
 
 
-def nearest_snapshot(snapshots: DataFrame, given: str) -> int | None:
-    """The tick of the snapshot nearest to ``yyyy-MM-dd HH:mm:ss``; the earlier wins a tie.
+def nearest_snapshot(snapshots: DataFrame, given: str) -> DataFrame:
+    """The row of ``(snapshot_ms, tick)`` nearest to ``yyyy-MM-dd HH:mm:ss``; the earlier wins a tie.
 
-    ``snapshots`` is ``(snapshot_ms, tick)``. One aggregate row is read back.
+    One aggregate over the list of snapshots, with no row per pair of times.
     """
     moment = datetime.strptime(given, "%Y-%m-%d %H:%M:%S").replace(tzinfo=timezone.utc)
     distance = F.abs(F.col("snapshot_ms") - F.lit(int(moment.timestamp() * 1000)))
-    row = snapshots.agg(F.min_by("tick", F.struct(distance, F.col("snapshot_ms"))).alias("tick")).first()
-    return row["tick"]
+    return snapshots.agg(
+        F.min_by(F.struct("snapshot_ms", "tick"), F.struct(distance, F.col("snapshot_ms"))).alias("best")
+    ).select("best.*")
