@@ -293,8 +293,9 @@ UNION ALL SELECT dst, 'edge', 0, line FROM text WHERE src <> dst
 UNION ALL SELECT id, 'activity', seq, 'a' || id || seq || ' = ' || activity FROM activity WHERE id IN (SELECT id FROM present)""",
     "bfs_hops": f"""WITH RECURSIVE {FOLD}, {_PAIRS}, {_WALK}
 SELECT v AS id, CAST(min(hop) AS BIGINT) AS hops FROM walk GROUP BY v""",
-    "bfs_incremental": f"""WITH RECURSIVE {FOLD}, {_PAIRS}, {_WALK.replace("walk AS", "first_walk AS").replace("FROM walk", "FROM first_walk").replace("JOIN pairs", "JOIN early")},
+    "bfs_incremental": f"""WITH RECURSIVE {FOLD}, {_PAIRS},
 early AS (SELECT DISTINCT src, dst FROM history WHERE start_tick <= 5),
+{_WALK.replace("walk AS", "first_walk AS").replace("FROM walk", "FROM first_walk").replace("JOIN pairs", "JOIN early")},
 before AS (SELECT v, min(hop) AS hops FROM first_walk GROUP BY v),
 {_WALK.replace("SELECT CAST(1 AS BIGINT) AS v, 0 AS hop", "SELECT v, 0 AS hop FROM before")}
 SELECT v AS id, CAST(least(min(b.hops), 2 + min(w.hop)) AS BIGINT) AS hops

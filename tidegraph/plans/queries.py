@@ -160,8 +160,8 @@ def restore_nearest(spark, sf_dir):
     snapshots.write_snapshots(taken, store)
     day = 24 * 3600 * 1000
     start = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
-    times = spark.read.parquet(store).select("tick").distinct().select(
-        (F.lit(start) + F.col("tick") * day).alias("snapshot_ms"), F.col("tick").cast("long").alias("tick")
+    times = snapshots.snapshot_ticks(spark, store).select(
+        (F.lit(start) + F.col("tick") * day).alias("snapshot_ms"), "tick"
     )
     # Just before the first command of day 21.
     load = log.where("tick > 20").agg((F.min("pos") - 1).alias("pos")).select(

@@ -31,6 +31,11 @@ def read_snapshot(spark: SparkSession, path: str, tick: int, labelled: bool = Fa
     return spark.read.schema(schema).parquet(path).where(F.col("tick") == tick).drop("tick")
 
 
+def snapshot_ticks(spark: SparkSession, path: str) -> DataFrame:
+    """The ticks in the store, from partition values alone."""
+    return spark.read.schema("tick long").parquet(path).distinct()
+
+
 def write_text_snapshot(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     """Vertices ``(id,attr)`` and edges ``Edge(src,dst,(start,end))`` or with a label."""
     attr = (
