@@ -14,13 +14,13 @@ from tidegraph.schema import OPEN
 Mode = Literal["last_wins", "remove_then_add"]
 
 
-def _later(*keys: str):
+def later(*keys: str):
     """Rows of the same key at strictly later ticks.
 
     Descending order makes this a growing frame, which Spark scans once; the
     same frame written as "following" would be rescanned for every row.
     """
-    return W.partitionBy(*keys).orderBy(F.desc("tick")).rowsBetween(W.unboundedPreceding, -1)
+    return W.partitionBy(*keys).orderBy(F.desc("tick")).rangeBetween(W.unboundedPreceding, -1)
 
 
 def _node_fates(opens: DataFrame, commands: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _node_fates(opens: DataFrame, commands: DataFrame) -> DataFrame:
         asked.unionByName(last_node_removal(commands))
         .groupBy("id", "tick")
         .agg(F.max("gone").alias("gone"))
-        .withColumn("next_gone", F.min(F.when(F.col("gone").isNotNull(), F.col("tick"))).over(_later("id")))
+        .withColumn("next_gone", F.min(F.when(F.col("gone").isNotNull(), F.col("tick"))).over(later("id")))
         .where("gone IS NOT NULL OR next_gone IS NOT NULL")
     )
 
@@ -49,15 +49,15 @@ def edge_intervals(commands: DataFrame, mode: Mode = "last_wins") -> DataFrame:
 
     Also folds a log made of compacted batches, and open edges of an earlier
     fold given as ``addEdge`` commands at their start ticks.
+
+    Opens meet the removals of their endpoints first and the closings of their
+    pair last: the final aggregation then finds the rows partitioned by pair.
     """
     ordered = mode == "last_wins"
-    closes = (F.col("removed") > F.col("added")) if ordered else (F.col("removed") >= 0)
-    opens = (
-        last_per_pair(commands)
-        .withColumn("next_close", F.min(F.when(closes, F.col("tick"))).over(_later("src", "dst")))
-        .where((F.col("added") > F.col("removed")) if ordered else (F.col("added") >= 0))
-        .select("tick", "src", "dst", "added", "next_close")
-    )
+    pairs = last_per_pair(commands)
+    closes = pairs.where((F.col("removed") > F.col("added")) if ordered else (F.col("removed") >= 0))
+    opens = pairs.where((F.col("added") > F.col("removed")) if ordered else (F.col("added") >= 0))
+    opens = opens.select("src", "dst", "tick", "added")
     fates = _node_fates(opens, commands)
     for end in ("src", "dst"):
         opens = opens.join(
@@ -69,11 +69,19 @@ def edge_intervals(commands: DataFrame, mode: Mode = "last_wins") -> DataFrame:
             "left",
         )
     if ordered:
-        gone = F.coalesce(F.greatest("src_gone", "dst_gone"), F.lit(-1))
-        opens = opens.where(F.col("added") > gone)
-    ended = F.coalesce(F.least("next_close", "src_next", "dst_next"), F.lit(OPEN))
+        opens = opens.where(F.col("added") > F.coalesce(F.greatest("src_gone", "dst_gone"), F.lit(-1)))
+    opened = opens.select(
+        "src", "dst", "tick", F.lit(True).alias("opened"), F.least("src_next", "dst_next").alias("node_close")
+    )
+    closed = closes.select(
+        "src", "dst", "tick", F.lit(False).alias("opened"), F.lit(None).cast("long").alias("node_close")
+    )
+    next_close = F.min(F.when(~F.col("opened"), F.col("tick"))).over(later("src", "dst"))
     return (
-        opens.withColumn("end_tick", ended)
+        opened.unionByName(closed)
+        .withColumn("next_close", next_close)
+        .where("opened")
+        .withColumn("end_tick", F.coalesce(F.least("next_close", "node_close"), F.lit(OPEN)))
         .groupBy("src", "dst", "end_tick")
         .agg(F.min("tick").alias("start_tick"))
         .select("src", "dst", "start_tick", "end_tick")

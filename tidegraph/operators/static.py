@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import last_pos
+from tidegraph.operators.intervals import later
+from tidegraph.operators.timetravel import nearest_snapshot
 
 
 def _node_removals(commands: DataFrame) -> DataFrame:
@@ -111,8 +113,6 @@ def labelled_lifetimes(commands: DataFrame) -> DataFrame:
     ``end_tick`` is NULL for an addition that is never removed. One addition
     removed in its own tick has ``end_tick = start_tick`` and is in no snapshot.
     """
-    from tidegraph.operators.intervals import _later
-
     def fates(keys: list[str], removals: DataFrame, asked: DataFrame, prefix: str) -> DataFrame:
         return (
             asked.select(*keys, "tick", F.lit(None).cast("long").alias("last"))
@@ -121,7 +121,7 @@ def labelled_lifetimes(commands: DataFrame) -> DataFrame:
             .agg(F.max("last").alias(f"{prefix}_last"))
             .withColumn(
                 f"{prefix}_next",
-                F.min(F.when(F.col(f"{prefix}_last").isNotNull(), F.col("tick"))).over(_later(*keys)),
+                F.min(F.when(F.col(f"{prefix}_last").isNotNull(), F.col("tick"))).over(later(*keys)),
             )
         )
 
@@ -160,8 +160,6 @@ def restore_then_fold(commands: DataFrame, read_base, snapshots: DataFrame) -> D
     that snapshot and the commands after it matter. ``read_base(tick)`` gives the
     labelled edges of a snapshot. The command itself is one row and is read back.
     """
-    from tidegraph.operators.timetravel import nearest_snapshot
-
     load = (
         commands.where(F.col("op") == "loadOld")
         .agg(F.max_by(F.struct("pos", "label"), "pos").alias("load"))
