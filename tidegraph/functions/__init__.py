@@ -4,9 +4,7 @@ from tidegraph.functions.columns import (
     contact_step,
     hop_step,
     last_pos,
-    long_token,
     seen_at,
-    token,
     triplet_text,
 )
 
@@ -16,8 +14,6 @@ __all__ = [
     "contact_step",
     "hop_step",
     "last_pos",
-    "long_token",
     "seen_at",
-    "token",
     "triplet_text",
 ]

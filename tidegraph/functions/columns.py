@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from tidegraph.schema import CHECKPOINT_EVERY, OPEN
 
-# Fixed value: how an id is written in a command.
+# Fixed value: how an id is written in a line of text.
 ID_PATTERN = r"^[+-]?[0-9]+$"
 
 
-def token(line: Column, index: int) -> Column:
-    """The ``index``-th (1-based) space-separated token, NULL past the end."""
-    return F.try_element_at(F.split(line, " "), F.lit(index))
-
-
-def long_token(line: Column, index: int) -> Column:
-    word = token(line, index)
-    return F.when(word.rlike(ID_PATTERN), word.try_cast("long"))
-
-
 def last_pos(condition: Column) -> Column:
     """Last log position at which ``condition`` holds in the group, -1 if never."""
     return F.coalesce(F.max(F.when(condition, F.col("pos"))), F.lit(-1).cast("long"))

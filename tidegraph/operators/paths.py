@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import clock_step, contact_step, hop_step
 from tidegraph.operators.graph import endpoints
 from tidegraph.operators.timetravel import checkpoint_at, covering_checkpoint, window_edges
-from tidegraph.runtime import cut_lineage, shuffle_width
+from tidegraph.runtime import cut_lineage, fixed_layout
 from tidegraph.schema import MAX_HOPS
 
 # Edges one partition should hold in a small graph, and at most in a large one.
@@ -83,7 +83,7 @@ def relax(
         return sent.where("offer IS NOT NULL").groupBy("id").agg(F.min("offer").alias("offer"))
 
     try:
-        with shuffle_width(spark, width):
+        with fixed_layout(spark, width):
             known = endpoints(edges) if vertices is None else (
                 vertices.select("id").unionByName(endpoints(edges)).distinct()
             )
@@ -93,7 +93,7 @@ def relax(
                 F.when(F.col("value").isNotNull(), F.lit(0).cast("long")).alias("hops"),
                 F.col("value").isNotNull().alias("fresh"),
             )
-            values, changed = _counted(start.repartition(width, "id"), F.col("fresh"))
+            values, changed = _counted(start, F.col("fresh"))
             hop = 0
             while changed and (max_hops is None or hop < max_hops):
                 hop += 1

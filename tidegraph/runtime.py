@@ -55,10 +55,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffle_width(spark: SparkSession, partitions: int) -> Iterator[None]:
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+def fixed_layout(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Plan with ``partitions`` shuffle partitions and no re-planning at run time.
+
+    For loops whose tables are laid out once: adaptive execution would merge
+    partitions that have to line up, and a checkpoint of an adaptive plan does
+    not remember how it is partitioned.
+    """
+    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegraph.functions import long_token, token
+from tidegraph.functions.columns import ID_PATTERN
 
 # The words of each dialect and the operation each stands for.
 LONG_WORDS = {
@@ -25,6 +25,18 @@ SHORT_WORDS = {
     "rmvN": "rmvNode",
     "earliest": "earliest",
 }
+# The layout of a command in each dialect; further words are ignored.
+LONG_FORM = (
+    r"^(?:(?:addEdge|rmvEdge) [+-]?[0-9]+ [^ ]+ [+-]?[0-9]+"
+    r"|(?:addNode|rmvNode) [+-]?[0-9]+"
+    r"|loadOld [0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})(?: |$)"
+)
+SHORT_FORM = (
+    r"^(?:(?:addE|delE) [+-]?[0-9]+ [+-]?[0-9]+ [^ ]"
+    r"|rmvE [+-]?[0-9]+ [+-]?[0-9]+(?: |$)"
+    r"|(?:addN|delN|rmvN) [+-]?[0-9]+(?: |$)"
+    r"|earliest(?: |$))"
+)
 # Fixed value: the format of a restore time.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -32,73 +44,73 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 FILE_STRIDE = 1 << 40
 
 
-def _op(line: Column, words: dict[str, str]) -> Column:
-    word = token(line, 1)
-    op = F.lit(None).cast("string")
-    for name, meaning in words.items():
-        op = F.when(word == name, meaning).otherwise(op)
-    return op
+def _valid(form: str) -> Column:
+    """Whether a line is a command, by its layout alone where that is enough.
 
-
-def _checked(lines: DataFrame, op: Column, src: Column, label: Column, dst: Column) -> DataFrame:
-    """Attach the parsed columns and say whether every needed token is there."""
-    edge = F.col("op").isin("addEdge", "rmvEdge")
-    node = F.col("op").isin("addNode", "rmvNode")
-    valid = (
-        (edge & F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("label").isNotNull())
-        | (node & F.col("src").isNotNull())
-        | ((F.col("op") == "loadOld") & F.try_to_timestamp("label", F.lit(TIME_FORMAT)).isNotNull())
-        | (F.col("op") == "earliest")
+    The test reads the raw line only, so Spark can filter before it splits.
+    Digits may still not fit an id and a date may not exist; both are looked at
+    more closely only where they can occur.
+    """
+    line = F.col("value")
+    ids = F.filter(F.slice(F.split(line, " "), 2, 3), lambda word: word.rlike(ID_PATTERN))
+    fits = ~line.rlike("[0-9]{19}") | F.forall(ids, lambda word: word.try_cast("long").isNotNull())
+    exists = ~line.startswith("loadOld") | F.try_to_timestamp(
+        F.substring(line, 9, 19), F.lit(TIME_FORMAT)
+    ).isNotNull()
+    return line.rlike(form) & fits & exists
+
+
+def _split(lines: DataFrame, words: dict[str, str]) -> DataFrame:
+    """The valid lines with their words and operation, each worked out once."""
+    names = F.create_map(*[F.lit(word) for pair in words.items() for word in pair])
+    return lines.select("tick", "pos", "value", F.split("value", " ").alias("words")).select(
+        "tick", "pos", "value", "words", F.try_element_at(names, F.col("words")[0]).alias("op")
     )
-    return lines.select(
-        "tick", "pos",
-        op.alias("op"), src.alias("src"), label.alias("label"), dst.alias("dst"),
-        F.col("value").alias("raw"),
-    ).withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
-def _long(lines: DataFrame) -> DataFrame:
-    line = F.col("value")
-    op = _op(line, LONG_WORDS)
-    edge = op.isin("addEdge", "rmvEdge")
-    return _checked(
-        lines,
-        op,
-        F.when(op != "loadOld", long_token(line, 2)),
-        F.when(edge, token(line, 3)).when(op == "loadOld", F.concat_ws(" ", token(line, 2), token(line, 3))),
-        F.when(edge, long_token(line, 4)),
-    )
+def _word(index: int) -> Column:
+    return F.try_element_at("words", F.lit(index))
 
 
-def _short(lines: DataFrame) -> DataFrame:
-    line = F.col("value")
-    op = _op(line, SHORT_WORDS)
-    edge = op.isin("addEdge", "rmvEdge")
-    # rmvE may come without a label; a node's name takes the label column.
-    return _checked(
-        lines,
-        op,
-        F.when(op != "earliest", long_token(line, 2)),
-        F.when(edge, F.coalesce(token(line, 4), F.when(token(line, 1) == "rmvE", F.lit(""))))
-        .when(op.isin("addNode", "rmvNode"), F.coalesce(token(line, 3), F.lit(""))),
-        F.when(edge, long_token(line, 3)),
+def _commands(split: DataFrame, src: Column, label: Column, dst: Column) -> DataFrame:
+    return split.select(
+        "tick", "pos", "op",
+        src.try_cast("long").alias("src"), label.alias("label"), dst.try_cast("long").alias("dst"),
+        F.col("value").alias("raw"),
     )
 
 
 def parse_commands(lines: DataFrame) -> DataFrame:
     """``addEdge src label dst`` and friends, from ``(tick, pos, value)``."""
-    return _long(lines).where("valid").drop("valid")
+    op = F.col("op")
+    edge = op.isin("addEdge", "rmvEdge")
+    return _commands(
+        _split(lines.where(_valid(LONG_FORM)), LONG_WORDS),
+        F.when(op != "loadOld", _word(2)),
+        F.when(edge, _word(3)).when(op == "loadOld", F.concat_ws(" ", _word(2), _word(3))),
+        F.when(edge, _word(4)),
+    )
 
 
 def parse_commands_short(lines: DataFrame) -> DataFrame:
-    """``addE src dst label`` and friends, normalised to the same columns."""
-    return _short(lines).where("valid").drop("valid")
+    """``addE src dst label`` and friends, normalised to the same columns.
+
+    A node's name takes the label column; a word that may be left out is ''.
+    """
+    op = F.col("op")
+    edge = op.isin("addEdge", "rmvEdge")
+    return _commands(
+        _split(lines.where(_valid(SHORT_FORM)), SHORT_WORDS),
+        F.when(op != "earliest", _word(2)),
+        F.when(op != "earliest", F.coalesce(F.when(edge, _word(4)).otherwise(_word(3)), F.lit(""))),
+        F.when(edge, _word(3)),
+    )
 
 
 def rejected_commands(lines: DataFrame, short: bool = False) -> DataFrame:
     """The lines no command can be read from; the rest of the log goes on."""
-    parsed = _short(lines) if short else _long(lines)
-    return parsed.where(~F.col("valid")).select("tick", "pos", "raw")
+    valid = _valid(SHORT_FORM if short else LONG_FORM)
+    return lines.where(~valid).select("tick", "pos", F.col("value").alias("raw"))
 
 
 def read_batch_directories(spark: SparkSession, root: str) -> DataFrame:

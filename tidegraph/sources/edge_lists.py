@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegraph.functions import long_token, token
+# Fixed value: the layout of an edge line; further words are ignored.
+EDGE_FORM = r"^[+-]?[0-9]+ [^ ]* [+-]?[0-9]+(?: |$)"
 
 
 def parse_edge_list(lines: DataFrame) -> DataFrame:
     """Any columns beside ``value`` are carried along; unreadable lines are left out."""
     carried = [c for c in lines.columns if c != "value"]
-    line = F.col("value")
-    return lines.select(
+    split = lines.where(F.col("value").rlike(EDGE_FORM)).select(*carried, F.split("value", " ").alias("words"))
+    return split.select(
         *carried,
-        long_token(line, 1).alias("src"),
-        long_token(line, 3).alias("dst"),
-        token(line, 2).alias("label"),
+        F.col("words")[0].try_cast("long").alias("src"),
+        F.col("words")[2].try_cast("long").alias("dst"),
+        F.col("words")[1].alias("label"),
     ).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
