@@ -18,9 +18,9 @@ cmd AS (
   FROM events)"""
 
 # The log without the commands that text lines replace by a restore command, in
-# batches of six days.
+# batches of ten days.
 COARSE = CMD.replace("cmd AS", "fine AS") + """,
-cmd AS (SELECT (tick - 1) // 6 + 1 AS tick, pos, op, src, label, dst FROM fine WHERE pos % 500 <> 9)"""
+cmd AS (SELECT (tick - 1) // 10 + 1 AS tick, pos, op, src, label, dst FROM fine WHERE pos % 500 <> 9)"""
 TEXT = CMD.replace("cmd AS", "fine AS") + """,
 cmd AS (SELECT * FROM fine WHERE pos % 500 <> 9)"""
 

@@ -115,11 +115,11 @@ def graph_status(spark, sf_dir):
 
 @query
 def stream_fold(spark, sf_dir):
-    """The log arrives as files, six days to a batch; each batch is one tick."""
+    """The log arrives as files, ten days to a batch; each batch is one tick."""
     landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
-    lines = inputs.long_lines(spark, sf_dir).select((F.expr("(tick - 1) div 6")).alias("batch"), "pos", "value")
+    lines = inputs.long_lines(spark, sf_dir).select((F.expr("(tick - 1) div 10")).alias("batch"), "pos", "value")
     fold = StreamingFold(spark, store, every=2)
-    for batch in range((LAST_TICK - 1) // 6 + 1):
+    for batch in range((LAST_TICK - 1) // 10 + 1):
         (
             lines.where(F.col("batch") == batch)
             .repartitionByRange("pos").sortWithinPartitions("pos")
