@@ -1,0 +1,161 @@
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tidegraph.operators import timetravel
+from tidegraph.schema import COMMANDS, OPEN
+from tidegraph.sources import commands as source
+from tidegraph.sources import edge_lists, snapshots
+
+LINES = "tick long, pos long, value string"
+
+
+def lines(spark, *values):
+    return spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], LINES)
+
+
+LONG = {
+    "addEdge 12 dasd 7": ("addEdge", 12, "dasd", 7),
+    "rmvEdge 12 dasd 7 more words": ("rmvEdge", 12, "dasd", 7),
+    "addNode 3": ("addNode", 3, None, None),
+    "rmvNode -3": ("rmvNode", -3, None, None),
+    "addNode 9223372036854775807": ("addNode", OPEN, None, None),
+    "loadOld 2015-11-20 10:00:00": ("loadOld", None, "2015-11-20 10:00:00", None),
+    "addEdge 1 rmvEdge 2": ("addEdge", 1, "rmvEdge", 2),
+}
+NOT_LONG = [
+    "bogus 1", "", "addEdge", "addEdge 1 a", "addEdge 1 2", "addEdge x a 2", "addNode", "addNode 3x", "addNode 1.5",
+    "addNode 9223372036854775808", "addEdge 1 a 99999999999999999999", "addnode 3", " addNode 3", "addNode  3",
+    "loadOld 2015-13-20 10:00:00", "loadOld yesterday", "addN 1 Jok",
+]
+SHORT = {
+    "addN 1 Jok": ("addNode", 1, "Jok", None),
+    "delN 1 Jok": ("rmvNode", 1, "Jok", None),
+    "rmvN 1": ("rmvNode", 1, "", None),
+    "addE 1 2 3": ("addEdge", 1, "3", 2),
+    "delE 1 2 3": ("rmvEdge", 1, "3", 2),
+    "rmvE 1 2": ("rmvEdge", 1, "", 2),
+    "rmvE 1 2 friend": ("rmvEdge", 1, "friend", 2),
+    "earliest": ("earliest", None, None, None),
+}
+NOT_SHORT = ["addE 1 2", "delE 1 2", "addE 1 x 3", "addNode 3", "earliestx", "addN Jok", "rmvE 1"]
+
+
+@pytest.mark.parametrize(
+    "parse,good,bad,short",
+    [(source.parse_commands, LONG, NOT_LONG, False), (source.parse_commands_short, SHORT, NOT_SHORT, True)],
+)
+def test_dialects(spark, parse, good, bad, short):
+    log = lines(spark, *good, *bad)
+    parsed = parse(log)
+    assert [(f.name, f.dataType) for f in parsed.schema] == [(f.name, f.dataType) for f in COMMANDS]
+    found = {r["raw"]: (r["op"], r["src"], r["label"], r["dst"]) for r in parsed.collect()}
+    assert found == good
+    assert sorted(r["raw"] for r in source.rejected_commands(log, short).collect()) == sorted(bad)
+
+
+def test_batch_directories_keep_log_order(spark, tmp_path):
+    root = str(tmp_path / "in")
+    log = spark.range(2000).select(
+        (F.col("id") % 3 + 1).alias("tick"), F.col("id").alias("pos"),
+        F.concat(F.lit("addNode "), F.col("id").cast("string")).alias("value"),
+    )
+    source.write_batch_directories(log.repartition(5), root)
+    back = source.parse_commands(source.read_batch_directories(spark, root)).collect()
+    assert len(back) == 2000
+    for tick in (1, 2, 3):
+        order = [r["src"] for r in sorted(back, key=lambda r: r["pos"]) if r["tick"] == tick]
+        assert order == list(range(tick - 1, 2000, 3))
+
+
+def test_batch_directories_split_files(spark, tmp_path):
+    """Positions follow the file even where several tasks read it."""
+    batch = tmp_path / "in" / "4"
+    batch.mkdir(parents=True)
+    (batch / "b.txt").write_text("".join(f"addNode {i}\n" for i in range(500, 900)))
+    (batch / "a.txt").write_text("".join(f"addNode {i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        found = source.read_batch_directories(spark, str(tmp_path / "in"))
+        assert found.rdd.getNumPartitions() > 2
+        back = source.parse_commands(found).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["tick"] for r in back} == {5}
+    assert len({r["pos"] for r in back}) == 900
+    assert [r["src"] for r in sorted(back, key=lambda r: r["pos"])] == list(range(900))
+
+
+def test_edge_list(spark, tmp_path):
+    path = tmp_path / "edge.txt"
+    path.write_text("1 Prop12 2\n2 Prop24 4\n6 Prop65 71 2\nnot an edge\n5\n")
+    assert rows(edge_lists.read_edge_list(spark, str(path))) == [(1, 2, "Prop12"), (2, 4, "Prop24"), (6, 71, "Prop65")]
+
+
+def test_append_counts_from_a_base_graph(spark):
+    base = spark.createDataFrame([(3, 7, "collab"), (5, 3, "advisor")], "src long, dst long, label string")
+    arrivals = spark.createDataFrame(
+        [(1, 3, 7, "collab"), (1, 3, 8, "x"), (4, 8, 9, "y")], "tick long, src long, dst long, label string"
+    )
+    assert rows(edge_lists.append_status(arrivals, base)) == [(1, 4, 4), (4, 5, 5)]
+    assert rows(edge_lists.append_status(arrivals)) == [(1, 2, 3), (4, 3, 4)]
+
+
+@pytest.fixture
+def history(spark):
+    return spark.createDataFrame(
+        [(1, 3, 4, 8), (1, 2, 1, OPEN), (2, 3, 6, 7), (5, 6, 12, OPEN)],
+        "src long, dst long, start_tick long, end_tick long",
+    )
+
+
+def test_checkpoints(history):
+    found = rows(timetravel.checkpoints(history, 11))
+    assert found == [
+        (5, 1, 2, 1, OPEN), (5, 1, 3, 4, OPEN),
+        (10, 1, 2, 1, OPEN), (10, 1, 3, 4, 8), (10, 2, 3, 6, 7),
+    ]
+    for tick in (5, 10):
+        assert rows(timetravel.checkpoint_at(history, tick)) == [r[1:] for r in found if r[0] == tick]
+
+
+@pytest.mark.parametrize("tick,expected", [(1, 5), (5, 5), (6, 10), (10, 10)])
+def test_covering_checkpoint(tick, expected):
+    assert timetravel.covering_checkpoint(tick) == expected
+
+
+def test_as_of_and_window(history):
+    assert rows(timetravel.graph_as_of(history, 7).select("src", "dst")) == [(1, 2), (1, 3)]
+    assert rows(timetravel.window_edges(history, 4, 6).select("src", "dst")) == [(1, 3)]
+
+
+def test_snapshot_store_prunes(spark, tmp_path, history):
+    path = str(tmp_path / "store")
+    snapshots.write_snapshots(timetravel.checkpoints(history, 11), path)
+    back = snapshots.read_snapshot(spark, path, 10)
+    assert rows(back) == rows(timetravel.checkpoint_at(history, 10))
+    assert "PartitionFilters: [isnotnull(tick" in back._jdf.queryExecution().executedPlan().toString()
+    assert rows(snapshots.snapshot_ticks(spark, path)) == [(5,), (10,)]
+
+
+def test_text_layout(spark, tmp_path, history):
+    path = str(tmp_path / "text")
+    people = spark.createDataFrame([(1, 1), (2, 0)], "id long, attr int")
+    snapshots.write_text_snapshot(people, history, path)
+    written = {r[0] for r in spark.read.text(f"{path}/edges").collect()}
+    assert "Edge(1,3,(4,8))" in written
+    assert rows(snapshots.read_text_intervals(spark, path)) == rows(history)
+    # The stored attribute is not kept.
+    assert rows(snapshots.read_text_vertices(spark, path)) == [(1, 0), (2, 0)]
+    labelled = str(tmp_path / "labelled")
+    edges = spark.createDataFrame([(1, 2, "a"), (1, 2, "b,c")], "src long, dst long, label string")
+    snapshots.write_text_snapshot(people, edges, labelled)
+    assert rows(snapshots.read_text_labelled(spark, labelled)) == rows(edges)
+    assert rows(snapshots.read_text_vertices(spark, labelled, 1)) == [(1, 1), (2, 1)]
+
+
+def test_nearest_snapshot(spark):
+    times = spark.createDataFrame([(1448013600000, 1), (1448017200000, 2)], "snapshot_ms long, tick long")
+    assert timetravel.nearest_snapshot(times, "2015-11-20 10:31:00").first()["tick"] == 2
+    assert timetravel.nearest_snapshot(times, "2015-11-20 10:30:00").first()["tick"] == 1
+    assert timetravel.nearest_snapshot(times, "2001-01-01 00:00:00").first()["tick"] == 1

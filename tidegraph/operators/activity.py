@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import triplet_text
 from tidegraph.operators.graph import incident_triplets
+from tidegraph.operators.lookup import lookup
 
 CHUNK_ROWS = 1 << 20
 
@@ -41,10 +42,9 @@ def activity_log(commands: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame
     resets = (
         commands.where(F.col("op") == "addNode").groupBy("src").agg(F.max("pos").alias("reset"))
     )
+    adds = commands.where(F.col("op") == "addEdge").select("pos", "src", "dst", "label")
     kept = (
-        commands.where(F.col("op") == "addEdge")
-        .select("pos", "src", "dst", "label")
-        .join(resets, "src", "left")
+        lookup(adds, resets, ["src"])
         .where(F.col("pos") > F.coalesce("reset", F.lit(-1)))
         .drop("reset")
     )
@@ -72,5 +72,5 @@ def vertex_dossier(vertices: DataFrame, triplet_rows: DataFrame, activities: Dat
     return (
         lines(vertices, "vertex", F.lit(0), vertex)
         .unionByName(lines(incident_triplets(triplet_rows), "edge", F.lit(0), edge))
-        .unionByName(lines(activities.join(vertices.select("id"), "id", "left_semi"), "activity", F.col("seq"), activity))
+        .unionByName(lines(lookup(activities, vertices.select("id"), ["id"], "left_semi"), "activity", F.col("seq"), activity))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import last_pos
+from tidegraph.operators.lookup import lookup
 
 # Place of each operation in a compacted batch: removals come before additions.
 CANONICAL_POS = {"rmvNode": 0, "rmvEdge": 1, "addEdge": 2, "addNode": 3}
@@ -48,11 +49,13 @@ def compact_batches(commands: DataFrame) -> DataFrame:
     """
     gone = last_node_removal(commands)
     absent = F.lit(-1).cast("long")
+    pairs = last_per_pair(commands)
+    for end in ("src", "dst"):
+        pairs = lookup(
+            pairs, gone.select("tick", F.col("id").alias(end), F.col("gone").alias(f"{end}_gone")), ["tick", end]
+        )
     pairs = (
-        last_per_pair(commands)
-        .join(gone.select("tick", F.col("id").alias("src"), F.col("gone").alias("src_gone")), ["tick", "src"], "left")
-        .join(gone.select("tick", F.col("id").alias("dst"), F.col("gone").alias("dst_gone")), ["tick", "dst"], "left")
-        .na.fill(-1, ["src_gone", "dst_gone"])
+        pairs.na.fill(-1, ["src_gone", "dst_gone"])
         .withColumn("open", F.col("added") > F.greatest("removed", "src_gone", "dst_gone"))
         .withColumn("close", F.col("removed") > F.greatest("added", "src_gone", "dst_gone"))
     )

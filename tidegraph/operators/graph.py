@@ -1,7 +1,7 @@
 """Operators on a graph held as ``vertices(id, attr)`` and ``edges(src, dst, ...)``.
 
-A join here meets edges with at most one row per vertex or pair, so a hub's edges
-all look up the same row and adaptive execution may split them over tasks.
+A join here meets edges with at most one row per vertex or pair. A hub's edges all
+look up the same row and may be split over tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.operators.lookup import lookup
+
 
 def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     return edges.unionByName(more).distinct()
@@ -21,15 +23,20 @@ def add_nodes(vertices: DataFrame, more: DataFrame) -> DataFrame:
 
 def remove_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Drop every edge between the given ``(src, dst)`` pairs."""
-    return edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti")
+    return lookup(edges, pairs.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select(edges.columns)
 
 
 def remove_nodes(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop the given ``(id)`` vertices and every edge that touches one."""
-    left = vertices.join(ids.select("id"), "id", "left_anti")
+    ids = ids.select("id").distinct()
+    return vertices.join(ids, "id", "left_anti"), _by_endpoints(edges, ids, "left_anti")
+
+
+def _by_endpoints(edges: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    kept = edges
     for end in ("src", "dst"):
-        edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_anti")
-    return left, edges
+        kept = lookup(kept, ids.select(F.col("id").alias(end)), [end], how)
+    return kept.select(edges.columns)
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -85,9 +92,7 @@ def triplets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the attributes of both endpoints; other edge columns are kept."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
     for end in ("src", "dst"):
-        edges = edges.join(
-            vertices.select(F.col("id").alias(end), F.col("attr").alias(f"{end}_attr")), end, "left"
-        )
+        edges = lookup(edges, vertices.select(F.col("id").alias(end), F.col("attr").alias(f"{end}_attr")), [end])
     return edges.select("src", "src_attr", "dst", "dst_attr", *rest)
 
 
@@ -113,9 +118,7 @@ def subgraph_edges(triplet_rows: DataFrame, predicate: Column) -> DataFrame:
 def subgraph_vertices(vertices: DataFrame, edges: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
     """Vertices that satisfy ``predicate``, and the edges between them."""
     kept = vertices.where(predicate)
-    for end in ("src", "dst"):
-        edges = edges.join(kept.select(F.col("id").alias(end)), end, "left_semi")
-    return kept, edges
+    return kept, _by_endpoints(edges, kept.select("id"), "left_semi")
 
 
 def outer_join_vertices(vertices: DataFrame, values: DataFrame, default: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.operators.compact import compact_batches, last_node_removal, last_per_pair
+from tidegraph.operators.lookup import lookup
 from tidegraph.schema import OPEN
 
 Mode = Literal["last_wins", "remove_then_add"]
@@ -29,9 +30,9 @@ def _node_fates(opens: DataFrame, commands: DataFrame) -> DataFrame:
     Both inputs are reduced to one row per node and tick before the window, so
     even a hub brings at most one row per tick.
     """
-    asked = opens.select(F.explode(F.array("src", "dst")).alias("id"), "tick", F.lit(None).cast("long").alias("gone"))
+    asked = opens.select(F.explode(F.array("src", "dst")).alias("id"), "tick")
     return (
-        asked.unionByName(last_node_removal(commands))
+        asked.unionByName(last_node_removal(commands), allowMissingColumns=True)
         .groupBy("id", "tick")
         .agg(F.max("gone").alias("gone"))
         .withColumn("next_gone", F.min(F.when(F.col("gone").isNotNull(), F.col("tick"))).over(later("id")))
@@ -60,13 +61,13 @@ def edge_intervals(commands: DataFrame, mode: Mode = "last_wins") -> DataFrame:
     opens = opens.select("src", "dst", "tick", "added")
     fates = _node_fates(opens, commands)
     for end in ("src", "dst"):
-        opens = opens.join(
+        opens = lookup(
+            opens,
             fates.select(
                 F.col("id").alias(end), "tick", F.col("gone").alias(f"{end}_gone"),
                 F.col("next_gone").alias(f"{end}_next"),
             ),
             [end, "tick"],
-            "left",
         )
     if ordered:
         opens = opens.where(F.col("added") > F.coalesce(F.greatest("src_gone", "dst_gone"), F.lit(-1)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import last_pos
 from tidegraph.operators.intervals import later
+from tidegraph.operators.lookup import lookup
 from tidegraph.operators.timetravel import nearest_snapshot
 
 
@@ -25,7 +26,7 @@ def _node_removals(commands: DataFrame) -> DataFrame:
 def _with_endpoint_removals(pairs: DataFrame, commands: DataFrame) -> DataFrame:
     gone = _node_removals(commands)
     for end in ("src", "dst"):
-        pairs = pairs.join(gone.select(F.col("id").alias(end), F.col("gone").alias(f"{end}_gone")), end, "left")
+        pairs = lookup(pairs, gone.select(F.col("id").alias(end), F.col("gone").alias(f"{end}_gone")), [end])
     return pairs
 
 
@@ -36,25 +37,18 @@ def fold_bag(commands: DataFrame) -> DataFrame:
     edge. Only then do the additions meet it, one lookup row per edge, so a
     popular edge can be split over tasks.
     """
+    keys = ["src", "dst", "label"]
     edges = commands.where(F.col("op").isin("addEdge", "rmvEdge"))
+    adding = F.col("op") == "addEdge"
+    each = edges.groupBy(*keys).agg(last_pos(adding).alias("added"), last_pos(~adding).alias("removed"))
     cut = (
-        _with_endpoint_removals(
-            edges.groupBy("src", "dst", "label").agg(
-                last_pos(F.col("op") == "addEdge").alias("added"),
-                last_pos(F.col("op") == "rmvEdge").alias("removed"),
-            ),
-            commands,
-        )
+        _with_endpoint_removals(each, commands)
         .withColumn("cut", F.greatest("removed", "src_gone", "dst_gone"))
         .where(F.col("added") > F.col("cut"))
-        .select("src", "dst", "label", "cut")
-    )
-    return (
-        edges.where(F.col("op") == "addEdge")
-        .join(cut, ["src", "dst", "label"])
-        .where(F.col("pos") > F.col("cut"))
-        .select("pos", "src", "dst", "label")
+        .select(*keys, "cut")
     )
+    adds = edges.where(adding).select("pos", *keys)
+    return lookup(adds, cut, keys, "inner").where(F.col("pos") > F.col("cut")).select("pos", *keys)
 
 
 def fold_set(commands: DataFrame) -> DataFrame:
@@ -67,7 +61,7 @@ def fold_set(commands: DataFrame) -> DataFrame:
     )
     cut = F.coalesce(F.greatest("removed", "src_gone", "dst_gone"), F.lit(-1))
     return (
-        _with_endpoint_removals(added.join(removed, ["src", "dst"], "left"), commands)
+        _with_endpoint_removals(lookup(added, removed, ["src", "dst"]), commands)
         .where(F.col("added") > cut)
         .select("src", "dst", "label")
     )
@@ -133,20 +127,20 @@ def labelled_lifetimes(commands: DataFrame) -> DataFrame:
     ends = fates(edge, removed, adds, "edge")
     nodes = fates(["id"], gone, distinct_adds.select("tick", F.explode(F.array("src", "dst")).alias("id")), "node")
     for end in ("src", "dst"):
-        ends = ends.join(
+        ends = lookup(
+            ends,
             nodes.select(
                 F.col("id").alias(end), "tick", F.col("node_last").alias(f"{end}_last"),
                 F.col("node_next").alias(f"{end}_next"),
             ),
             [end, "tick"],
-            "left",
         )
     ends = ends.select(
         *edge, "tick",
         F.greatest("edge_last", "src_last", "dst_last").alias("last"),
         F.least("edge_next", "src_next", "dst_next").alias("next"),
     )
-    return adds.join(ends, [*edge, "tick"], "left").select(
+    return lookup(adds, ends, [*edge, "tick"]).select(
         *edge,
         F.col("tick").alias("start_tick"),
         F.when(F.col("last") > F.col("pos"), F.col("tick")).otherwise(F.col("next")).alias("end_tick"),
