@@ -117,13 +117,13 @@ def test_window_reads_the_covering_checkpoint(spark):
 def test_tables_stay_in_place_between_rounds(spark, monkeypatch):
     """A round shuffles the offers and nothing else, even with no broadcast."""
     plans = []
-    counted = paths._counted
+    counted = paths.cut_and_count
 
-    def keep_plan(df, condition):
+    def keep_plan(df, condition=None):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return counted(df, condition)
 
-    monkeypatch.setattr(paths, "_counted", keep_plan)
+    monkeypatch.setattr(paths, "cut_and_count", keep_plan)
     monkeypatch.setattr(paths, "FEW_EDGES", 30)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

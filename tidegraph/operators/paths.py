@@ -7,13 +7,13 @@ round come back to the driver.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import clock_step, contact_step, hop_step
 from tidegraph.operators.graph import endpoints
 from tidegraph.operators.timetravel import checkpoint_at, covering_checkpoint, window_edges
-from tidegraph.runtime import cut_lineage, fixed_layout
+from tidegraph.runtime import cut_and_count, cut_lineage, fixed_layout
 from tidegraph.schema import MAX_HOPS
 
 # Edges one partition should hold in a small graph, and at most in a large one.
@@ -26,13 +26,6 @@ def _partitions(edge_count: int, configured: int) -> int:
     return max(1, min(-(-edge_count // FEW_EDGES), max(configured, -(-edge_count // HUB_EDGES))))
 
 
-def _counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
-    """Cut the lineage of ``df`` and count the rows that satisfy ``condition`` on the way."""
-    seen = Observation()
-    kept = cut_lineage(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
-    return kept, seen.get["n"]
-
-
 def relax(
     edges: DataFrame,
     sources: DataFrame,
@@ -54,25 +47,25 @@ def relax(
     has one row per vertex, partitioned by id, and keeps that partitioning from
     round to round, so a round shuffles only offers, after taking their minimum
     per task. Vertices with more than ``hub_edges`` out-edges are set apart:
-    their edges stay spread as they were, and their few values are broadcast.
+    their edges are spread over all partitions and their few values broadcast.
     """
     spark = edges.sparkSession
-    edges, edge_count = _counted(edges, F.lit(True))
+    edges, edge_count = cut_and_count(edges)
     width = _partitions(edge_count, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     hubs = None
     if edge_count > hub_edges:
         # At most edge_count / hub_edges rows, whatever the graph looks like.
-        hubs, hub_count = _counted(
-            edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub_edges).select("src"),
-            F.lit(True),
+        hubs, hub_count = cut_and_count(
+            edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub_edges).select("src")
         )
         hubs = hubs if hub_count else None
     plain = edges if hubs is None else edges.join(F.broadcast(hubs), "src", "left_anti")
     plain = plain.repartition(width, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
     hub_side = None
     if hubs is not None:
-        hub_side = edges.join(F.broadcast(hubs), "src", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        hub_side = edges.join(F.broadcast(hubs), "src", "left_semi").repartition(width, "src", "dst")
+        hub_side = hub_side.persist(StorageLevel.MEMORY_AND_DISK)
 
     def offers(values: DataFrame) -> DataFrame:
         fresh = values.where("fresh").select(F.col("id").alias("src"), "value")
@@ -93,12 +86,12 @@ def relax(
                 F.when(F.col("value").isNotNull(), F.lit(0).cast("long")).alias("hops"),
                 F.col("value").isNotNull().alias("fresh"),
             )
-            values, changed = _counted(start, F.col("fresh"))
+            values, changed = cut_and_count(start, F.col("fresh"))
             hop = 0
             while changed and (max_hops is None or hop < max_hops):
                 hop += 1
                 better = F.col("offer").isNotNull() & (F.col("value").isNull() | (F.col("offer") < F.col("value")))
-                values, changed = _counted(
+                values, changed = cut_and_count(
                     values.join(offers(values), "id", "left").select(
                         "id",
                         F.least("value", "offer").alias("value"),

@@ -7,7 +7,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from tidegraph.operators.lookup import lookup
+
+# Most rows a broadcast may have; a file list of that length takes some 50 MB.
+SMALL_ROWS = 1 << 18
 
 
 def local_session(name: str = "tidegraph", cores: str = "*", **conf: str) -> SparkSession:
@@ -19,6 +25,8 @@ def local_session(name: str = "tidegraph", cores: str = "*", **conf: str) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Tables of finished rounds are deleted once nothing refers to them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -54,6 +62,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_count(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut_lineage``, counting on the way the rows that satisfy ``condition``."""
+    seen = Observation()
+    counted = F.count(F.lit(1) if condition is None else F.when(condition, 1))
+    kept = cut_lineage(df.observe(seen, counted.alias("n")))
+    return kept, seen.get["n"]
+
+
+def join_small(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table of one row per key that is small as a rule, such as a file list.
+
+    It is written and counted first, and broadcast only if it is small indeed.
+    """
+    table, rows = cut_and_count(table)
+    if rows <= SMALL_ROWS:
+        return facts.join(F.broadcast(table), key)
+    return lookup(facts, table, [key], "inner")
+
+
 @contextmanager
 def fixed_layout(spark: SparkSession, partitions: int) -> Iterator[None]:
     """Plan with ``partitions`` shuffle partitions and no re-planning at run time.

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.functions.columns import ID_PATTERN
+from tidegraph.runtime import join_small
 
 # The words of each dialect and the operation each stands for.
 LONG_WORDS = {
@@ -143,7 +144,7 @@ def read_batch_directories(spark: SparkSession, root: str) -> DataFrame:
             ).alias("offset"),
         )
     )
-    return lines.join(files, "file").select(
+    return join_small(lines, files, "file").select(
         (F.col("batch") + 1).alias("tick"),
         ((F.col("rank") - 1) * FILE_STRIDE + F.col("offset")).alias("pos"),
         "value",

@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidegraph.operators.compact import CANONICAL_POS, compact_batches
 from tidegraph.operators.intervals import Mode, as_commands, edge_intervals, graph_status, vertex_fold
+from tidegraph.runtime import join_small
 from tidegraph.schema import CHECKPOINT_EVERY, EDGES, OPEN, VERTICES
 from tidegraph.sources.commands import FILE_STRIDE, parse_commands
 
@@ -49,10 +50,8 @@ def _positions(batch: DataFrame) -> DataFrame:
         .withColumn("rank", F.row_number().over(W.orderBy("file")).cast("long"))
     )
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        batch.withColumn("offset", F.col("block") + row)
-        .join(files, "file")
-        .select(((F.col("rank") - 1) * FILE_STRIDE + F.col("offset")).alias("pos"), "value")
+    return join_small(batch.withColumn("offset", F.col("block") + row), files, "file").select(
+        ((F.col("rank") - 1) * FILE_STRIDE + F.col("offset")).alias("pos"), "value"
     )
 
 
