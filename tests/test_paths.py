@@ -25,7 +25,7 @@ def random_intervals(rng, vertices, count):
     return found
 
 
-@pytest.fixture(scope="module", params=[1, 2, 3])
+@pytest.fixture(scope="module", params=[1, 2])
 def intervals(request, spark):
     edges = random_intervals(random.Random(request.param), 40, 90)
     return edges, spark.createDataFrame(edges, "src long, dst long, start_tick long, end_tick long")
@@ -54,7 +54,7 @@ def test_bfs(intervals):
     assert rows(paths.bfs_hops(frame, 1)) == sorted((v, x) for v, x in best.items() if v in in_graph)
 
 
-@pytest.mark.parametrize("iteration", [0, 2, 5])
+@pytest.mark.parametrize("iteration", [0, 2])
 def test_incremental_bfs(spark, intervals, iteration):
     edges, frame = intervals
     in_graph = {v for e in edges for v in e[:2]}
@@ -65,7 +65,7 @@ def test_incremental_bfs(spark, intervals, iteration):
     assert rows(paths.bfs_incremental(frame, before, 1, iteration)) == expected
 
 
-@pytest.mark.parametrize("seed", [4, 5, 6])
+@pytest.mark.parametrize("seed", [4, 5])
 def test_contacts(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(30), rng.randrange(30), rng.randint(1, 30)) for _ in range(150)]
