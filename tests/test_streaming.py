@@ -1,11 +1,12 @@
 import random
 
 import pytest
-from bruteforce import fold, random_log
+from bruteforce import fold, random_log, run_in_order
 from conftest import rows
 
 from tidegraph.sources.commands import parse_commands_short
 from tidegraph.streaming.fold import StreamingFold, command_stream
+from tidegraph.streaming.sequential import SequentialFold
 
 
 def text(log):
@@ -25,16 +26,16 @@ def land(folder, tick, log, files=1):
 
 def run(spark, store, landing, mode="last_wins", every=2):
     """A new process each time: nothing is left but the store."""
-    stream = StreamingFold(spark, str(store), mode, every)
+    stream = StreamingFold(spark, str(store), mode, every=every)
     stream.start(command_stream(spark, str(landing)), availableNow=True).awaitTermination()
     return stream
 
 
 @pytest.mark.parametrize("mode", ["last_wins", "remove_then_add"])
 def test_matches_the_fold_by_hand_after_every_batch(spark, tmp_path, mode):
-    log = random_log(random.Random(3), 5, 120, range(8))
+    log = random_log(random.Random(3), 3, 80, range(8))
     landing, store = tmp_path / "in", tmp_path / "store"
-    for tick in range(1, 6):
+    for tick in range(1, 4):
         land(landing, tick, [c for c in log if c[0] == tick], files=3)
         stream = run(spark, store, landing, mode)
         edges, vertices = fold([c for c in log if c[0] <= tick], mode)
@@ -58,19 +59,19 @@ def test_a_batch_without_lines_is_no_tick(spark, tmp_path):
 
 
 def test_replaying_a_batch_changes_nothing(spark, tmp_path):
-    log = random_log(random.Random(5), 4, 100, range(8))
+    log = random_log(random.Random(5), 3, 80, range(8))
     stream = StreamingFold(spark, str(tmp_path / "store"), every=2)
 
     def batch(tick):
         lines = [(v, "f", 0) for v in text([c for c in log if c[0] == tick])]
         return spark.createDataFrame(lines, "value string, file string, block long").coalesce(1)
 
-    for tick in range(1, 5):
+    for tick in range(1, 4):
         stream.apply(batch(tick), tick + 10)
         # The same batch again, from a process that knows nothing.
         stream = StreamingFold(spark, str(tmp_path / "store"), every=2)
         stream.apply(batch(tick), tick + 10)
-    assert stream.tick() == 4
+    assert stream.tick() == 3
     assert rows(stream.edges()) == fold(log, "last_wins")[0]
 
 
@@ -82,3 +83,56 @@ def test_other_dialect(spark, tmp_path):
     stream.start(command_stream(spark, str(landing)), availableNow=True).awaitTermination()
     assert [r[:3] for r in rows(stream.edges())] == [(1, 2, 1)]
     assert rows(stream.vertices()) == [(1, 0, 1), (2, 0, 1), (3, 1, 1)]
+
+
+class Clock:
+    """A day passes between batches."""
+
+    def __init__(self):
+        self.now = 1448013600  # 2015-11-20 10:00:00 UTC
+
+    def __call__(self):
+        self.now += 86400
+        return self.now
+
+
+def batch_of(spark, lines):
+    return spark.createDataFrame([(v, "f", 0) for v in lines], "value string, file string, block long").coalesce(1)
+
+
+@pytest.mark.parametrize("keep", ["bag", "set"])
+def test_sequential_fold_batch_by_batch(spark, tmp_path, keep):
+    log = random_log(random.Random(8), 3, 90, range(6))
+    stream = SequentialFold(spark, str(tmp_path / "store"), keep, every=2)
+    for tick in range(1, 4):
+        lines = list(text([c for c in log if c[0] == tick]))
+        stream.apply(batch_of(spark, lines), tick)
+        stream = SequentialFold(spark, str(tmp_path / "store"), keep, every=2)
+        if tick == 2:
+            stream.apply(batch_of(spark, lines), tick)
+        edges, vertices = run_in_order([c for c in log if c[0] <= tick], keep == "bag")
+        assert rows(stream.edges()) == edges
+        assert rows(stream.vertices().select("id")) == [(v,) for v in vertices]
+
+
+def test_sequential_fold_restores_a_snapshot(spark, tmp_path):
+    stream = SequentialFold(spark, str(tmp_path / "store"), every=1, clock=Clock())
+    stream.apply(batch_of(spark, ["addEdge 1 a 2"]), 1)  # 2015-11-21
+    stream.apply(batch_of(spark, ["addEdge 2 b 3"]), 2)  # 2015-11-22
+    stream.apply(batch_of(spark, ["rmvNode 1", "addEdge 3 c 4"]), 3)  # 2015-11-23
+    assert rows(stream.edges()) == [(2, 3, "b"), (3, 4, "c")]
+    stream.apply(batch_of(spark, ["addEdge 7 x 8", "loadOld 2015-11-21 11:00:00", "addEdge 5 d 6"]), 4)
+    assert rows(stream.edges()) == [(1, 2, "a"), (5, 6, "d")]
+    assert rows(stream.vertices().select("id")) == [(1,), (2,), (5,), (6,)]
+    stream.apply(batch_of(spark, ["rmvEdge 1 a 2"]), 5)
+    assert rows(stream.edges()) == [(5, 6, "d")]
+
+
+def test_names_last_over_batches(spark, tmp_path):
+    stream = SequentialFold(
+        spark, str(tmp_path / "store"), "set", "John Doe", every=2, parse=parse_commands_short
+    )
+    stream.apply(batch_of(spark, ["addN 1 Jok", "addE 1 2 x", "addN 3 Gone"]), 1)
+    stream.apply(batch_of(spark, ["addE 3 1 y", "delN 3 Gone"]), 2)
+    stream.apply(batch_of(spark, ["addE 1 3 z", "addN 2 Jas"]), 3)
+    assert rows(stream.vertices()) == [(1, "Jok"), (2, "Jas"), (3, "John Doe")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import last_pos
@@ -12,6 +12,14 @@ from tidegraph.operators.lookup import lookup
 CANONICAL_POS = {"rmvNode": 0, "rmvEdge": 1, "addEdge": 2, "addNode": 3}
 
 
+def canonical_pos() -> Column:
+    """The place of the row's operation, NULL for one that is none of the four."""
+    place = F.lit(None).cast("long")
+    for op, pos in CANONICAL_POS.items():
+        place = F.when(F.col("op") == op, F.lit(pos).cast("long")).otherwise(place)
+    return place.alias("pos")
+
+
 def last_per_pair(commands: DataFrame) -> DataFrame:
     """Last addition and removal of every pair in every tick.
 
@@ -86,7 +94,4 @@ def compact_batches(commands: DataFrame) -> DataFrame:
     node_rows = fates.select(
         "tick", F.explode(ops).alias("op"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")
     )
-    place = F.lit(None).cast("long")
-    for op, pos in CANONICAL_POS.items():
-        place = F.when(F.col("op") == op, F.lit(pos).cast("long")).otherwise(place)
-    return edges.unionByName(node_rows).select("tick", place.alias("pos"), "op", "src", "dst")
+    return edges.unionByName(node_rows).select("tick", canonical_pos(), "op", "src", "dst")

@@ -6,7 +6,9 @@ only on the last removal that matches it, so no step runs command by command.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidegraph.functions import last_pos
@@ -83,9 +85,10 @@ def present_vertices(commands: DataFrame) -> DataFrame:
     )
 
 
-def named_vertices(commands: DataFrame, default: str = "") -> DataFrame:
-    """Present vertices with the name of their last surviving addition, else ``default``."""
+def named_vertices(commands: DataFrame, default: str | None = "") -> DataFrame:
+    """Present vertices with the last name given since their last removal, else ``default``."""
     ids = F.when(F.col("op") == "addEdge", F.array("src", "dst")).otherwise(F.array("src"))
+    name_pos = F.when((F.col("op") == "addNode") & F.col("label").isNotNull(), F.col("pos"))
     return (
         commands.where(F.col("op").isin("addEdge", "addNode", "rmvNode"))
         .select("op", "pos", "label", F.explode(ids).alias("id"))
@@ -93,11 +96,11 @@ def named_vertices(commands: DataFrame, default: str = "") -> DataFrame:
         .agg(
             last_pos(F.col("op") != "rmvNode").alias("named"),
             last_pos(F.col("op") == "rmvNode").alias("gone"),
-            last_pos(F.col("op") == "addNode").alias("added"),
-            F.max_by("label", F.when(F.col("op") == "addNode", F.col("pos"))).alias("name"),
+            F.max(name_pos).alias("name_pos"),
+            F.max_by("label", name_pos).alias("name"),
         )
         .where("named > gone")
-        .select("id", F.when(F.col("added") > F.col("gone"), F.col("name")).otherwise(default).alias("name"))
+        .select("id", F.coalesce(F.when(F.col("name_pos") > F.col("gone"), F.col("name")), F.lit(default)).alias("name"))
     )
 
 
@@ -147,26 +150,33 @@ def labelled_lifetimes(commands: DataFrame) -> DataFrame:
     )
 
 
-def restore_then_fold(commands: DataFrame, read_base, snapshots: DataFrame) -> DataFrame:
+def last_restore(commands: DataFrame) -> Row | None:
+    """Position and time of the last ``loadOld``. One row, so it is read back."""
+    return (
+        commands.where(F.col("op") == "loadOld")
+        .agg(F.max_by(F.struct("pos", "label"), "pos").alias("load"))
+        .first()["load"]
+    )
+
+
+def restore_then_fold(
+    commands: DataFrame, read_base: Callable[[int], DataFrame], snapshots: DataFrame
+) -> DataFrame:
     """The bag fold of a log that may restore a snapshot on its way.
 
     The last ``loadOld`` replaces the whole graph by the nearest snapshot, so only
     that snapshot and the commands after it matter. ``read_base(tick)`` gives the
-    labelled edges of a snapshot. The command itself is one row and is read back.
+    labelled edges of a snapshot.
     """
-    load = (
-        commands.where(F.col("op") == "loadOld")
-        .agg(F.max_by(F.struct("pos", "label"), "pos").alias("load"))
-        .first()["load"]
-    )
+    load = last_restore(commands)
     if load is None:
         return fold_bag(commands).select("src", "dst", "label")
-    tick = nearest_snapshot(snapshots, load["label"]).first()["tick"]
+    found = nearest_snapshot(snapshots, load["label"]).first()
     rest = commands.where(F.col("pos") > load["pos"]).select("pos", "op", "src", "dst", "label")
-    if tick is None:
+    if found is None:
         return fold_bag(rest).select("src", "dst", "label")
     # The restored edges stand before every later command.
-    base = read_base(tick).select(
+    base = read_base(found["tick"]).select(
         F.lit(load["pos"]).cast("long").alias("pos"), F.lit("addEdge").alias("op"), "src", "dst", "label"
     )
     return fold_bag(base.unionByName(rest)).select("src", "dst", "label")

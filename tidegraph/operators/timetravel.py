@@ -44,10 +44,10 @@ def covering_checkpoint(tick: int, every: int = CHECKPOINT_EVERY) -> int:
 def nearest_snapshot(snapshots: DataFrame, given: str) -> DataFrame:
     """The row of ``(snapshot_ms, tick)`` nearest to ``yyyy-MM-dd HH:mm:ss``; the earlier wins a tie.
 
-    One aggregate over the list of snapshots, with no row per pair of times.
+    One aggregate over the list of snapshots; no row if the list is empty.
     """
     moment = datetime.strptime(given, "%Y-%m-%d %H:%M:%S").replace(tzinfo=timezone.utc)
     distance = F.abs(F.col("snapshot_ms") - F.lit(int(moment.timestamp() * 1000)))
     return snapshots.agg(
         F.min_by(F.struct("snapshot_ms", "tick"), F.struct(distance, F.col("snapshot_ms"))).alias("best")
-    ).select("best.*")
+    ).where("best IS NOT NULL").select("best.*")

@@ -5,123 +5,54 @@ onto the edges still open, which gives the next version of the store; closed
 intervals are never written again. The history at any time is the closed
 intervals plus a fold of the last version's open edges and the batches since.
 
-Directories are named by tick and overwritten, and a batch reads only what
-earlier ticks wrote, so a batch that is replayed after a failure writes the same.
-
-    log/tick=<t>/                      compacted commands of the batch
-    ticks/batch=<b>/                   the tick that batch b became
     edges/version=<t>/is_open=<bool>/  closings since the last version; all open edges
     vertices/version=<t>/              all vertices
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from tidegraph.operators.compact import CANONICAL_POS, compact_batches
+from tidegraph.operators.compact import canonical_pos, compact_batches
 from tidegraph.operators.intervals import Mode, as_commands, edge_intervals, graph_status, vertex_fold
-from tidegraph.runtime import join_small
-from tidegraph.schema import CHECKPOINT_EVERY, EDGES, OPEN, VERTICES
-from tidegraph.sources.commands import FILE_STRIDE, parse_commands
+from tidegraph.schema import EDGES, OPEN, VERTICES
+from tidegraph.streaming.store import TickedStream, command_stream
+
+__all__ = ["StreamingFold", "command_stream"]
 
 LOG_COLUMNS = ["tick", "pos", "op", "src", "dst"]
 
 
-def command_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Lines of new files under ``path``; without a limit, one batch takes all that is new."""
-    reader = spark.readStream.option("recursiveFileLookup", "true")
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    )
-
-
-def _positions(batch: DataFrame) -> DataFrame:
-    """``(pos, value)`` of a batch, in order of file name, split and row."""
-    files = (
-        batch.select("file").distinct()
-        .withColumn("rank", F.row_number().over(W.orderBy("file")).cast("long"))
-    )
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return join_small(batch.withColumn("offset", F.col("block") + row), files, "file").select(
-        ((F.col("rank") - 1) * FILE_STRIDE + F.col("offset")).alias("pos"), "value"
-    )
-
-
-class StreamingFold:
-    def __init__(
-        self,
-        spark: SparkSession,
-        store: str,
-        mode: Mode = "last_wins",
-        every: int = CHECKPOINT_EVERY,
-        parse: Callable[[DataFrame], DataFrame] = parse_commands,
-    ):
-        self.spark, self.store, self.mode, self.every, self.parse = spark, store.rstrip("/"), mode, every, parse
-        self._last: tuple[int, int] | None = None
-
-    def start(self, lines: DataFrame, **trigger) -> StreamingQuery:
-        """Run on ``command_stream``; pass e.g. ``availableNow=True`` or ``processingTime="15 seconds"``."""
-        return (
-            lines.writeStream.foreachBatch(self.apply)
-            .option("checkpointLocation", f"{self.store}/progress")
-            .trigger(**trigger)
-            .start()
-        )
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Fold one micro-batch. An empty one does not become a tick."""
-        if batch.isEmpty():
-            return
-        tick = self._ticks_before(batch_id) + 1
-        lines = _positions(batch).withColumn("tick", F.lit(tick).cast("long"))
-        commands = self.parse(lines).persist()
-        try:
-            self._overwrite(self._compacted(commands).drop("tick"), f"log/tick={tick}")
-        finally:
-            commands.unpersist()
-        if tick % self.every == 0:
-            self._write_version(tick)
-        marker = self.spark.range(1).select(F.lit(tick).cast("long").alias("tick"))
-        self._overwrite(marker, f"ticks/batch={batch_id}")
-        self._last = (batch_id, tick)
-
-    def tick(self) -> int:
-        return self._ticks_before(None)
+class StreamingFold(TickedStream):
+    def __init__(self, spark: SparkSession, store: str, mode: Mode = "last_wins", **options):
+        super().__init__(spark, store, **options)
+        self.mode = mode
 
     def edges(self) -> DataFrame:
         """The whole history, ``(src, dst, start_tick, end_tick)``."""
-        version = self._version(self.tick() + 1)
+        version = self.version(self.tick() + 1)
         recent = edge_intervals(self._since(version), self.mode)
         if version == 0:
             return recent
-        return self._stored_edges().where(f"NOT is_open AND version <= {version}").select(recent.columns).unionByName(recent)
+        closed = self._stored_edges().where(f"NOT is_open AND version <= {version}")
+        return closed.select(recent.columns).unionByName(recent)
 
     def vertices(self) -> DataFrame:
-        return self._merged_vertices(self._version(self.tick() + 1), None)
+        return self._merged_vertices(self.version(self.tick() + 1))
 
     def status(self) -> DataFrame:
         return graph_status(self.edges(), self.vertices())
 
-    def _compacted(self, commands: DataFrame) -> DataFrame:
+    def compacted(self, commands: DataFrame) -> DataFrame:
         if self.mode == "last_wins":
             return compact_batches(commands).select(LOG_COLUMNS)
-        place = F.lit(None).cast("long")
-        for op, pos in CANONICAL_POS.items():
-            place = F.when(F.col("op") == op, F.lit(pos).cast("long")).otherwise(place)
-        known = commands.where(F.col("op").isin(list(CANONICAL_POS)))
-        return known.select("tick", place.alias("pos"), "op", "src", "dst").distinct()
+        return commands.select("tick", canonical_pos(), "op", "src", "dst").where("pos IS NOT NULL").distinct()
 
-    def _version(self, tick: int) -> int:
-        """The last version written before ``tick``; 0 stands for the empty graph."""
-        return (tick - 1) // self.every * self.every
+    def write_version(self, tick: int, before: int, restored: int | None) -> None:
+        edges = edge_intervals(self._since(before, tick), self.mode)
+        self.overwrite(edges.withColumn("is_open", F.col("end_tick") == OPEN), f"edges/version={tick}", "is_open")
+        self.overwrite(self._merged_vertices(before, tick), f"vertices/version={tick}")
 
     def _log(self, after: int, upto: int | None = None) -> DataFrame:
         log = self.spark.read.schema("pos long, op string, src long, dst long, tick long").parquet(f"{self.store}/log")
@@ -139,7 +70,7 @@ class StreamingFold:
             return log
         return log.unionByName(as_commands(self._stored_edges().where(f"is_open AND version = {version}")))
 
-    def _merged_vertices(self, version: int, upto: int | None) -> DataFrame:
+    def _merged_vertices(self, version: int, upto: int | None = None) -> DataFrame:
         # The log is compacted already, so it is folded as it stands.
         recent = vertex_fold(self._log(version, upto), "remove_then_add")
         if version == 0:
@@ -150,26 +81,3 @@ class StreamingFold:
             .groupBy("id")
             .agg(F.max("attr").alias("attr"), F.min("first_tick").alias("first_tick"))
         )
-
-    def _write_version(self, tick: int) -> None:
-        before = self._version(tick)
-        edges = edge_intervals(self._since(before, tick), self.mode)
-        self._overwrite(edges.withColumn("is_open", F.col("end_tick") == OPEN), f"edges/version={tick}", "is_open")
-        self._overwrite(self._merged_vertices(before, tick), f"vertices/version={tick}")
-
-    def _overwrite(self, df: DataFrame, name: str, *partitions: str) -> None:
-        df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.store}/{name}")
-
-    def _ticks_before(self, batch_id: int | None) -> int:
-        """How many batches before ``batch_id`` became ticks; all of them for None."""
-        if self._last is not None and (batch_id is None or self._last[0] < batch_id):
-            return self._last[1]
-        try:
-            ticks = self.spark.read.schema("tick long, batch long").parquet(f"{self.store}/ticks")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0
-        if batch_id is not None:
-            ticks = ticks.where(F.col("batch") < batch_id)
-        return ticks.agg(F.max("tick").alias("tick")).first()["tick"] or 0
