@@ -5,8 +5,9 @@ from bruteforce import fold, random_log, run_in_order
 from conftest import rows
 
 from tidegraph.sources.commands import parse_commands_short
-from tidegraph.streaming.fold import StreamingFold, command_stream
+from tidegraph.streaming.fold import StreamingFold
 from tidegraph.streaming.sequential import SequentialFold
+from tidegraph.streaming.store import command_stream
 
 
 def text(log):

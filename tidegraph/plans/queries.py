@@ -15,7 +15,9 @@ from tidegraph.runtime import scratch_path
 from tidegraph.schema import CHECKPOINT_EVERY, OPEN
 from tidegraph.sources import commands as command_source
 from tidegraph.sources import edge_lists, snapshots
-from tidegraph.streaming.fold import StreamingFold, command_stream
+from tidegraph.streaming.fold import StreamingFold
+from tidegraph.streaming.sequential import SequentialFold
+from tidegraph.streaming.store import TickedStream, command_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,12 +115,10 @@ def graph_status(spark, sf_dir):
     return intervals.graph_status(intervals.edge_intervals(log), intervals.vertex_fold(log))
 
 
-@query
-def stream_fold(spark, sf_dir):
+def _streamed(spark: SparkSession, lines: DataFrame, fold: TickedStream) -> None:
     """The log arrives as files, ten days to a batch; each batch is one tick."""
-    landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
-    lines = inputs.long_lines(spark, sf_dir).select((F.expr("(tick - 1) div 10")).alias("batch"), "pos", "value")
-    fold = StreamingFold(spark, store, every=2)
+    landing = scratch_path(spark, "landing")
+    lines = lines.select(F.expr("(tick - 1) div 10").alias("batch"), "pos", "value")
     for batch in range((LAST_TICK - 1) // 10 + 1):
         (
             lines.where(F.col("batch") == batch)
@@ -126,6 +126,20 @@ def stream_fold(spark, sf_dir):
             .select("value").write.text(f"{landing}/{batch}")
         )
         fold.start(command_stream(spark, landing), availableNow=True).awaitTermination()
+
+
+@query
+def stream_fold(spark, sf_dir):
+    fold = StreamingFold(spark, scratch_path(spark, "store"), every=2)
+    _streamed(spark, inputs.long_lines(spark, sf_dir), fold)
+    return fold.edges()
+
+
+@query
+def stream_fold_set(spark, sf_dir):
+    store = scratch_path(spark, "store")
+    fold = SequentialFold(spark, store, "set", every=2, parse=command_source.parse_commands_short)
+    _streamed(spark, inputs.short_lines(spark, sf_dir), fold)
     return fold.edges()
 
 

@@ -42,10 +42,9 @@ class SequentialFold(TickedStream):
 
     def restored(self, commands: DataFrame, tick: int) -> int | None:
         load = last_restore(commands)
-        ticks = self.ticks()
-        if load is None or ticks is None:
+        if load is None:
             return None
-        saved = ticks.where((F.col("tick") < tick) & (F.col("tick") % self.every == 0))
+        saved = self.ticks().where((F.col("tick") < tick) & (F.col("tick") % self.every == 0))
         found = nearest_snapshot(saved, load["label"]).first()
         return None if found is None else found["tick"]
 
@@ -73,10 +72,7 @@ class SequentialFold(TickedStream):
     def _state(self, tick: int, version: int | None = None) -> tuple[int, int]:
         """The version to start from and the tick after which the log applies."""
         version = self.version(tick + 1) if version is None else version
-        ticks = self.ticks()
-        if ticks is None:
-            return 0, 0
-        restores = ticks.where(F.col("base").isNotNull() & (F.col("tick") > version) & (F.col("tick") <= tick))
+        restores = self.ticks().where(F.col("base").isNotNull() & (F.col("tick") > version) & (F.col("tick") <= tick))
         last = restores.agg(F.max_by(F.struct("base", "tick"), "tick").alias("last")).first()["last"]
         return (version, version) if last is None else (last["base"], last["tick"] - 1)
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from tidegraph.runtime import join_small
 from tidegraph.schema import CHECKPOINT_EVERY
 from tidegraph.sources.commands import FILE_STRIDE, parse_commands
 
-TICKS = "tick long, snapshot_ms long, base long, batch long"
+MARKER = "tick long, snapshot_ms long, base long"
 
 
 def command_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -61,6 +60,8 @@ class TickedStream:
     ):
         self.spark, self.store, self.every, self.parse, self.clock = spark, store.rstrip("/"), every, parse, clock
         self._last: tuple[int, int] | None = None
+        # Leaves a store that exists alone; a new one becomes readable.
+        spark.createDataFrame([], MARKER).write.mode("ignore").parquet(f"{self.store}/ticks/batch=-1")
 
     def compacted(self, commands: DataFrame) -> DataFrame:
         """What the log keeps of the commands of one tick."""
@@ -113,13 +114,8 @@ class TickedStream:
         """The last version written before ``tick``; 0 stands for the empty graph."""
         return (tick - 1) // self.every * self.every
 
-    def ticks(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(TICKS).parquet(f"{self.store}/ticks")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+    def ticks(self) -> DataFrame:
+        return self.spark.read.schema(f"{MARKER}, batch long").parquet(f"{self.store}/ticks")
 
     def overwrite(self, df: DataFrame, name: str, *partitions: str) -> None:
         df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.store}/{name}")
@@ -129,8 +125,6 @@ class TickedStream:
         if self._last is not None and (batch_id is None or self._last[0] < batch_id):
             return self._last[1]
         ticks = self.ticks()
-        if ticks is None:
-            return 0
         if batch_id is not None:
             ticks = ticks.where(F.col("batch") < batch_id)
         return ticks.agg(F.max("tick").alias("tick")).first()["tick"] or 0
