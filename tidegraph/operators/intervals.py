@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,18 +116,19 @@ def vertex_fold(commands: DataFrame, mode: Mode = "last_wins") -> DataFrame:
 
 def graph_status(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Size of the graph after each tick that changed it; closed intervals count as edges."""
+    zero, one = F.lit(0), F.lit(1)
+
+    def change(tick: Column, e: Column, c: Column, v: Column) -> Column:
+        return F.struct(tick.alias("tick"), e.alias("e"), c.alias("c"), v.alias("v"))
+
+    closing = F.when(F.col("end_tick") < OPEN, F.col("end_tick"))
     changes = (
-        edges.select(F.col("start_tick").alias("tick"), F.lit(1).alias("e"), F.lit(0).alias("c"), F.lit(0).alias("v"))
-        .unionByName(
-            edges.where(F.col("end_tick") < OPEN).select(
-                F.col("end_tick").alias("tick"), F.lit(0).alias("e"), F.lit(1).alias("c"), F.lit(0).alias("v")
-            )
-        )
-        .unionByName(
-            vertices.select(
-                F.col("first_tick").alias("tick"), F.lit(0).alias("e"), F.lit(0).alias("c"), F.lit(1).alias("v")
-            )
+        edges.select(
+            F.explode(F.array(change(F.col("start_tick"), one, zero, zero), change(closing, zero, one, zero))).alias("x")
         )
+        .unionByName(vertices.select(change(F.col("first_tick"), zero, zero, one).alias("x")))
+        .select("x.*")
+        .where("tick IS NOT NULL")
         .groupBy("tick")
         .agg(F.sum("e").alias("e"), F.sum("c").alias("c"), F.sum("v").alias("v"))
     )

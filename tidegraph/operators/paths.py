@@ -67,39 +67,48 @@ def relax(
         hub_side = edges.join(F.broadcast(hubs), "src", "left_semi").repartition(width, "src", "dst")
         hub_side = hub_side.persist(StorageLevel.MEMORY_AND_DISK)
 
+    def sent(edge_side: DataFrame, fresh: DataFrame) -> DataFrame:
+        return edge_side.join(fresh, "src").select(F.col("dst").alias("id"), step.alias("offer"), "round")
+
     def offers(values: DataFrame) -> DataFrame:
-        fresh = values.where("fresh").select(F.col("id").alias("src"), "value")
-        sent = plain.join(fresh, "src").select(F.col("dst").alias("id"), step.alias("offer"))
+        # The round travels with the rows: as a literal it would change the
+        # generated code, and Spark would compile every round anew.
+        fresh = values.where("changed IS NOT NULL").select(
+            F.col("id").alias("src"), "value", (F.col("changed") + 1).alias("round")
+        )
+        found = sent(plain, fresh)
         if hub_side is not None:
             loud = F.broadcast(fresh.join(F.broadcast(hubs), "src", "left_semi"))
-            sent = sent.unionByName(hub_side.join(loud, "src").select(F.col("dst").alias("id"), step.alias("offer")))
-        return sent.where("offer IS NOT NULL").groupBy("id").agg(F.min("offer").alias("offer"))
+            found = found.unionByName(sent(hub_side, loud))
+        return found.where("offer IS NOT NULL").groupBy("id").agg(
+            F.min("offer").alias("offer"), F.max("round").alias("round")
+        )
 
     try:
         with fixed_layout(spark, width):
             known = endpoints(edges) if vertices is None else (
                 vertices.select("id").unionByName(endpoints(edges)).distinct()
             )
+            zero = F.when(F.col("value").isNotNull(), F.lit(0).cast("long"))
             start = known.join(sources.groupBy("id").agg(F.min("value").alias("value")), "id", "left").select(
-                "id",
-                F.col("value").cast("long").alias("value"),
-                F.when(F.col("value").isNotNull(), F.lit(0).cast("long")).alias("hops"),
-                F.col("value").isNotNull().alias("fresh"),
+                "id", F.col("value").cast("long").alias("value"), zero.alias("hops"), zero.alias("changed")
             )
-            values, changed = cut_and_count(start, F.col("fresh"))
-            hop = 0
-            while changed and (max_hops is None or hop < max_hops):
-                hop += 1
-                better = F.col("offer").isNotNull() & (F.col("value").isNull() | (F.col("offer") < F.col("value")))
-                values, changed = cut_and_count(
+            in_last_round = F.col("changed").isNotNull()
+            better = F.col("offer").isNotNull() & (F.col("value").isNull() | (F.col("offer") < F.col("value")))
+            better_round = F.when(better, F.col("round"))
+            values, changes = cut_and_count(start, in_last_round)
+            rounds = 0
+            while changes and (max_hops is None or rounds < max_hops):
+                values, changes = cut_and_count(
                     values.join(offers(values), "id", "left").select(
                         "id",
                         F.least("value", "offer").alias("value"),
-                        F.coalesce("hops", F.when(better, F.lit(hop).cast("long"))).alias("hops"),
-                        better.alias("fresh"),
+                        F.coalesce("hops", better_round).alias("hops"),
+                        better_round.alias("changed"),
                     ),
-                    F.col("fresh"),
+                    in_last_round,
                 )
+                rounds += 1
     finally:
         plain.unpersist()
         if hub_side is not None:
