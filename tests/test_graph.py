@@ -121,6 +121,15 @@ def test_dossier(spark, vertices, log):
     assert rows(lines.where("id = 9").select("line")) == [("(9,Far)",)]
 
 
+def test_dossiers_on_disk(spark, tmp_path, vertices, log):
+    shown = graph.triplets(vertices, spark.createDataFrame([(1, 2, "Hello")], EDGES))
+    lines = activity.vertex_dossier(vertices, shown, activity.activity_log(log))
+    snapshots.write_dossiers(lines, str(tmp_path), 5)
+    back = spark.read.parquet(str(tmp_path))
+    assert rows(back.select(lines.columns)) == rows(lines)
+    assert {r["tick"] for r in back.select("tick").distinct().collect()} == {5}
+
+
 def test_triplet_dump(spark, tmp_path, vertices, edges):
     path = str(tmp_path / "triplets")
     snapshots.write_triplets(graph.triplets(vertices, edges).where("label = 'b'"), path)

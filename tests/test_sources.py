@@ -63,6 +63,9 @@ def test_batch_directories_keep_log_order(spark, tmp_path):
     source.write_batch_directories(log.repartition(5), root)
     back = source.parse_commands(source.read_batch_directories(spark, root)).collect()
     assert len(back) == 2000
+    # One order over all batches.
+    assert [r["tick"] for r in sorted(back, key=lambda r: r["pos"])] == sorted(r["tick"] for r in back)
+    assert len({r["pos"] for r in back}) == 2000
     for tick in (1, 2, 3):
         order = [r["src"] for r in sorted(back, key=lambda r: r["pos"]) if r["tick"] == tick]
         assert order == list(range(tick - 1, 2000, 3))
@@ -159,3 +162,9 @@ def test_nearest_snapshot(spark):
     assert timetravel.nearest_snapshot(times, "2015-11-20 10:31:00").first()["tick"] == 2
     assert timetravel.nearest_snapshot(times, "2015-11-20 10:30:00").first()["tick"] == 1
     assert timetravel.nearest_snapshot(times, "2001-01-01 00:00:00").first()["tick"] == 1
+
+
+def test_overlong_files_are_refused(spark):
+    frame = spark.range(1).select(source.log_position(F.lit(1), F.lit(source.FILE_STRIDE)).alias("pos"))
+    with pytest.raises(Exception, match="too long"):
+        frame.collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 ID_OFFSET = 10**12
 # Length of the log in days; the tick of a command is its day.
 LAST_TICK = 31
+# Fixed value: the name of a vertex that only edges imply.
 DEFAULT_NAME = "John Doe"
 
 

@@ -41,8 +41,9 @@ SHORT_FORM = (
 # Fixed value: the format of a restore time.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
-# A batch file below this many bytes keeps every in-file offset below the stride.
-FILE_STRIDE = 1 << 40
+# Room for the lines of one file among the positions of a log: 256 GB of text,
+# and so over 30 million files.
+FILE_STRIDE = 1 << 38
 
 
 def _valid(form: str) -> Column:
@@ -114,13 +115,20 @@ def rejected_commands(lines: DataFrame, short: bool = False) -> DataFrame:
     return lines.where(~valid).select("tick", "pos", F.col("value").alias("raw"))
 
 
+def log_position(rank: Column, offset: Column) -> Column:
+    """Position of a line from the 1-based rank of its file and its place in the file."""
+    too_long = F.raise_error(F.lit("a command file is too long for its lines to be numbered"))
+    return F.when(offset < FILE_STRIDE, (rank - 1) * FILE_STRIDE + offset).otherwise(too_long.cast("long"))
+
+
 def read_batch_directories(spark: SparkSession, root: str) -> DataFrame:
     """Lines of ``root/<n>/*`` as ``(tick, pos, value)``; batch ``n`` is tick ``n + 1``.
 
-    A line's place in its file is the start of its split plus its row number in
+    Positions rise over the whole log, so it can be folded in order as well. A
+    line's place in its file is the start of its split plus its row number in
     the split. Splits of one file never overlap that way, because a line has at
-    least one byte. Files of a batch follow each other by name; ranking them
-    needs the file listing only, which the binary source gives without content.
+    least one byte. Files follow each other by batch and name; ranking them needs
+    the file listing only, which the binary source gives without content.
     """
     batch = r"/(?:[A-Za-z_]+=)?([0-9]+)/[^/]+$"
     files = (
@@ -130,7 +138,7 @@ def read_batch_directories(spark: SparkSession, root: str) -> DataFrame:
         .select(F.col("_metadata.file_path").alias("file"))
         .withColumn("batch", F.regexp_extract("file", batch, 1).try_cast("long"))
         .where("batch IS NOT NULL")
-        .withColumn("rank", F.row_number().over(W.partitionBy("batch").orderBy("file")).cast("long"))
+        .withColumn("rank", F.row_number().over(W.orderBy("batch", "file")).cast("long"))
     )
     lines = (
         spark.read.option("recursiveFileLookup", "true")
@@ -146,7 +154,7 @@ def read_batch_directories(spark: SparkSession, root: str) -> DataFrame:
     )
     return join_small(lines, files, "file").select(
         (F.col("batch") + 1).alias("tick"),
-        ((F.col("rank") - 1) * FILE_STRIDE + F.col("offset")).alias("pos"),
+        log_position(F.col("rank"), F.col("offset")).alias("pos"),
         "value",
     )
 

@@ -86,3 +86,13 @@ def write_triplets(triplets: DataFrame, path: str) -> None:
     triplets.select(
         triplet_text(F.col("src"), F.col("src_attr"), F.col("dst"), F.col("dst_attr"), F.col("label"))
     ).write.text(path)
+
+
+def write_dossiers(lines: DataFrame, path: str, tick: int) -> None:
+    """The lines of ``vertex_dossier``, with those of a vertex next to each other.
+
+    Range partitioning by the whole key lets a hub's lines run over several files.
+    """
+    keys = ["id", "section", "seq", "line"]
+    ordered = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").parquet(f"{path}/tick={tick}")

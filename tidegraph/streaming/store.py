@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidegraph.runtime import join_small
 from tidegraph.schema import CHECKPOINT_EVERY
-from tidegraph.sources.commands import FILE_STRIDE, parse_commands
+from tidegraph.sources.commands import log_position, parse_commands
 
 MARKER = "tick long, snapshot_ms long, base long"
 
@@ -43,7 +43,7 @@ def _positions(batch: DataFrame) -> DataFrame:
     )
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return join_small(batch.withColumn("offset", F.col("block") + row), files, "file").select(
-        ((F.col("rank") - 1) * FILE_STRIDE + F.col("offset")).alias("pos"), "value"
+        log_position(F.col("rank"), F.col("offset")).alias("pos"), "value"
     )
 
 
