@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.tokens import encode_slices, encoder
+from tidegraph.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
 KINDS = pa.schema(
@@ -177,21 +177,17 @@ def pack_texts(
     prompted = prompt is not None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = f"<u{encoder(tokenizer).width}"
+        known = encoder(tokenizer)
+        kind = f"<u{known.width}"
         part = TaskContext.get().partitionId()
         packer = Packer(part, max_tokens, max_segments, max_tokens if max_loss is None else max_loss, pool)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             before = batch.column(2).to_pylist() if prompted else None
-            for k, found in encode_slices(tokenizer, batch.column(1).to_pylist()):
-                ids = np.empty(len(found) // encoder(tokenizer).width + 1, "<u4")
-                ids[:-1] = np.frombuffer(found, kind)
-                ids[-1] = end_id
-                lead = 0
-                if before is not None:
-                    lead_ids = np.frombuffer(encoder(tokenizer).encode([before[k]])[0], kind)
-                    lead, ids = len(lead_ids), np.concatenate([lead_ids, ids]).astype("<u4")
-                packer.add(keys[k], ids, lead)
+            for k, text in enumerate(batch.column(1)):
+                lead = known.encode(before[k]) if prompted else b""
+                found = np.frombuffer(lead + known.encode(text.as_py()), kind)
+                packer.add(keys[k], np.append(found, end_id).astype("<u4"), len(lead) // known.width)
                 if len(packer.rows) >= 2000:
                     yield packer.batch()
         packer.finish()

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.llm.elias_fano import EliasFano
-from tidegraph.llm.tokens import encode_slices, encoder
+from tidegraph.llm.tokens import encoder
 
 MARK = int.from_bytes(b"EFTOKENS", "little")
 HEADER = struct.Struct("<8Q")
@@ -102,7 +102,8 @@ def write_token_files(
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(tokenizer).width
+        known = encoder(tokenizer)
+        width = known.width
         end = end_id.to_bytes(width, "little")
         system, root = _open(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -125,9 +126,9 @@ def write_token_files(
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for k, found in encode_slices(tokenizer, batch.column(1).to_pylist()):
-                ids.append(found + end)
-                doc_ids.append(keys[k])
+            for key, text in zip(keys, batch.column(1), strict=True):
+                ids.append(known.encode(text.as_py()) + end)
+                doc_ids.append(key)
                 held += len(ids[-1]) // width
                 if held >= ids_per_file:
                     yield flush()
