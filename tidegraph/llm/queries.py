@@ -39,7 +39,41 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    from tidegraph.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of the quality rules for all documents."""
+    from tidegraph.llm.line_frequency import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("host", "text_hash")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in windows of the benchmark, and the items they are from."""
+    from tidegraph.llm.decontaminate import hit_words, items_digest, mark_contaminated
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = mark_contaminated(documents, table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        "n_words",
+        hit_words("spans").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        items_digest("items").alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_vector_packing": op2_vector_packing,
+    "op3_simhash": op3_simhash,
+    "op4_line_frequency": op4_line_frequency,
+    "op5_decontamination": op5_decontamination,
 }
