@@ -70,10 +70,47 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that line dedup drops from all documents."""
+    from tidegraph.llm.line_templates import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 16 MiB of text at most for all documents."""
+    from tidegraph.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), max_bytes=1 << 24)
+
+
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of all documents, learnt from the labelled ones."""
+    from tidegraph.llm.ordinal import expected_grades, grade, train_ordinal
+
+    documents = table(spark, sf_dir, "documents")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", grade().alias("grade"))
+    found = expected_grades(documents, train_ordinal(documents, ratings))
+    tails = F.col("tails")
+    return found.select("doc_id", "expected_grade", tails[0].alias("p_not_toxic"), tails[1].alias("p_good"), "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from three quarters of them."""
+    from tidegraph.llm.langid import identify_languages, train_language_model
+
+    documents = table(spark, sf_dir, "documents")
+    return identify_languages(documents, train_language_model(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_vector_packing": op2_vector_packing,
     "op3_simhash": op3_simhash,
     "op4_line_frequency": op4_line_frequency,
     "op5_decontamination": op5_decontamination,
+    "op6_line_templates": op6_line_templates,
+    "op8_extendible_hashing": op8_extendible_hashing,
+    "op9_ordinal_quality": op9_ordinal_quality,
+    "op10_language_id": op10_language_id,
 }
