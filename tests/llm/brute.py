@@ -127,12 +127,12 @@ def base_score(rows):
     def tokens(text):
         return [*BLANK_WORDS.findall(lower_ascii(text)), None]
 
-    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    held = {d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, _ in rows}
     counts = Counter(t for d, text in rows if not held[d] for t in tokens(text))
     total, kinds = sum(counts.values()), len(counts)
     out = {}
     for d, text in rows:
-        own = tokens(text)
+        own = tokens(text)  # a null id counts as the empty text
         score = sum(math.log10((counts[t] + 0.1) / (total + 0.1 * (kinds + 1))) for t in own)
         out[d] = (held[d], len(own), sum(counts[t] > 0 for t in own), total, score)
     return out

@@ -89,3 +89,29 @@ def test_op5(spark, tables, doc_rows, items):
 @pytest.mark.parametrize("name", QUERIES)
 def test_empty_tables(spark, no_tables, name):
     assert QUERIES[name](spark, no_tables).collect() == []
+
+
+def test_op7(spark, tables, doc_rows):
+    found = QUERIES["op7_brown_scores"](spark, tables).collect()
+    expected = brute.base_score([(d, t) for d, t, _, _ in doc_rows])
+    assert len(found) == len(doc_rows)
+    texts = defaultdict(list)
+    for d, t, _, _ in doc_rows:
+        texts[d].append(t)
+    for r in found:
+        held, n_tokens, n_known, train_tokens, base = expected[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n_tokens, n_known, train_tokens)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+    held = [r for r in found if r.held_out and r.n_tokens > 20]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_op10(spark, tables, doc_rows):
+    found = {r.doc_id: r for r in QUERIES["op10_language_id"](spark, tables).collect()}
+    langs = {d: lang for d, _, lang, _ in doc_rows}
+    held = [d for d, r in found.items() if r.held_out and d is not None and d < 10_000]
+    assert all(r.held_out == (brute.zlib.crc32(str(d).encode()) % 4 == 2) for d, r in found.items() if d is not None)
+    assert sum(found[d].lang_pred == langs[d] for d in held) > 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in found.values())
+    assert {found[d].lang_pred for d in (10_000, 10_001, 10_002)} == {"und"}
+    assert found[10_003].lang_pred != "und"

@@ -77,6 +77,13 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op7_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of all documents under a class bigram model of nine tenths of them."""
+    from tidegraph.llm.brown import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of 16 MiB of text at most for all documents."""
     from tidegraph.llm.sharding import assign_shards
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_frequency": op4_line_frequency,
     "op5_decontamination": op5_decontamination,
     "op6_line_templates": op6_line_templates,
+    "op7_brown_scores": op7_brown_scores,
     "op8_extendible_hashing": op8_extendible_hashing,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_language_id": op10_language_id,

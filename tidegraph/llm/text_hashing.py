@@ -49,11 +49,18 @@ def _letters() -> np.ndarray:
 
 
 def subword_buckets(text: str | None, buckets: int, lengths: tuple[int, ...] = (1, 2, 3, 4)) -> np.ndarray:
-    """Bucket of every run of letters of the given lengths; a blank on either side may belong to it."""
+    """Bucket of every run of letters of the given lengths; a blank on either side may belong to it.
+
+    None for a text without a letter.
+    """
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
     table = _letters()
-    low = np.where(points < 0x10000, table[np.minimum(points, 0xFFFF)], points)
-    keep = np.r_[True, (low[1:] != 32) | (low[:-1] != 32)] if len(low) else np.zeros(0, bool)
+    low = table[np.minimum(points, 0xFFFF)]
+    for k in np.flatnonzero(points > 0xFFFF):
+        low[k] = points[k] if chr(points[k]).isalpha() else 32
+    if not np.any(low != 32):
+        return np.zeros(0, np.int64)
+    keep = np.r_[True, (low[1:] != 32) | (low[:-1] != 32)]
     chars = np.r_[np.uint32(32), low[keep], np.uint32(32)].astype(np.uint64)
     blank = chars == 32
     found = []
