@@ -18,39 +18,57 @@ SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """SimHash of the XXH64 of all shingles of ``words`` words; 0 without words."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of all shingles of ``words`` words, repeats included; of all words if there are fewer."""
     from xxhash import xxh64_intdigest
 
     split = (text or b"").translate(_LOWER).split()
     if not split:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(split)
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     width = min(words, len(split))
     spans = zip(starts[: len(split) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], "<u8")
-    ones = np.zeros(64, np.int64)
-    for first in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[first : first + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    over = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(over.view("<u8")[0])
-
-
-def with_fingerprint(documents: DataFrame, words: int = 4) -> DataFrame:
-    """``documents`` with the 64-bit ``fingerprint`` of ``text`` as a long."""
-    schema = documents.withColumn("fingerprint", F.lit(0).cast("long")).schema
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(text: bytes | None, words: int = 4, size: int = 1) -> np.ndarray:
+    """SimHash of ``size`` times 64 bits over all shingles; zero without words.
+
+    A bit is 1 if it is set in over half the hashes. The first 64 come from
+    the hashes themselves, further ones from hashes mixed anew.
+    """
+    first = shingle_hashes(text, words)
+    hashes = np.empty((len(first), size), "<u8")
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            x = first + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+            if k:
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+            hashes[:, k] = x
+    ones = np.zeros(64 * size, np.int64)
+    # So few rows at a time that their sums fit a byte.
+    for at in range(0, len(hashes), 255):
+        bits = np.unpackbits(hashes[at : at + 255].view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def with_fingerprint(documents: DataFrame, words: int = 4, size: int = 1) -> DataFrame:
+    """``documents`` with ``fingerprint``: the 64-bit one of ``text`` as a long, a longer one as bytes."""
+    kind, arrow = ("long", pa.int64()) if size == 1 else ("binary", pa.binary())
+    schema = documents.withColumn("fingerprint", F.lit(None).cast(kind)).schema
     at = documents.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, batch.num_rows)
-            columns = [*batch.columns, pa.array(found.view(np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "fingerprint"])
+            found = [fingerprint(t.as_py(), words, size) for t in batch.column(at).cast(pa.binary())]
+            values = [int(x.view(np.int64)[0]) for x in found] if size == 1 else [x.tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, "fingerprint"])
 
     return documents.mapInArrow(add, schema)
 
@@ -66,46 +84,67 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(single, blocks - distance)]
 
 
-def _forest(fingerprints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect what links of at most ``distance`` bits connect, fewer than there are fingerprints.
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _forest(nodes: np.ndarray, fingerprints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that connect what links of at most ``distance`` bits connect, fewer than there are nodes.
 
     Each fingerprint is held against those not yet reached, so a dense group
     empties the list in a few steps and costs little more than its size.
     """
     links = []
-    rest = fingerprints
+    rest = np.arange(len(nodes))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             here = queue.pop()
-            close = np.bitwise_count(rest ^ here) <= distance
+            close = _differing(fingerprints[rest], fingerprints[here]) <= distance
             if close.any():
                 near = rest[close]
-                links += [(here, x) for x in near]
+                links += [(nodes[here], nodes[k]) for k in near]
                 queue += list(near)
                 rest = rest[~close]
     return links
 
 
-def _links(keys: np.ndarray, fingerprints: np.ndarray, distance: int, short: int = 16) -> np.ndarray:
-    """Links within equal ``keys``, which are sorted."""
+def _links(keys: np.ndarray, nodes: np.ndarray, fingerprints: np.ndarray, distance: int, short: int) -> np.ndarray:
+    """Links between rows of equal ``keys``, which are sorted."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
-    found = [np.zeros((0, 2), np.uint64)]
-    of = np.repeat(lengths, lengths)
+    found = [np.zeros((0, 2), np.int64)]
+    compared = np.flatnonzero(np.repeat(lengths, lengths) <= short)
     for step in range(1, short):
-        a = np.flatnonzero((of[:-step] <= short) & (keys[:-step] == keys[step:])) if step < len(keys) else np.zeros(0, int)
-        if len(a) == 0:
+        compared = compared[compared + step < len(keys)]
+        compared = compared[keys[compared] == keys[compared + step]]
+        if len(compared) == 0:
             break
-        x, y = fingerprints[a], fingerprints[a + step]
-        close = np.bitwise_count(x ^ y) <= distance
-        found.append(np.stack([x[close], y[close]], axis=1))
+        close = compared[_differing(fingerprints[compared], fingerprints[compared + step]) <= distance]
+        found.append(np.stack([nodes[close], nodes[close + step]], axis=1))
     for k in np.flatnonzero(lengths > short):
-        links = _forest(fingerprints[starts[k] : starts[k] + lengths[k]], distance)
-        found.append(np.array(links, np.uint64).reshape(-1, 2))
+        own = slice(starts[k], starts[k] + lengths[k])
+        found.append(np.array(_forest(nodes[own], fingerprints[own], distance), np.int64).reshape(-1, 2))
     return np.unique(np.concatenate(found), axis=0)
 
 
+def _verified(dealt: DataFrame, distance: int, short: int) -> DataFrame:
+    """Links ``a, b`` between the nodes of ``dealt(key, node, fingerprint)`` that meet under a key and are close."""
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_runs(batches, "key", 1 << 17):
+            if pa.types.is_binary(rows.schema.field("fingerprint").type):
+                joined = b"".join(rows["fingerprint"].to_pylist())
+                prints = np.frombuffer(joined, "<u8").reshape(rows.num_rows, -1)
+            else:
+                prints = rows["fingerprint"].to_numpy().view(np.uint64).reshape(-1, 1)
+            links = _links(rows["key"].to_numpy(), rows["node"].to_numpy(), prints, distance, short)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return dealt.mapInArrow(verify, "a long, b long").distinct()
+
+
 def close_fingerprints(fingerprints: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
     """Links ``a, b`` that connect all ``fingerprint``s, each given once, of at most ``distance`` differing bits.
 
@@ -122,16 +161,42 @@ def close_fingerprints(fingerprints: DataFrame, distance: int = 4, blocks: int =
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     value = F.col("fingerprint")
     keys = F.array(*[F.xxhash64(F.lit(k), value.bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
-    dealt = fingerprints.select("fingerprint", F.explode(keys).alias("key"))
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    dealt = fingerprints.select(F.explode(keys).alias("key"), F.col("fingerprint").alias("node"), "fingerprint")
+    return _verified(dealt, distance, short=16)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_runs(batches, "key"):
-            key = rows["key"].to_numpy()
-            links = _links(key, rows["fingerprint"].to_numpy().view(np.uint64), distance).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+def block_places(bits: int, width: int, count: int) -> np.ndarray:
+    """``count`` blocks of ``width`` bit places each, cut from shuffled rows of all ``bits`` places."""
+    rng = np.random.default_rng(SEED)
+    rows = -(-count // (bits // width))
+    return np.concatenate([rng.permutation(bits)[: bits // width * width].reshape(-1, width) for _ in range(rows)])[:count]
+
+
+def similar_fingerprints(fingerprints: DataFrame, distance: int, chance: float, recall: float = 0.99) -> DataFrame:
+    """Links ``a, b`` between the ``node``s of ``fingerprints(node, fingerprint)`` of long fingerprints.
+
+    Pairs within so many bits share no block for certain, as those of 4 bits
+    do, so there are as many blocks as it takes for a pair that differs in a
+    share ``chance`` of its bits to share one with probability ``recall``. A
+    block has so many bits that about a hundred fingerprints meet by chance,
+    whatever their number; the number of blocks grows with its fourth root.
+    """
+    width = max(12, int(np.ceil(np.log2(max(2, fingerprints.count())))) - 6)
+    count = int(np.ceil(-np.log(1 - recall) / (1 - chance) ** width))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(width, dtype=np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                some = batch.slice(first, 2000)
+                prints = some.column(1).to_pylist()
+                bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+                for k, places in enumerate(block_places(bits.shape[1], width, count)):
+                    key = (bits[:, places] @ weights) * count + k
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), some.column(0), some.column(1)], names=["key", "node", "fingerprint"])
+
+    dealt = fingerprints.select("node", "fingerprint").mapInArrow(deal, "key long, node long, fingerprint binary")
+    return _verified(dealt, distance, short=128)
 
 
 def with_root(fingerprints: DataFrame, distance: int, blocks: int) -> DataFrame:
@@ -159,19 +224,37 @@ def near_duplicates(documents: DataFrame, distance: int = 4, blocks: int = 7, wo
     return lookup(rows, of, ["fingerprint"], "inner").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame, distance: int = 4, blocks: int = 7, words: int = 4) -> DataFrame:
-    """``documents`` with one row for each component: the one with its smallest ``doc_id``.
+def bit_share(similarity: float) -> float:
+    """The share of fingerprint bits that differ, on average, between shingle sets of that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def drop_near_duplicates(documents: DataFrame, similarity: float = 0.8, words: int = 5, size: int = 4) -> DataFrame:
+    """``documents`` with one row for each component of texts of that ``similarity``: its smallest ``doc_id``.
+
+    Sets of shingles that are 0.8 alike differ in 15 of 100 fingerprint bits,
+    far beyond the 4 of 64 that exact blocks can find, and 64 bits estimate it
+    badly. So fingerprints have ``size`` times 64 bits, links are pairs within
+    the bits that this similarity makes on average and one standard deviation
+    more, and blocks are such that a pair of this similarity shares one with
+    probability 0.99.
 
-    Of rows with that ``doc_id`` the one with the smallest text hash stays, and
-    of rows equal in both, one. A row without a ``doc_id`` stays only if no row
-    of its component has one. All columns are kept; other edge cases as in
-    ``near_duplicates``.
+    Of rows with the smallest ``doc_id`` the one with the smallest text hash
+    stays, and of rows equal in both, one. A row without a ``doc_id`` stays
+    only if no row of its component has one. Null texts and those without a
+    word are alike. All columns are kept. No rows: none. Copies meet as one
+    fingerprint before anything is compared.
     """
+    bits, share = 64 * size, bit_share(similarity)
+    distance = int(bits * share + (bits * share * (1 - share)) ** 0.5)
     key = F.xxhash64("text").alias("text_hash")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    rows = with_fingerprint(documents.select("doc_id", "text"), words).select("doc_id", key, "fingerprint")
-    first = stored(rows.groupBy("fingerprint").agg(F.min(order).alias("first")), "different")
-    best = with_root(first, distance, blocks).groupBy("root").agg(F.min("first").alias("first"))
+    rows = with_fingerprint(documents.select("doc_id", "text"), words, size).select("doc_id", key, "fingerprint")
+    nodes = rows.groupBy(F.xxhash64("fingerprint").alias("node"), "fingerprint").agg(F.min(order).alias("first"))
+    nodes = stored(nodes, "different")
+    roots = connected_components(similar_fingerprints(nodes, distance, share))
+    linked = lookup(nodes.select("node", "first"), roots, ["node"])
+    best = linked.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     best = best.select(F.col("first.doc_id").alias("best_id"), F.col("first.text_hash").alias("best_hash"))
     rows = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", key)
     same = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))
