@@ -168,3 +168,17 @@ def test_overlong_files_are_refused(spark):
     frame = spark.range(1).select(source.log_position(F.lit(1), F.lit(source.FILE_STRIDE)).alias("pos"))
     with pytest.raises(Exception, match="too long"):
         frame.collect()
+
+
+def test_only_ids_have_to_fit_a_long(spark):
+    from tidegraph.sources.commands import parse_commands, parse_commands_short, rejected_commands
+
+    huge = "9" * 20
+    long = [f"addEdge 1 {huge} 2", f"addNode 5 {huge}", f"addEdge 1 a 2 {huge}", f"addEdge {huge} a 2", f"rmvEdge 1 a {huge}", f"addNode {huge}", f"loadOld 2024-01-05 10:00:00 {huge}"]
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(long)], "tick long, pos long, value string")
+    assert sorted(r.pos for r in parse_commands(lines).collect()) == [0, 1, 2, 6]
+    assert sorted(r.pos for r in rejected_commands(lines).collect()) == [3, 4, 5]
+    short = [f"addE 1 2 {huge}", f"addN 5 {huge}", f"rmvE 1 2 {huge}", f"addE 1 {huge} a", f"delN {huge}", f"earliest {huge}"]
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(short)], "tick long, pos long, value string")
+    assert sorted(r.pos for r in parse_commands_short(lines).collect()) == [0, 1, 2, 5]
+    assert sorted(r.pos for r in rejected_commands(lines, short=True).collect()) == [3, 4]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidegraph.schema import CHECKPOINT_EVERY, OPEN
 
 # Fixed value: how an id is written in a line of text.
-ID_PATTERN = r"^[+-]?[0-9]+$"
 
 
 def last_pos(condition: Column) -> Column:

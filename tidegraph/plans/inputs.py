@@ -50,6 +50,11 @@ def _with_noise(log: DataFrame, command: Column, extra: Column) -> DataFrame:
     ).select("tick", (F.col("pos") * 2 + F.col("turn")).alias("pos"), "value")
 
 
+def _with_ignored(line: Column) -> Column:
+    """On some rows a further word follows, too long for an id."""
+    return F.when(F.col("pos") % 100 == 34, F.concat(line, F.lit(" 99999999999999999999"))).otherwise(line)
+
+
 def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as text, with restore commands and lines that are no command."""
     log = command_log(spark, sf_dir)
@@ -59,7 +64,7 @@ def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(op.isin("addEdge", "rmvEdge"), _text(op, src, label, dst))
         .otherwise(_text(op, src))
     )
-    return _with_noise(log, line, F.lit("rmvEdge"))
+    return _with_noise(log, _with_ignored(line), F.lit("rmvEdge"))
 
 
 def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(op == "addNode", _text("addN", src, name))
         .otherwise(F.when(even, _text("delN", src, name)).otherwise(_text("rmvN", src)))
     )
-    return _with_noise(log, line, F.lit("delE"))
+    return _with_noise(log, _with_ignored(line), F.lit("delE"))
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ line AS (
   SELECT tick, pos, 0 AS turn,
          CASE WHEN pos % 500 = 9 THEN 'loadOld 2024-01-05 10:00:00'
               WHEN op IN ('addEdge', 'rmvEdge') THEN op || ' ' || src || ' ' || label || ' ' || dst
-              ELSE op || ' ' || src END AS raw,
+              ELSE op || ' ' || src END || CASE WHEN pos % 100 = 34 THEN ' 99999999999999999999' ELSE '' END AS raw,
          op, src, label, dst FROM cmd
   UNION ALL
   SELECT tick, pos, 1,
@@ -109,7 +109,7 @@ line AS (
               WHEN op = 'rmvEdge' THEN 'rmvE ' || src || ' ' || dst
               WHEN op = 'addNode' THEN 'addN ' || src || ' n' || src
               WHEN pos % 2 = 0 THEN 'delN ' || src || ' n' || src
-              ELSE 'rmvN ' || src END AS raw,
+              ELSE 'rmvN ' || src END || CASE WHEN pos % 100 = 34 THEN ' 99999999999999999999' ELSE '' END AS raw,
          CASE WHEN pos % 500 = 9 THEN 'earliest' ELSE op END AS op, src, label, dst FROM cmd
   UNION ALL
   SELECT tick, pos, 1,

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegraph.functions.columns import ID_PATTERN
 from tidegraph.runtime import join_small
 
 # The words of each dialect and the operation each stands for.
@@ -46,16 +45,21 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 FILE_STRIDE = 1 << 38
 
 
-def _valid(form: str) -> Column:
+def _valid(form: str, words: dict[str, str], far: int) -> Column:
     """Whether a line is a command, by its layout alone where that is enough.
 
     The test reads the raw line only, so Spark can filter before it splits.
     Digits may still not fit an id and a date may not exist; both are looked at
-    more closely only where they can occur.
+    more closely only where they can occur. Only the words that are ids have to
+    fit: the second of a node or an edge, and number ``far`` of an edge.
     """
     line = F.col("value")
-    ids = F.filter(F.slice(F.split(line, " "), 2, 3), lambda word: word.rlike(ID_PATTERN))
-    fits = ~line.rlike("[0-9]{19}") | F.forall(ids, lambda word: word.try_cast("long").isNotNull())
+    split = F.split(line, " ")
+    of = lambda *ops: [word for word, op in words.items() if op in ops]
+    is_id = lambda n: F.get(split, n - 1).try_cast("long").isNotNull()
+    is_edge = split[0].isin(of("addEdge", "rmvEdge"))
+    has_ids = is_edge | split[0].isin(of("addNode", "rmvNode"))
+    fits = ~line.rlike("[0-9]{19}") | ~has_ids | (is_id(2) & (~is_edge | is_id(far)))
     exists = ~line.startswith("loadOld") | F.try_to_timestamp(
         F.substring(line, 9, 19), F.lit(TIME_FORMAT)
     ).isNotNull()
@@ -87,7 +91,7 @@ def parse_commands(lines: DataFrame) -> DataFrame:
     op = F.col("op")
     edge = op.isin("addEdge", "rmvEdge")
     return _commands(
-        _split(lines.where(_valid(LONG_FORM)), LONG_WORDS),
+        _split(lines.where(_valid(LONG_FORM, LONG_WORDS, 4)), LONG_WORDS),
         F.when(op != "loadOld", _word(2)),
         F.when(edge, _word(3)).when(op == "loadOld", F.concat_ws(" ", _word(2), _word(3))),
         F.when(edge, _word(4)),
@@ -102,7 +106,7 @@ def parse_commands_short(lines: DataFrame) -> DataFrame:
     op = F.col("op")
     edge = op.isin("addEdge", "rmvEdge")
     return _commands(
-        _split(lines.where(_valid(SHORT_FORM)), SHORT_WORDS),
+        _split(lines.where(_valid(SHORT_FORM, SHORT_WORDS, 3)), SHORT_WORDS),
         F.when(op != "earliest", _word(2)),
         F.when(op != "earliest", F.coalesce(F.when(edge, _word(4)).otherwise(_word(3)), F.lit(""))),
         F.when(edge, _word(3)),
@@ -111,7 +115,7 @@ def parse_commands_short(lines: DataFrame) -> DataFrame:
 
 def rejected_commands(lines: DataFrame, short: bool = False) -> DataFrame:
     """The lines no command can be read from; the rest of the log goes on."""
-    valid = _valid(SHORT_FORM if short else LONG_FORM)
+    valid = _valid(SHORT_FORM, SHORT_WORDS, 3) if short else _valid(LONG_FORM, LONG_WORDS, 4)
     return lines.where(~valid).select("tick", "pos", F.col("value").alias("raw"))
 
 
