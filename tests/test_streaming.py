@@ -137,3 +137,38 @@ def test_names_last_over_batches(spark, tmp_path):
     stream.apply(batch_of(spark, ["addE 3 1 y", "delN 3 Gone"]), 2)
     stream.apply(batch_of(spark, ["addE 1 3 z", "addN 2 Jas"]), 3)
     assert rows(stream.vertices()) == [(1, "Jok"), (2, "Jas"), (3, "John Doe")]
+
+
+@pytest.mark.parametrize("kind", [StreamingFold, SequentialFold])
+def test_readers_see_committed_ticks_only(spark, tmp_path, kind):
+    stream = kind(spark, str(tmp_path / "store"), every=10)
+    stream.apply(batch_of(spark, ["addEdge 1 a 2"]), 1)
+    before = rows(stream.edges()), rows(stream.vertices())
+    write = stream.overwrite
+
+    def fails_at_the_marker(df, name, *partitions):
+        if name.startswith("ticks/"):
+            raise RuntimeError("lost")
+        write(df, name, *partitions)
+
+    stream.overwrite = fails_at_the_marker
+    with pytest.raises(RuntimeError):
+        stream.apply(batch_of(spark, ["addEdge 3 b 4"]), 2)
+    reader = kind(spark, str(tmp_path / "store"), every=10)
+    assert (rows(reader.edges()), rows(reader.vertices())) == before
+    reader.apply(batch_of(spark, ["addEdge 3 b 4"]), 2)
+    assert len(rows(reader.edges())) == 2
+
+
+def test_restore_without_a_snapshot_empties_the_graph_in_both_forms(spark, tmp_path, commands):
+    from tidegraph.operators.static import restore_then_fold
+
+    ticks = [["addEdge 1 a 2"], ["addEdge 3 b 4", "loadOld 2015-11-21 11:00:00", "addEdge 5 d 6"], ["addEdge 7 e 8"]]
+    stream = SequentialFold(spark, str(tmp_path / "store"), every=10)
+    for k, lines in enumerate(ticks, 1):
+        stream.apply(batch_of(spark, lines), k)
+    log = commands(*[(k, line) for k, lines in enumerate(ticks, 1) for line in lines])
+    none = spark.createDataFrame([], "snapshot_ms long, tick long")
+    expected = [(5, 6, "d"), (7, 8, "e")]
+    assert rows(stream.edges()) == expected
+    assert rows(restore_then_fold(log, None, none)) == expected

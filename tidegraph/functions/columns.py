@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidegraph.schema import CHECKPOINT_EVERY, OPEN
 
-# Fixed value: how an id is written in a line of text.
-
 
 def last_pos(condition: Column) -> Column:
     """Last log position at which ``condition`` holds in the group, -1 if never."""

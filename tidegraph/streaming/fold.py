@@ -29,15 +29,17 @@ class StreamingFold(TickedStream):
 
     def edges(self) -> DataFrame:
         """The whole history, ``(src, dst, start_tick, end_tick)``."""
-        version = self.version(self.tick() + 1)
-        recent = edge_intervals(self._since(version), self.mode)
+        tick = self.tick()
+        version = self.version(tick + 1)
+        recent = edge_intervals(self._since(version, tick), self.mode)
         if version == 0:
             return recent
         closed = self._stored_edges().where(f"NOT is_open AND version <= {version}")
         return closed.select(recent.columns).unionByName(recent)
 
     def vertices(self) -> DataFrame:
-        return self._merged_vertices(self.version(self.tick() + 1))
+        tick = self.tick()
+        return self._merged_vertices(self.version(tick + 1), tick)
 
     def status(self) -> DataFrame:
         return graph_status(self.edges(), self.vertices())
@@ -52,23 +54,23 @@ class StreamingFold(TickedStream):
         self.overwrite(edges.withColumn("is_open", F.col("end_tick") == OPEN), f"edges/version={tick}", "is_open")
         self.overwrite(self._merged_vertices(before, tick), f"vertices/version={tick}")
 
-    def _log(self, after: int, upto: int | None = None) -> DataFrame:
+    def _log(self, after: int, upto: int) -> DataFrame:
+        """The batches after tick ``after``, up to one that is committed or being folded."""
         log = self.spark.read.schema("pos long, op string, src long, dst long, tick long").parquet(f"{self.store}/log")
-        log = log.where(F.col("tick") > after)
-        return (log if upto is None else log.where(F.col("tick") <= upto)).select(LOG_COLUMNS)
+        return log.where((F.col("tick") > after) & (F.col("tick") <= upto)).select(LOG_COLUMNS)
 
     def _stored_edges(self) -> DataFrame:
         columns = ", ".join(f"{f.name} long" for f in EDGES)
         return self.spark.read.schema(f"{columns}, version long, is_open boolean").parquet(f"{self.store}/edges")
 
-    def _since(self, version: int, upto: int | None = None) -> DataFrame:
+    def _since(self, version: int, upto: int) -> DataFrame:
         """The batches after ``version`` on top of the edges open then, as one log."""
         log = self._log(version, upto)
         if version == 0:
             return log
         return log.unionByName(as_commands(self._stored_edges().where(f"is_open AND version = {version}")))
 
-    def _merged_vertices(self, version: int, upto: int | None = None) -> DataFrame:
+    def _merged_vertices(self, version: int, upto: int) -> DataFrame:
         # The log is compacted already, so it is folded as it stands.
         recent = vertex_fold(self._log(version, upto), "remove_then_add")
         if version == 0:

@@ -34,11 +34,13 @@ class SequentialFold(TickedStream):
 
     def edges(self) -> DataFrame:
         """``(src, dst, label)``; duplicates count in a bag."""
-        return self._edges(*self._state(self.tick()))
+        tick = self.tick()
+        return self._edges(*self._state(tick), tick)
 
     def vertices(self) -> DataFrame:
         """``(id, name)``"""
-        return self._vertices(*self._state(self.tick()))
+        tick = self.tick()
+        return self._vertices(*self._state(tick), tick)
 
     def restored(self, commands: DataFrame, tick: int) -> int | None:
         load = last_restore(commands)
@@ -46,7 +48,8 @@ class SequentialFold(TickedStream):
             return None
         saved = self.ticks().where((F.col("tick") < tick) & (F.col("tick") % self.every == 0))
         found = nearest_snapshot(saved, load["label"]).first()
-        return None if found is None else found["tick"]
+        # Without a snapshot the graph goes back to the empty one, which version 0 stands for.
+        return 0 if found is None else found["tick"]
 
     def compacted(self, commands: DataFrame) -> DataFrame:
         load = last_restore(commands)
@@ -76,20 +79,20 @@ class SequentialFold(TickedStream):
         last = restores.agg(F.max_by(F.struct("base", "tick"), "tick").alias("last")).first()["last"]
         return (version, version) if last is None else (last["base"], last["tick"] - 1)
 
-    def _log(self, after: int, upto: int | None) -> DataFrame:
-        log = self.spark.read.schema(LOG).parquet(f"{self.store}/log").where(F.col("tick") > after)
-        log = log if upto is None else log.where(F.col("tick") <= upto)
+    def _log(self, after: int, upto: int) -> DataFrame:
+        log = self.spark.read.schema(LOG).parquet(f"{self.store}/log")
+        log = log.where((F.col("tick") > after) & (F.col("tick") <= upto))
         # One order over all ticks; whatever a version holds comes before at position 0.
         return log.withColumn("pos", F.col("tick") * len(CANONICAL_POS) + F.col("pos")).select(LOG_COLUMNS)
 
-    def _edges(self, base: int, after: int, upto: int | None = None) -> DataFrame:
+    def _edges(self, base: int, after: int, upto: int) -> DataFrame:
         log = self._log(after, upto).drop("tick")
         if base:
             held = self.spark.read.schema(LABELLED_EDGES).parquet(f"{self.store}/edges/version={base}")
             log = log.unionByName(held.withColumn("op", F.lit("addEdge")).withColumn("pos", F.lit(0).cast("long")))
         return (fold_bag(log) if self.keep == "bag" else fold_set(log)).select("src", "dst", "label")
 
-    def _vertices(self, base: int, after: int, upto: int | None = None) -> DataFrame:
+    def _vertices(self, base: int, after: int, upto: int) -> DataFrame:
         log = self._log(after, upto).drop("tick")
         if base:
             held = self.spark.read.schema("id long, name string").parquet(f"{self.store}/vertices/version={base}")
