@@ -114,16 +114,18 @@ def test_window_reads_the_covering_checkpoint(spark):
     assert rows(paths.window_clock_arrival(frame, 1, 4, 5)) == [(1, 0), (5, 5)]
 
 
-def test_tables_stay_in_place_between_rounds(spark, monkeypatch):
-    """A round shuffles the offers and nothing else, even with no broadcast."""
+def test_edges_stay_in_place_between_rounds(spark, monkeypatch):
+    """A round joins the cached edges where they are, even with no broadcast."""
+    from tidegraph import runtime
+
     plans = []
-    counted = paths.cut_and_count
+    keep = runtime.Rounds.keep
 
-    def keep_plan(df, condition=None):
+    def keep_plan(self, df):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return counted(df, condition)
+        return keep(self, df)
 
-    monkeypatch.setattr(paths, "cut_and_count", keep_plan)
+    monkeypatch.setattr(runtime.Rounds, "keep", keep_plan)
     monkeypatch.setattr(paths, "FEW_EDGES", 30)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -132,11 +134,14 @@ def test_tables_stay_in_place_between_rounds(spark, monkeypatch):
         paths.clock_arrival(frame, edges[0][0])
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # The partitions of the cached edges are shown below their scan.
-    rounds = [plan.replace("REPARTITION_BY_NUM", "") for plan in plans[3:]]
+    rounds = [plan for plan in plans if "InMemoryTableScan" in plan]
     assert rounds
     for plan in rounds:
-        assert plan.count("ENSURE_REQUIREMENTS") == 1
+        # Only what changed is dealt out by source; the scan of the edges comes straight below the join.
+        lines = plan.split("InMemoryRelation")[0].splitlines()
+        scan = next(k for k, line in enumerate(lines) if "InMemoryTableScan" in line)
+        above = next(line for line in lines[:scan][::-1] if "Join" in line or "Exchange" in line)
+        assert "Join" in above
 
 
 def test_settings_are_put_back(spark):
@@ -144,3 +149,40 @@ def test_settings_are_put_back(spark):
     frame = spark.createDataFrame([(1, 2)], "src long, dst long")
     paths.bfs_hops(frame, 1)
     assert before == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled"))
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    edges = spark.createDataFrame([(k, k + 1, 1, OPEN) for k in range(40)], "src long, dst long, start_tick long, end_tick long")
+    assert rows(paths.bfs_hops(edges, 0)) == [(k, k) for k in range(41)]
+    assert rows(paths.bfs_hops(edges, 0, max_hops=20)) == [(k, k) for k in range(21)]
+    assert len(rows(paths.clock_arrival(edges, 0))) == 41
+
+
+def test_loops_use_the_sessions_width_and_leave_its_settings_alone(spark):
+    assert paths._partitions(10**12, 2000) == 2000
+    assert paths._partitions(1000, 2000) == 1
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    edges = spark.createDataFrame([(k, (k * 7 + 1) % 50) for k in range(50)], "src long, dst long")
+    paths.bfs_hops(edges, 0).collect()
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_rounds_write_changed_rows_and_are_deleted(spark, monkeypatch):
+    from tidegraph import runtime
+
+    written = []
+    keep = runtime.Rounds.keep
+
+    def counting(self, df):
+        table, n = keep(self, df)
+        written.append((self, n))
+        return table, n
+
+    monkeypatch.setattr(runtime.Rounds, "keep", counting)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(0, k) for k in range(100, 400)], "src long, dst long")
+    paths.bfs_hops(edges, 0).collect()
+    sizes = [n for _, n in written]
+    # The edges, the root, its neighbours, then one vertex a round, or all of them when rounds are merged.
+    assert sizes[:3] == [312, 1, 301]
+    assert sizes.count(1) >= 10 and sum(n > 1 for n in sizes[3:]) <= 3
+    assert not written[0][0].kept

@@ -40,9 +40,12 @@ def _node_fates(opens: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def edge_intervals(commands: DataFrame, mode: Mode = "last_wins") -> DataFrame:
+def edge_intervals(commands: DataFrame, mode: Mode = "last_wins", upto: int | None = None) -> DataFrame:
     """Every interval each edge was open: ``(src, dst, start_tick, end_tick)``.
 
+    With ``upto`` the history as it was known at that tick, which is a fold of
+    the commands up to it; the others are filtered out at the scan.
+
     An interval ends at the first tick after its start that removes the pair or
     an endpoint. Opens of a pair that end at the same tick are one interval.
     ``last_wins`` cancels within a tick by position, ``remove_then_add`` applies
@@ -55,6 +58,8 @@ def edge_intervals(commands: DataFrame, mode: Mode = "last_wins") -> DataFrame:
     pair last: the final aggregation then finds the rows partitioned by pair.
     """
     ordered = mode == "last_wins"
+    if upto is not None:
+        commands = commands.where(F.col("tick") <= upto)
     pairs = last_per_pair(commands)
     closes = pairs.where((F.col("removed") > F.col("added")) if ordered else (F.col("removed") >= 0))
     opens = pairs.where((F.col("added") > F.col("removed")) if ordered else (F.col("added") >= 0))

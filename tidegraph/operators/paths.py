@@ -12,29 +12,33 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import clock_step, contact_step, hop_step
 from tidegraph.operators.graph import endpoints
+from tidegraph.operators.lookup import lookup
 from tidegraph.operators.timetravel import checkpoint_at, covering_checkpoint, window_edges
-from tidegraph.runtime import cut_and_count, cut_lineage, fixed_layout
-from tidegraph.schema import MAX_HOPS
+from tidegraph.runtime import Rounds, cut_lineage
 
-# Edges one partition should hold in a small graph, and at most in a large one.
+# Edges a partition should hold at least, before the session's width is used in full.
 FEW_EDGES = 1 << 17
+# Out-edges from which on a vertex is a hub. A task holds the edges of some
+# vertices below that, whatever the width.
 HUB_EDGES = 1 << 21
+# Tables of changed rows that may stand next to the merged one.
+CHANGES_APART = 4
 
 
 def _partitions(edge_count: int, configured: int) -> int:
-    """The session's width, narrower for a small graph, wider for a very large one."""
-    return max(1, min(-(-edge_count // FEW_EDGES), max(configured, -(-edge_count // HUB_EDGES))))
+    """The session's width, narrower for a small graph."""
+    return max(1, min(-(-edge_count // FEW_EDGES), configured))
 
 
 def relax(
     edges: DataFrame,
     sources: DataFrame,
     step: Column,
-    max_hops: int | None = MAX_HOPS,
+    max_hops: int | None = None,
     vertices: DataFrame | None = None,
     hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
-    """Least value of every vertex over paths of at most ``max_hops`` edges.
+    """Least value of every vertex over all paths, or those of at most ``max_hops`` edges.
 
     ``sources`` is ``(id, value)``; a source that is not in the graph counts for
     nothing. ``step`` gives the value at the far end of an edge from the ``value``
@@ -43,77 +47,80 @@ def relax(
     vertices, where ``hops`` is the fewest edges that reach the vertex, and both
     are NULL for one out of reach.
 
-    Edges are partitioned by source once and stay in place. The table of values
-    has one row per vertex, partitioned by id, and keeps that partitioning from
-    round to round, so a round shuffles only offers, after taking their minimum
-    per task. Vertices with more than ``hub_edges`` out-edges are set apart:
-    their edges are spread over all partitions and their few values broadcast.
+    Edges are partitioned by source once and stay in place. A round shuffles
+    the vertices that changed in the last one and their offers, after taking
+    the minimum of these per task, and writes only the vertices that change.
+    Changes of a few rounds stand next to each other and are then merged, and
+    tables that are no longer needed are deleted. Vertices with more than
+    ``hub_edges`` out-edges are set apart and their edges spread over all
+    partitions. Whether a side is small enough to be broadcast is for Spark to
+    find out at run time; no setting of the session is touched.
     """
     spark = edges.sparkSession
-    edges, edge_count = cut_and_count(edges)
+    rounds = Rounds(spark, "relax")
+    edges, edge_count = rounds.keep(edges)
     width = _partitions(edge_count, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    hubs = None
+    plain, hub_side = edges, None
     if edge_count > hub_edges:
-        # At most edge_count / hub_edges rows, whatever the graph looks like.
-        hubs, hub_count = cut_and_count(
+        hubs, hub_count = rounds.keep(
             edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub_edges).select("src")
         )
-        hubs = hubs if hub_count else None
-    plain = edges if hubs is None else edges.join(F.broadcast(hubs), "src", "left_anti")
+        if hub_count:
+            # One row for each of at most edge_count / hub_edges hubs.
+            plain = lookup(edges, hubs, ["src"], "left_anti")
+            hub_side = lookup(edges, hubs, ["src"], "left_semi").repartition(width, "src", "dst")
+            hub_side = hub_side.persist(StorageLevel.MEMORY_AND_DISK)
     plain = plain.repartition(width, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
-    hub_side = None
-    if hubs is not None:
-        hub_side = edges.join(F.broadcast(hubs), "src", "left_semi").repartition(width, "src", "dst")
-        hub_side = hub_side.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def sent(edge_side: DataFrame, fresh: DataFrame) -> DataFrame:
-        return edge_side.join(fresh, "src").select(F.col("dst").alias("id"), step.alias("offer"), "round")
+    # A cached table says how it is partitioned once it has been filled.
+    plain.count()
+
+    def sent(joined: DataFrame) -> DataFrame:
+        return joined.select(F.col("dst").alias("id"), step.alias("value"), "round")
 
-    def offers(values: DataFrame) -> DataFrame:
+    def offers(changed: DataFrame) -> DataFrame:
         # The round travels with the rows: as a literal it would change the
         # generated code, and Spark would compile every round anew.
-        fresh = values.where("changed IS NOT NULL").select(
-            F.col("id").alias("src"), "value", (F.col("changed") + 1).alias("round")
-        )
-        found = sent(plain, fresh)
+        fresh = changed.select(F.col("id").alias("src"), "value", (F.col("round") + 1).alias("round"))
+        found = sent(plain.join(fresh.repartition(width, "src"), "src"))
         if hub_side is not None:
-            loud = F.broadcast(fresh.join(F.broadcast(hubs), "src", "left_semi"))
-            found = found.unionByName(sent(hub_side, loud))
-        return found.where("offer IS NOT NULL").groupBy("id").agg(
-            F.min("offer").alias("offer"), F.max("round").alias("round")
-        )
+            found = found.unionByName(sent(lookup(hub_side, fresh, ["src"], "inner")))
+        found = found.where("value IS NOT NULL")
+        return found.groupBy("id").agg(F.min("value").alias("value"), F.max("round").alias("round"))
+
+    def merged(tables: list[DataFrame]) -> DataFrame:
+        rows = tables[0]
+        for more in tables[1:]:
+            rows = rows.unionByName(more)
+        return rows.groupBy("id").agg(F.min("value").alias("value"), F.min("round").alias("round"))
 
     try:
-        with fixed_layout(spark, width):
-            known = endpoints(edges) if vertices is None else (
-                vertices.select("id").unionByName(endpoints(edges)).distinct()
-            )
-            zero = F.when(F.col("value").isNotNull(), F.lit(0).cast("long"))
-            start = known.join(sources.groupBy("id").agg(F.min("value").alias("value")), "id", "left").select(
-                "id", F.col("value").cast("long").alias("value"), zero.alias("hops"), zero.alias("changed")
-            )
-            in_last_round = F.col("changed").isNotNull()
-            better = F.col("offer").isNotNull() & (F.col("value").isNull() | (F.col("offer") < F.col("value")))
-            better_round = F.when(better, F.col("round"))
-            values, changes = cut_and_count(start, in_last_round)
-            rounds = 0
-            while changes and (max_hops is None or rounds < max_hops):
-                values, changes = cut_and_count(
-                    values.join(offers(values), "id", "left").select(
-                        "id",
-                        F.least("value", "offer").alias("value"),
-                        F.coalesce("hops", better_round).alias("hops"),
-                        better_round.alias("changed"),
-                    ),
-                    in_last_round,
-                )
-                rounds += 1
+        known = endpoints(edges) if vertices is None else (
+            vertices.select("id").unionByName(endpoints(edges)).distinct()
+        )
+        start = sources.where("value IS NOT NULL").groupBy("id").agg(F.min("value").cast("long").alias("value"))
+        start = start.join(known, "id", "left_semi").withColumn("round", F.lit(0).cast("long"))
+        changed, changes = rounds.keep(start)
+        reached, done = [changed], 0
+        while changes and (max_hops is None or done < max_hops):
+            better = offers(changed)
+            for k, table in enumerate(reached):
+                better = better.join(table.select("id", F.col("value").alias(f"held{k}")), "id", "left")
+            held = F.least(*[f"held{k}" for k in range(len(reached))]) if len(reached) > 1 else F.col("held0")
+            better = better.where(held.isNull() | (F.col("value") < held)).select("id", "value", "round")
+            changed, changes = rounds.keep(better)
+            if len(reached) > CHANGES_APART:
+                reached = [rounds.keep(merged(reached))[0]]
+                rounds.forget_all_but(edges, changed, *reached)
+            reached.append(changed)
+            done += 1
+        found = known.join(merged(reached).withColumnRenamed("round", "hops"), "id", "left")
+        return cut_lineage(found.select("id", "value", "hops"))
     finally:
         plain.unpersist()
         if hub_side is not None:
             hub_side.unpersist()
-    return values.select("id", "value", "hops")
+        rounds.forget_all_but()
 
 
 def _from(edges: DataFrame, root: int, value: int) -> DataFrame:
@@ -124,7 +131,7 @@ def _reached(found: DataFrame, column: str, name: str) -> DataFrame:
     return found.where("value IS NOT NULL").select("id", F.col(column).alias(name))
 
 
-def bfs_hops(edges: DataFrame, root: int, max_hops: int | None = MAX_HOPS, vertices: DataFrame | None = None) -> DataFrame:
+def bfs_hops(edges: DataFrame, root: int, max_hops: int | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, hops)`` of every vertex the root reaches along edge direction."""
     pairs = edges.select("src", "dst").distinct()
     return _reached(relax(pairs, _from(edges, root, 0), hop_step(), max_hops, vertices), "value", "hops")
@@ -135,7 +142,7 @@ def bfs_incremental(
     earlier: DataFrame,
     root: int,
     iteration: int,
-    max_hops: int | None = MAX_HOPS,
+    max_hops: int | None = None,
     vertices: DataFrame | None = None,
 ) -> DataFrame:
     """Earlier hops ``(id, hops)`` carried onto a changed graph.
@@ -159,7 +166,7 @@ def bfs_incremental(
     )
 
 
-def clock_arrival(edges: DataFrame, root: int, max_hops: int | None = MAX_HOPS, vertices: DataFrame | None = None) -> DataFrame:
+def clock_arrival(edges: DataFrame, root: int, max_hops: int | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, arrival)`` over interval edges, leaving the root at time 0."""
     found = relax(
         edges.select("src", "dst", "start_tick", "end_tick"), _from(edges, root, 0), clock_step(), max_hops, vertices
@@ -190,7 +197,7 @@ def fewest_hops(contacts: DataFrame, root: int, first: int, last: int, vertices:
 
 
 def window_clock_arrival(
-    edges: DataFrame, root: int, t1: int, t2: int, max_hops: int | None = MAX_HOPS, vertices: DataFrame | None = None
+    edges: DataFrame, root: int, t1: int, t2: int, max_hops: int | None = None, vertices: DataFrame | None = None
 ) -> DataFrame:
     """Clock arrival over edges started in ``[t1, t2)``, as the checkpoint after ``t2`` saw them.
 

@@ -163,12 +163,14 @@ _PAIRS = "pairs AS (SELECT DISTINCT src, dst FROM history)"
 _WALK = """
 walk AS (
   SELECT CAST(1 AS BIGINT) AS v, 0 AS hop
-  UNION SELECT p.dst, w.hop + 1 FROM walk w JOIN pairs p ON p.src = w.v WHERE w.hop < 20)"""
+  UNION SELECT p.dst, w.hop + 1 FROM walk w JOIN pairs p ON p.src = w.v
+  WHERE w.hop < (SELECT count(DISTINCT src) FROM pairs))"""
 _CLOCK = """
 walk AS (
-  SELECT CAST(1 AS BIGINT) AS v, CAST(0 AS BIGINT) AS x, 0 AS hop
-  UNION SELECT e.dst, CASE WHEN w.x <= e.start_tick THEN e.start_tick + 1 ELSE w.x + 1 END, w.hop + 1
-  FROM walk w JOIN used e ON e.src = w.v WHERE w.x <= e.end_tick AND w.hop < 20)"""
+  SELECT CAST(1 AS BIGINT) AS v, CAST(0 AS BIGINT) AS x
+  UNION SELECT e.dst, CASE WHEN w.x <= e.start_tick THEN e.start_tick + 1 ELSE w.x + 1 END
+  FROM walk w JOIN used e ON e.src = w.v
+  WHERE w.x <= e.end_tick AND w.x <= (SELECT max(start_tick) + 1 + count(DISTINCT src) FROM used))"""
 _CONTACT = """
 contact AS (SELECT DISTINCT src, dst, tick AS t FROM cmd WHERE op = 'addEdge'),
 walk AS (
@@ -294,6 +296,8 @@ UNION ALL SELECT dst, 'edge', 0, line FROM text WHERE src <> dst
 UNION ALL SELECT id, 'activity', seq, 'a' || id || seq || ' = ' || activity FROM activity WHERE id IN (SELECT id FROM present)""",
     "bfs_hops": f"""WITH RECURSIVE {FOLD}, {_PAIRS}, {_WALK}
 SELECT v AS id, CAST(min(hop) AS BIGINT) AS hops FROM walk GROUP BY v""",
+    "bfs_customer_chains": """
+SELECT c_custkey + 1 AS id, c_custkey % 40 + 1 AS hops FROM customer UNION ALL SELECT 0, 0""",
     "bfs_incremental": f"""WITH RECURSIVE {FOLD}, {_PAIRS},
 early AS (SELECT DISTINCT src, dst FROM history WHERE start_tick <= 5),
 {_WALK.replace("walk AS", "first_walk AS").replace("FROM walk", "FROM first_walk").replace("JOIN pairs", "JOIN early")},

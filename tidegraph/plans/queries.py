@@ -35,8 +35,8 @@ def _filled(commands: DataFrame) -> DataFrame:
     return commands.na.fill(-1, ["src", "dst"]).na.fill("", ["label"])
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.edge_intervals(inputs.command_log(spark, sf_dir))
+def _history(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
+    return intervals.edge_intervals(inputs.command_log(spark, sf_dir), upto=upto)
 
 
 # Text logs and edge lists
@@ -334,20 +334,24 @@ def vertex_dossier(spark, sf_dir):
 # Paths
 
 
-def _pairs_before(edges: DataFrame, tick: int) -> DataFrame:
-    return timetravel.checkpoint_at(edges, tick)
-
-
 @query
 def bfs_hops(spark, sf_dir):
     return paths.bfs_hops(_history(spark, sf_dir), ROOT)
 
 
+@query
+def bfs_customer_chains(spark, sf_dir):
+    """Customers in chains of forty, each hanging on vertex 0: paths longer than any usual bound on hops."""
+    customers = inputs.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("dst"))
+    before = F.when((F.col("dst") - 1) % 40 == 0, F.lit(0)).otherwise(F.col("dst") - 1).cast("long")
+    return paths.bfs_hops(customers.select(before.alias("src"), "dst"), 0)
+
+
 @query
 def bfs_incremental(spark, sf_dir):
-    history = _history(spark, sf_dir)
-    earlier = paths.bfs_hops(_pairs_before(history, 5), ROOT)
-    return paths.bfs_incremental(history, earlier, ROOT, 2)
+    """The graph at the end of day 5, then the whole one; the early fold reads five days only."""
+    earlier = paths.bfs_hops(_history(spark, sf_dir, upto=5), ROOT)
+    return paths.bfs_incremental(_history(spark, sf_dir), earlier, ROOT, 2)
 
 
 @query
@@ -357,7 +361,8 @@ def clock_arrival(spark, sf_dir):
 
 @query
 def window_clock_arrival(spark, sf_dir):
-    return paths.window_clock_arrival(_history(spark, sf_dir), ROOT, 4, 18)
+    seen = _history(spark, sf_dir, upto=timetravel.covering_checkpoint(18))
+    return paths.window_clock_arrival(seen, ROOT, 4, 18)
 
 
 @query
@@ -391,7 +396,8 @@ def checkpoints(spark, sf_dir):
 @query
 def checkpoint_roundtrip(spark, sf_dir):
     store = scratch_path(spark, "checkpoints")
-    snapshots.write_snapshots(timetravel.checkpoints(_history(spark, sf_dir), LAST_TICK), store)
+    seen = _history(spark, sf_dir, upto=15).withColumn("tick", F.lit(15).cast("long"))
+    snapshots.write_snapshots(seen, store)
     return snapshots.read_snapshot(spark, store, 15)
 
 
@@ -399,8 +405,8 @@ def checkpoint_roundtrip(spark, sf_dir):
 def text_snapshot_roundtrip(spark, sf_dir):
     log = inputs.command_log(spark, sf_dir)
     path = scratch_path(spark, "text-snapshot")
-    seen = timetravel.checkpoint_at(intervals.edge_intervals(log), 15)
-    snapshots.write_text_snapshot(intervals.vertex_fold(log).where("first_tick <= 15"), seen, path)
+    early = log.where("tick <= 15")
+    snapshots.write_text_snapshot(intervals.vertex_fold(early), intervals.edge_intervals(early), path)
     vertices = snapshots.read_text_vertices(spark, path).select(
         F.lit("vertex").alias("part"), F.col("id").alias("src"), F.col("id").alias("dst"),
         F.col("attr").cast("long").alias("start_tick"), F.col("attr").cast("long").alias("end_tick"),

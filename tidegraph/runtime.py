@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -81,20 +79,30 @@ def join_small(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return lookup(facts, table, [key], "inner")
 
 
-@contextmanager
-def fixed_layout(spark: SparkSession, partitions: int) -> Iterator[None]:
-    """Plan with ``partitions`` shuffle partitions and no re-planning at run time.
+class Rounds:
+    """Tables of a loop in the shared folder, each deleted when no longer needed."""
 
-    For loops whose tables are laid out once: adaptive execution would merge
-    partitions that have to line up, and a checkpoint of an adaptive plan does
-    not remember how it is partitioned.
-    """
-    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": "false"}
-    before = {key: spark.conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch_path(spark, name)
+        self.kept: dict[str, DataFrame] = {}
+
+    def keep(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``df`` written and read again, and its number of rows."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.kept[path] = self.spark.read.schema(df.schema).parquet(path)
+        # The files say how many rows they have.
+        return self.kept[path], self.kept[path].count()
+
+    def forget_all_but(self, *tables: DataFrame) -> None:
+        for path in [p for p, own in self.kept.items() if not any(own is t for t in tables)]:
+            del self.kept[path]
+            delete_folder(self.spark, path)
+        if not self.kept:
+            delete_folder(self.spark, self.folder)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own on any file system Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,10 +2,8 @@
 
 from pyspark.sql import types as T
 
-# The end of an interval that is still open, and the hop limit of
-# the hop-bounded path queries.
+# Fixed value: the end of an interval that is still open.
 OPEN = 9223372036854775807
-MAX_HOPS = 20
 
 # Fixed value: a checkpoint is taken every fifth tick.
 CHECKPOINT_EVERY = 5
