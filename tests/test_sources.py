@@ -164,10 +164,54 @@ def test_nearest_snapshot(spark):
     assert timetravel.nearest_snapshot(times, "2001-01-01 00:00:00").first()["tick"] == 1
 
 
-def test_overlong_files_are_refused(spark):
-    frame = spark.range(1).select(source.log_position(F.lit(1), F.lit(source.FILE_STRIDE)).alias("pos"))
-    with pytest.raises(Exception, match="too long"):
-        frame.collect()
+def _in_order(spark, root, expected):
+    found = source.read_batch_directories(spark, root).select("tick", "pos", "value").collect()
+    assert len({r.pos for r in found}) == len(found)
+    ordered = sorted(found, key=lambda r: r.pos)
+    assert [r.value for r in ordered] == expected
+    assert [r.tick for r in ordered] == sorted(r.tick for r in ordered)
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield spark
+    for key, value in before.items():
+        spark.conf.set(key, value)
+    spark.conf.unset("spark.sql.files.maxPartitionNum")
+
+
+def test_lines_of_a_splittable_compressed_file_keep_their_order(small_splits, tmp_path):
+    import bz2
+
+    lines = [f"addNode {k * 7919 % 1000003} {k}" for k in range(200_000)]
+    folder = tmp_path / "0"
+    folder.mkdir()
+    (folder / "a.txt.bz2").write_bytes(bz2.compress("".join(x + "\n" for x in lines).encode(), 1))
+    small_splits.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    _in_order(small_splits, str(tmp_path), lines)
+
+
+def test_lines_keep_their_order_when_a_task_reads_several_splits(small_splits, tmp_path):
+    lines = [f"addNode {k}" for k in range(60_000)]
+    folder = tmp_path / "0"
+    folder.mkdir()
+    (folder / "a.txt").write_text("".join(x + "\n" for x in lines))
+    small_splits.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    small_splits.conf.set("spark.sql.files.openCostInBytes", "1")
+    small_splits.conf.set("spark.sql.files.maxPartitionNum", "2")
+    _in_order(small_splits, str(tmp_path), lines)
+
+
+def test_many_small_files_follow_each_other_by_number(spark, tmp_path):
+    expected = []
+    for batch in range(2):
+        folder = tmp_path / str(batch)
+        folder.mkdir()
+        for part in (9, 10, 99_999, 100_000):
+            (folder / f"part-{part:05d}-x.txt").write_text(f"addNode {batch}\naddNode {part}\n")
+            expected += [f"addNode {batch}", f"addNode {part}"]
+    _in_order(spark, str(tmp_path), expected)
 
 
 def test_only_ids_have_to_fit_a_long(spark):

@@ -64,8 +64,7 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     stream = StreamingFold(spark, str(tmp_path / "store"), every=2)
 
     def batch(tick):
-        lines = [(v, "f", 0) for v in text([c for c in log if c[0] == tick])]
-        return spark.createDataFrame(lines, "value string, file string, block long").coalesce(1)
+        return batch_of(spark, list(text([c for c in log if c[0] == tick])))
 
     for tick in range(1, 4):
         stream.apply(batch(tick), tick + 10)
@@ -172,3 +171,30 @@ def test_restore_without_a_snapshot_empties_the_graph_in_both_forms(spark, tmp_p
     expected = [(5, 6, "d"), (7, 8, "e")]
     assert rows(stream.edges()) == expected
     assert rows(restore_then_fold(log, None, none)) == expected
+
+
+def test_numbered_directories_are_ticks_however_they_arrive(spark, tmp_path):
+    log = random_log(random.Random(4), 7, 120, range(8))
+    landing = tmp_path / "in"
+    landing.mkdir()
+
+    def arrive(*ticks):
+        for tick in ticks:
+            folder = landing / str(tick - 1)
+            folder.mkdir()
+            (folder / "a.txt").write_text("".join(line + "\n" for line in text([c for c in log if c[0] == tick])))
+
+    def resume():
+        stream = StreamingFold(spark, str(tmp_path / "store"), every=3, numbered=True)
+        stream.start(command_stream(spark, str(landing)), availableNow=True).awaitTermination()
+        return stream
+
+    arrive(1, 2, 3, 4)
+    assert rows(resume().edges()) == fold([c for c in log if c[0] <= 4], "last_wins")[0]
+    arrive(5, 6, 7)
+    stream = resume()
+    assert stream.tick() == 7
+    assert rows(stream.edges()) == fold(log, "last_wins")[0]
+    batch = spark.createDataFrame([("addEdge 1 a 2", 2, "f", 0)], "value string, batch long, file string, block long")
+    with pytest.raises(ValueError):
+        stream.apply(batch, 99)

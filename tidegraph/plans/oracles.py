@@ -239,6 +239,7 @@ SELECT tick,
        (SELECT count(*) FROM vertex WHERE first_tick <= tick) AS num_vertices
 FROM tick""",
     "stream_fold": f"WITH {COARSE}, {BATCH}, {HISTORY} SELECT src, dst, start_tick, end_tick FROM history",
+    "stream_batch_directories": f"WITH {TEXT}, {BATCH}, {HISTORY} SELECT src, dst, start_tick, end_tick FROM history",
     "stream_fold_set": f"WITH {TEXT}, {SET} SELECT src, dst, label FROM kept",
     "static_fold_bag": f"WITH {CMD}, {BAG} SELECT pos, src, dst, label FROM bag",
     "static_fold_set": f"WITH {CMD}, {SET} SELECT src, dst, label FROM kept",

@@ -135,6 +135,16 @@ def stream_fold(spark, sf_dir):
     return fold.edges()
 
 
+@query
+def stream_batch_directories(spark, sf_dir):
+    """Numbered directories that all lie there when the stream starts; each is a tick nevertheless."""
+    root = scratch_path(spark, "batches")
+    command_source.write_batch_directories(inputs.long_lines(spark, sf_dir), root)
+    fold = StreamingFold(spark, scratch_path(spark, "store"), every=5, numbered=True)
+    fold.start(command_stream(spark, root), availableNow=True).awaitTermination()
+    return fold.edges()
+
+
 @query
 def stream_fold_set(spark, sf_dir):
     store = scratch_path(spark, "store")

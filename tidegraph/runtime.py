@@ -68,15 +68,15 @@ def cut_and_count(df: DataFrame, condition: Column | None = None) -> tuple[DataF
     return kept, seen.get["n"]
 
 
-def join_small(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Inner join with a table of one row per key that is small as a rule, such as a file list.
+def join_small(facts: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table of one row per ``keys`` that is small as a rule, such as a file list.
 
     It is written and counted first, and broadcast only if it is small indeed.
     """
     table, rows = cut_and_count(table)
     if rows <= SMALL_ROWS:
-        return facts.join(F.broadcast(table), key)
-    return lookup(facts, table, [key], "inner")
+        return facts.join(F.broadcast(table), keys)
+    return lookup(facts, table, keys, "inner")
 
 
 class Rounds:

@@ -40,9 +40,11 @@ SHORT_FORM = (
 # Fixed value: the format of a restore time.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
-# Room for the lines of one file among the positions of a log: 256 GB of text,
-# and so over 30 million files.
-FILE_STRIDE = 1 << 38
+# Bits of a position that count the rows a task has read; the rank of the split stands above.
+ROW_BITS = 33
+# The number of the directory a file lies in, and that in the name of a file that Spark wrote.
+DIRECTORY = r"/(?:[A-Za-z_]+=)?([0-9]+)/[^/]+$"
+PART = r"/part-([0-9]+)[^/]*$"
 
 
 def _valid(form: str, words: dict[str, str], far: int) -> Column:
@@ -119,55 +121,59 @@ def rejected_commands(lines: DataFrame, short: bool = False) -> DataFrame:
     return lines.where(~valid).select("tick", "pos", F.col("value").alias("raw"))
 
 
-def log_position(rank: Column, offset: Column) -> Column:
-    """Position of a line from the 1-based rank of its file and its place in the file."""
-    too_long = F.raise_error(F.lit("a command file is too long for its lines to be numbered"))
-    return F.when(offset < FILE_STRIDE, (rank - 1) * FILE_STRIDE + offset).otherwise(too_long.cast("long"))
+def with_place(lines: DataFrame) -> DataFrame:
+    """``lines(value)`` of files with ``batch, file, block``: the split each line was read from.
+
+    ``batch`` is the number of the directory, null where it has none.
+    """
+    file = F.col("_metadata.file_path")
+    return lines.select(
+        "value",
+        F.regexp_extract(file, DIRECTORY, 1).try_cast("long").alias("batch"),
+        file.alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``batch, pos, value`` of lines ``with_place``, where ``pos`` rises over the whole log.
+
+    Splits follow each other by batch, number of the part, name and start. A
+    position is the rank of its split and then a number that rises with the
+    rows of its task, so nothing is assumed of the bytes of a file, compressed
+    or not, or of how many splits a task reads. Splits are ranked within their
+    batch; one row for each batch meets in the running sum.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    lines = lines.withColumn("row", row)
+    splits = lines.select("batch", "file", "block").distinct()
+    part = F.regexp_extract("file", PART, 1).try_cast("long")
+    within = F.row_number().over(W.partitionBy("batch").orderBy(part, "file", "block"))
+    before = W.orderBy("batch").rowsBetween(W.unboundedPreceding, -1)
+    batches = splits.groupBy("batch").agg(F.count("*").alias("n"))
+    batches = batches.select(F.col("batch").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = splits.withColumn("within", within).join(batches, F.col("batch").eqNullSafe(F.col("of")))
+    ranked = ranked.select("file", "block", (F.col("before") + F.col("within")).alias("rank"))
+    placed = join_small(lines, ranked, ["file", "block"])
+    pos = F.shiftleft(F.col("rank"), ROW_BITS).bitwiseOR(F.col("row"))
+    return placed.select("batch", pos.alias("pos"), "value")
 
 
 def read_batch_directories(spark: SparkSession, root: str) -> DataFrame:
     """Lines of ``root/<n>/*`` as ``(tick, pos, value)``; batch ``n`` is tick ``n + 1``.
 
-    Positions rise over the whole log, so it can be folded in order as well. A
-    line's place in its file is the start of its split plus its row number in
-    the split. Splits of one file never overlap that way, because a line has at
-    least one byte. Files follow each other by batch and name; ranking them needs
-    the file listing only, which the binary source gives without content.
+    Positions rise over the whole log, so it can be folded in order as well.
+    Files outside a numbered directory are left aside.
     """
-    batch = r"/(?:[A-Za-z_]+=)?([0-9]+)/[^/]+$"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(F.col("_metadata.file_path").alias("file"))
-        .withColumn("batch", F.regexp_extract("file", batch, 1).try_cast("long"))
-        .where("batch IS NOT NULL")
-        .withColumn("rank", F.row_number().over(W.orderBy("batch", "file")).cast("long"))
-    )
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(root)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            (
-                F.col("_metadata.file_block_start")
-                + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-            ).alias("offset"),
-        )
-    )
-    return join_small(lines, files, "file").select(
-        (F.col("batch") + 1).alias("tick"),
-        log_position(F.col("rank"), F.col("offset")).alias("pos"),
-        "value",
-    )
+    lines = with_place(spark.read.option("recursiveFileLookup", "true").text(root)).where("batch IS NOT NULL")
+    return numbered_lines(lines).select((F.col("batch") + 1).alias("tick"), "pos", "value")
 
 
 def write_batch_directories(lines: DataFrame, root: str) -> None:
     """Write ``(tick, pos, value)`` as numbered directories, in log order.
 
-    Range partitioning by position keeps a large batch in many files whose names
-    sort in log order, so no task has to hold a whole batch.
+    Range partitioning by position keeps a large batch in many files whose numbers
+    follow the log, so no task has to hold a whole batch.
     """
     (
         lines.select((F.col("tick") - 1).alias("n"), "pos", "value")

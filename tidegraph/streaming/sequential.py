@@ -30,6 +30,8 @@ class SequentialFold(TickedStream):
         self, spark: SparkSession, store: str, keep: Literal["bag", "set"] = "bag", default_name: str = "", **options
     ):
         super().__init__(spark, store, **options)
+        if self.numbered:
+            raise ValueError("the in-order fold takes micro-batches as ticks")
         self.keep, self.default_name = keep, default_name
 
     def edges(self) -> DataFrame:

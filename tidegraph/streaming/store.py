@@ -14,13 +14,11 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegraph.runtime import join_small
 from tidegraph.schema import CHECKPOINT_EVERY
-from tidegraph.sources.commands import log_position, parse_commands
+from tidegraph.sources.commands import numbered_lines, parse_commands, with_place
 
 MARKER = "tick long, snapshot_ms long, base long"
 
@@ -30,21 +28,7 @@ def command_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    )
-
-
-def _positions(batch: DataFrame) -> DataFrame:
-    """``(pos, value)`` of a batch, in order of file name, split and row."""
-    files = (
-        batch.select("file").distinct()
-        .withColumn("rank", F.row_number().over(W.orderBy("file")).cast("long"))
-    )
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return join_small(batch.withColumn("offset", F.col("block") + row), files, "file").select(
-        log_position(F.col("rank"), F.col("offset")).alias("pos"), "value"
-    )
+    return with_place(reader.text(path))
 
 
 class TickedStream:
@@ -57,8 +41,11 @@ class TickedStream:
         every: int = CHECKPOINT_EVERY,
         parse: Callable[[DataFrame], DataFrame] = parse_commands,
         clock: Callable[[], float] = time.time,
+        numbered: bool = False,
     ):
         self.spark, self.store, self.every, self.parse, self.clock = spark, store.rstrip("/"), every, parse, clock
+        # Whether a numbered directory is a tick, rather than a micro-batch.
+        self.numbered = numbered
         self._last: tuple[int, int] | None = None
         # Leaves a store that exists alone; a new one becomes readable.
         spark.createDataFrame([], MARKER).write.mode("ignore").parquet(f"{self.store}/ticks/batch=-1")
@@ -88,8 +75,11 @@ class TickedStream:
         """Fold one micro-batch. An empty one does not become a tick."""
         if batch.isEmpty():
             return
+        if self.numbered:
+            self._apply_numbered(batch, batch_id)
+            return
         tick = self._ticks_before(batch_id) + 1
-        lines = _positions(batch).withColumn("tick", F.lit(tick).cast("long"))
+        lines = numbered_lines(batch.withColumn("batch", F.lit(0))).withColumn("tick", F.lit(tick).cast("long"))
         commands = self.parse(lines).persist()
         try:
             base = self.restored(commands, tick)
@@ -98,14 +88,36 @@ class TickedStream:
             commands.unpersist()
         if tick % self.every == 0:
             self.write_version(tick, self.version(tick), base)
+        self._mark(batch_id, [tick], base)
+
+    def _apply_numbered(self, batch: DataFrame, batch_id: int) -> None:
+        """Fold the directories of one micro-batch, each as the tick after its number.
+
+        The driver sees one number for each directory. A file for a tick that
+        an earlier micro-batch has folded is refused, as history would change.
+        """
+        before = self._ticks_before(batch_id)
+        lines = numbered_lines(batch.where("batch IS NOT NULL")).withColumn("tick", F.col("batch") + 1)
+        commands = self.parse(lines).persist()
+        try:
+            ticks = sorted(r["tick"] for r in lines.select("tick").distinct().collect())
+            if not ticks:
+                return
+            if ticks[0] <= before:
+                raise ValueError(f"directory {ticks[0] - 1} has new files after tick {before} was folded")
+            log = self.compacted(commands).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            log.partitionBy("tick").parquet(f"{self.store}/log")
+        finally:
+            commands.unpersist()
+        for tick in range(before // self.every * self.every + self.every, ticks[-1] + 1, self.every):
+            self.write_version(tick, self.version(tick), None)
+        self._mark(batch_id, ticks, None)
+
+    def _mark(self, batch_id: int, ticks: list[int], base: int | None) -> None:
         # Last of all: a reader that sees the tick finds everything it needs.
-        marker = self.spark.range(1).select(
-            F.lit(tick).cast("long").alias("tick"),
-            F.lit(int(self.clock() * 1000)).cast("long").alias("snapshot_ms"),
-            F.lit(base).cast("long").alias("base"),
-        )
-        self.overwrite(marker, f"ticks/batch={batch_id}")
-        self._last = (batch_id, tick)
+        now = int(self.clock() * 1000)
+        self.overwrite(self.spark.createDataFrame([(t, now, base) for t in ticks], MARKER).coalesce(1), f"ticks/batch={batch_id}")
+        self._last = (batch_id, ticks[-1])
 
     def tick(self) -> int:
         return self._ticks_before(None)
