@@ -140,3 +140,89 @@ def base_score(rows):
 
 def same(found, expected):
     assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, expected), key=repr)
+
+
+def line_dedup(rows, min_docs=2, min_tokens=5, similar=0.8, min_left=0.3):
+    """(doc_id, n_tokens, n_lines, n_dropped, dropped, kept) of (doc_id, text)."""
+    import xxhash
+
+    def signed(text):
+        value = xxhash.xxh64_intdigest((text or "").encode(), 42)
+        return value - (1 << 64) if value >> 63 else value
+
+    def hash_of(text):
+        return 42 if text is None else signed(text)
+
+    def mask(line):
+        return ["<*>" if re.search("[0-9]", t) else t for t in BLANK_WORDS.findall(line)]
+
+    texts = {}
+    for doc_id, text in rows:
+        order = (doc_id is None, doc_id or 0, hash_of(text))
+        texts[text] = min(texts.get(text, order), order)
+    lines = defaultdict(list)  # by text: (pos, tokens)
+    for text in texts:
+        for pos, line in enumerate((text or "").split("\n")):
+            if mask(line):
+                lines[text].append((pos, tuple(mask(line))))
+    usable = {t for own in lines.values() for _, t in own if len(t) >= min_tokens and set(t) != {"<*>"}}
+    leaves = defaultdict(list)
+    for t in usable:
+        leaves[len(t), t[:3]].append(t)
+    template = {}
+    for leaf in leaves.values():
+        rest = sorted(leaf, key=lambda t: signed(" ".join(t)))
+        while rest:
+            group = [t for t in rest if sum(a == b for a, b in zip(t, rest[0], strict=True)) >= similar * len(t)]
+            made = tuple(own if all(t[k] == own for t in group) else "<*>" for k, own in enumerate(rest[0]))
+            template.update(dict.fromkeys(group, made))
+            rest = [t for t in rest if t not in group]
+    documents = defaultdict(set)
+    for text, own in lines.items():
+        for _, t in own:
+            if t in template:
+                documents[template[t]].add(texts[text])
+    out = []
+    for doc_id, text in rows:
+        gone = [
+            (pos, t)
+            for pos, t in lines[text]
+            if t in template and len(documents[template[t]]) >= min_docs and min(documents[template[t]]) != texts[text]
+        ]
+        size = sum(len(t) for _, t in lines[text])
+        left = size - sum(len(t) for _, t in gone)
+        out.append((doc_id, size, len(lines[text]), len(gone), [pos for pos, _ in gone], left >= min_left * size))
+    return out
+
+
+def shards(rows, max_bytes):
+    """doc_id -> (shard, its bytes, its rows) of (doc_id, text) with different ids."""
+
+    def bits(doc_id):
+        digest = hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()[:15]
+        return f"{int(digest, 16):060b}"
+
+    sizes = {d: len((t or "").encode()) for d, t in rows}
+    out = {}
+
+    def split(prefix, ids):
+        total = sum(sizes[d] for d in ids)
+        if total <= max_bytes or len(ids) == 1:
+            out.update(dict.fromkeys(ids, (prefix, total, len(ids))))
+            return
+        for bit in "01":
+            own = [d for d in ids if bits(d)[len(prefix)] == bit]
+            if own:
+                split(prefix + bit, own)
+
+    split("", [d for d, _ in rows])
+    return out
+
+
+def jaccard(a, b, words=5):
+    def shingles(text):
+        split = BLANK_WORDS.findall(lower_ascii(text))
+        return {tuple(split[k : k + words]) for k in range(max(1, len(split) - words + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
