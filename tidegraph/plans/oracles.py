@@ -159,6 +159,15 @@ activity AS (
   FROM cmd a WHERE op = 'addEdge'
     AND NOT EXISTS (SELECT 1 FROM cmd r WHERE r.op = 'addNode' AND r.src = a.src AND r.pos > a.pos))"""
 
+DOSSIER = f"""{SET}, {PRESENT}, {ACTIVITY},
+text AS (
+  SELECT src, dst, '((' || src || ',user' || src || '),(' || dst || ',user' || dst || '),' || label || ')' AS line FROM kept),
+dossier AS (
+SELECT id, 'vertex' AS section, CAST(0 AS BIGINT) AS seq, '(' || id || ',user' || id || ')' AS line FROM present
+UNION ALL SELECT src, 'edge', 0, line FROM text
+UNION ALL SELECT dst, 'edge', 0, line FROM text WHERE src <> dst
+UNION ALL SELECT id, 'activity', seq, 'a' || id || seq || ' = ' || activity FROM activity WHERE id IN (SELECT id FROM present))"""
+
 _PAIRS = "pairs AS (SELECT DISTINCT src, dst FROM history)"
 _WALK = """
 walk AS (
@@ -288,13 +297,25 @@ re AS (SELECT src, dst FROM history2 WHERE end_tick = {OPEN})
 {_difference("vertices", "lv", "rv", "id")}
 UNION ALL {_difference("edges", "le", "re", "src, dst")}""",
     "activity_log": f"WITH {CMD}, {ACTIVITY} SELECT * FROM activity",
-    "vertex_dossier": f"""WITH {CMD}, {SET}, {PRESENT}, {ACTIVITY},
-text AS (
-  SELECT src, dst, '((' || src || ',user' || src || '),(' || dst || ',user' || dst || '),' || label || ')' AS line FROM kept)
-SELECT id, 'vertex' AS section, CAST(0 AS BIGINT) AS seq, '(' || id || ',user' || id || ')' AS line FROM present
-UNION ALL SELECT src, 'edge', 0, line FROM text
-UNION ALL SELECT dst, 'edge', 0, line FROM text WHERE src <> dst
-UNION ALL SELECT id, 'activity', seq, 'a' || id || seq || ' = ' || activity FROM activity WHERE id IN (SELECT id FROM present)""",
+    "vertex_dossier": f"WITH {CMD}, {DOSSIER} SELECT * FROM dossier",
+    "dossier_store": f"""WITH {CMD.replace("cmd AS", "fine AS")}, cmd AS (SELECT * FROM fine WHERE tick <= 15), {DOSSIER}
+SELECT *, CAST(1 AS BIGINT) AS tick FROM dossier""",
+    "triplet_dump": f"""WITH {TRIPLETS}
+SELECT '((' || src || ',' || src_attr || '),(' || dst || ',' || dst_attr || '),' || label || ')' AS value FROM triplet""",
+    "labelled_text_roundtrip": f"WITH {CMD}, {BAG} SELECT src, dst, label FROM bag",
+    "named_vertices": f"""WITH {TEXT}, {PRESENT}
+SELECT p.id, CASE WHEN EXISTS (
+    SELECT 1 FROM cmd a WHERE a.op = 'addNode' AND a.src = p.id
+      AND NOT EXISTS (SELECT 1 FROM cmd r WHERE r.op = 'rmvNode' AND r.src = a.src AND r.pos > a.pos))
+  THEN 'n' || p.id ELSE 'John Doe' END AS name FROM present p""",
+    "stream_restore": f"""WITH {CMD.replace("cmd AS", "fine AS")},
+load AS (SELECT (tick - 1) // 10 + 1 AS batch, max(pos) AS pos FROM fine WHERE pos % 500 = 9 GROUP BY 1),
+last AS (SELECT max(batch) AS batch, max(pos) AS pos FROM load),
+cmd AS (
+  SELECT f.* FROM fine f, last WHERE f.pos % 500 <> 9 AND (
+    last.pos IS NULL OR f.pos > last.pos
+    OR (last.batch > 2 AND f.tick <= 20 AND f.pos > coalesce((SELECT max(pos) FROM load WHERE batch <= 2), -1)))), {BAG}
+SELECT src, dst, label FROM bag""",
     "bfs_hops": f"""WITH RECURSIVE {FOLD}, {_PAIRS}, {_WALK}
 SELECT v AS id, CAST(min(hop) AS BIGINT) AS hops FROM walk GROUP BY v""",
     "bfs_customer_chains": """

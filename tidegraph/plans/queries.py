@@ -171,6 +171,20 @@ def static_vertices(spark, sf_dir):
     return static.present_vertices(inputs.command_log(spark, sf_dir))
 
 
+@query
+def named_vertices(spark, sf_dir):
+    """Vertices with the names of the short dialect."""
+    return static.named_vertices(command_source.parse_commands_short(inputs.short_lines(spark, sf_dir)), DEFAULT_NAME)
+
+
+@query
+def stream_restore(spark, sf_dir):
+    """The in-order stream with restore commands before and after its first snapshot, in tick 2."""
+    fold = SequentialFold(spark, scratch_path(spark, "store"), "bag", every=2)
+    _streamed(spark, inputs.long_lines(spark, sf_dir), fold)
+    return fold.edges()
+
+
 @query
 def restore_nearest(spark, sf_dir):
     """After 20 days the graph goes back to the snapshot nearest to a time, then the log goes on."""
@@ -335,12 +349,33 @@ def activity_log(spark, sf_dir):
 
 @query
 def vertex_dossier(spark, sf_dir):
-    log = inputs.command_log(spark, sf_dir)
+    return _dossier(inputs.command_log(spark, sf_dir))
+
+
+def _dossier(log: DataFrame) -> DataFrame:
     vertices = static.present_vertices(log).withColumn("attr", F.concat(F.lit("user"), F.col("id").cast("string")))
     rows = graph.triplets(vertices, static.fold_set(log))
     return activity.vertex_dossier(vertices, rows, activity.activity_log(log))
 
 
+@query
+def triplet_dump(spark, sf_dir):
+    """Triplets as lines of text, written and read back."""
+    path = scratch_path(spark, "triplets")
+    snapshots.write_triplets(_supply_triplets(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+@query
+def dossier_store(spark, sf_dir):
+    """Dossiers after a batch of fifteen days and after one without commands, which writes nothing."""
+    log, path = inputs.command_log(spark, sf_dir), scratch_path(spark, "dossiers")
+    for tick, batch in enumerate([log.where("tick <= 15"), log.where(F.col("tick") > LAST_TICK)], start=1):
+        if not batch.isEmpty():
+            snapshots.write_dossiers(_dossier(batch), path, tick)
+    return spark.read.parquet(path).withColumn("tick", F.col("tick").cast("long"))
+
+
 # Paths
 
 
@@ -424,6 +459,15 @@ def text_snapshot_roundtrip(spark, sf_dir):
     return snapshots.read_text_intervals(spark, path).select(F.lit("edge").alias("part"), "*").unionByName(vertices)
 
 
+@query
+def labelled_text_roundtrip(spark, sf_dir):
+    """The labelled graph of the in-order fold through the text layout."""
+    log, path = inputs.command_log(spark, sf_dir), scratch_path(spark, "labelled-text")
+    vertices = static.present_vertices(log).withColumn("attr", F.lit(1))
+    snapshots.write_text_snapshot(vertices, static.fold_bag(log).select("src", "dst", "label"), path)
+    return snapshots.read_text_labelled(spark, path)
+
+
 @query
 def nearest_snapshot(spark, sf_dir):
     """A snapshot in every hour that has events; the time lies half-way between two hours."""

@@ -36,22 +36,35 @@ def local_session(name: str = "tidegraph", cores: str = "*", **conf: str) -> Spa
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent only a local master may fall back to a
-    temporary folder: on a cluster its files would die with the executor.
+    Where the setting is absent it is a folder on the session's default file
+    system. Only a local master may have that on its own disk: on a cluster its
+    files would die with the executor.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="tidegraph-")
+            home = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).getHomeDirectory()
+            configured = f"{home.toString()}/.tidegraph"
+            if configured.startswith("file:"):
+                if not sc.master.startswith("local"):
+                    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+                configured = tempfile.mkdtemp(prefix="tidegraph-")
         sc.setCheckpointDir(configured)
     return configured or sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tidegraph/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tidegraph/{spark.sparkContext.applicationId}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this application has left in the shared folder; its results cannot be read afterwards."""
+    delete_folder(spark, _scratch(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
