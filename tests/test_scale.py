@@ -109,3 +109,11 @@ def test_repeated_pairs_are_reduced_before_the_shuffle(spark):
 def test_shared_folder_follows_the_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == (configured or spark.sparkContext.getCheckpointDir())
+
+
+def test_activities_are_numbered_over_far_apart_positions(spark):
+    from tidegraph.operators.activity import numbered
+
+    rows = spark.range(0, 3000, 1, 4).select(F.lit(1).alias("k"), F.shiftleft("id", 33).alias("pos"))
+    found = numbered(rows, "k", "pos", "n", chunk_rows=1 << 10)
+    assert found.where(F.col("n") != F.shiftright("pos", 33) + 1).isEmpty() and found.count() == 3000

@@ -19,15 +19,19 @@ def numbered(df: DataFrame, key: str, order: str, name: str, chunk_rows: int = C
     A key may hold any share of the table, so it is never ranked in one piece.
     Its rows are cut into stretches of ``chunk_rows`` positions, which hold at
     most that many rows as positions are unique; each stretch is ranked by
-    itself and starts after the rows of the stretches before it.
+    itself and starts after the rows of the stretches before it. Stretches are
+    counted up the same way, in blocks, as positions may lie far apart.
     """
     chunked = df.withColumn("chunk", F.expr(f"{order} div {chunk_rows}"))
-    before = W.partitionBy(key).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        chunked.groupBy(key, "chunk")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(key, "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    counts = chunked.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.withColumn("block", F.expr(f"chunk div {chunk_rows}"))
+    in_block = W.partitionBy(key, "block").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    blocks = W.partitionBy(key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.groupBy(key, "block").agg(F.sum("rows").alias("rows")).select(
+        key, "block", F.coalesce(F.sum("rows").over(blocks), F.lit(0)).alias("before")
     )
+    starts = counts.withColumn("start", F.coalesce(F.sum("rows").over(in_block), F.lit(0))).join(before, [key, "block"])
+    starts = starts.select(key, "chunk", (F.col("start") + F.col("before")).alias("start"))
     place = F.row_number().over(W.partitionBy(key, "chunk").orderBy(order))
     return (
         chunked.withColumn("place", place)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegraph.operators import activity, compact, graph, intervals, paths, static, timetravel
 from tidegraph.plans import inputs
 from tidegraph.plans.inputs import DEFAULT_NAME, LAST_TICK
-from tidegraph.runtime import scratch_path
+from tidegraph.runtime import cut_lineage, scratch_path
 from tidegraph.schema import CHECKPOINT_EVERY, OPEN
 from tidegraph.sources import commands as command_source
 from tidegraph.sources import edge_lists, snapshots
@@ -111,8 +111,13 @@ def vertex_fold_rta(spark, sf_dir):
 
 @query
 def graph_status(spark, sf_dir):
-    log = inputs.command_log(spark, sf_dir)
-    return intervals.graph_status(intervals.edge_intervals(log), intervals.vertex_fold(log))
+    log = _compacted(inputs.command_log(spark, sf_dir))
+    return intervals.graph_status(intervals.edge_intervals(log), intervals.vertex_fold(log, "remove_then_add"))
+
+
+def _compacted(log: DataFrame) -> DataFrame:
+    """The log with what no tick cancels, worked out once; its vertices are folded as they stand."""
+    return cut_lineage(compact.compact_batches(log).select("tick", "pos", "op", "src", "dst"))
 
 
 def _streamed(spark: SparkSession, lines: DataFrame, fold: TickedStream) -> None:
@@ -335,11 +340,11 @@ def graph_equal(spark, sf_dir):
     """The graphs the two orders within a tick lead to, by their vertices and open pairs."""
     log = inputs.command_log(spark, sf_dir)
 
-    def side(mode):
-        pairs = intervals.edge_intervals(log, mode).where(F.col("end_tick") == OPEN).select("src", "dst")
-        return intervals.vertex_fold(log, mode).select("id"), pairs
+    def side(commands, mode):
+        pairs = intervals.edge_intervals(commands, mode).where(F.col("end_tick") == OPEN).select("src", "dst")
+        return intervals.vertex_fold(commands, "remove_then_add").select("id"), pairs
 
-    return graph.graph_equal(side("last_wins"), side("remove_then_add"))
+    return graph.graph_equal(side(_compacted(log), "last_wins"), side(log, "remove_then_add"))
 
 
 @query

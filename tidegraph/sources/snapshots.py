@@ -32,8 +32,12 @@ def read_snapshot(spark: SparkSession, path: str, tick: int, labelled: bool = Fa
 
 
 def snapshot_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """The ticks in the store, from partition values alone."""
-    return spark.read.schema("tick long").parquet(path).distinct()
+    """The ticks in the store, from the names of its directories; no file is opened."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [entry.getPath().getName() for entry in found]
+    ticks = [(int(name.removeprefix("tick=")),) for name in names if name.startswith("tick=")]
+    return spark.createDataFrame(ticks, "tick long")
 
 
 def write_text_snapshot(vertices: DataFrame, edges: DataFrame, path: str) -> None:
