@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a lost executor costs no recomputation."""
+    """``df`` written to the shared folder and read again: a lost executor costs no recomputation.
+
+    Zstandard, because the default codec keeps buffers outside the heap until
+    they happen to be collected.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
