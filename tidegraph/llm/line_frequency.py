@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import BLANKS, stored
+from tidegraph.llm.common import BLANKS
 from tidegraph.operators.lookup import lookup
+from tidegraph.runtime import SMALL_ROWS
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -55,63 +56,77 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return F.when(F.size(words) >= width, count).otherwise(0).cast("long")
 
 
-def document_rules(documents: DataFrame, host: str = "source") -> DataFrame:
-    """Figures of the base rules, and the hashes and words of the lines, in one pass over the texts."""
+def _own_host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
+
+
+def document_rules(documents: DataFrame, host: str, *more: Column | str) -> DataFrame:
+    """``host, text_hash``, the figures of the base rules and the columns ``more``, in one pass over the texts."""
     text = F.coalesce("text", F.lit(""))
+    names = ["row_columns", "host", "text_hash", "n_symbols"]
     rows = documents.select(
-        "doc_id",
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
+        F.struct(*more).alias("row_columns"),
+        _own_host(host),
         F.xxhash64("text").alias("text_hash"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.split(text, "\n").alias("lines"),
     )
     rows = rows.withColumn("split", F.transform("lines", lambda x: F.array_remove(F.split(x, BLANKS), "")))
     with_word = F.filter("lines", lambda _, k: F.size(F.get("split", k)) > 0)
-    rows = rows.select(
-        "doc_id",
-        "host",
-        "text_hash",
-        "n_symbols",
-        F.flatten("split").alias("words"),
-        with_word.alias("lines"),
-        F.filter(F.transform("split", lambda x: F.size(x)), lambda n: n > 0).alias("sizes"),
-    )
+    rows = rows.select(*names, F.flatten("split").alias("words"), with_word.alias("lines"))
     return rows.select(
-        "doc_id",
-        "host",
-        "text_hash",
+        *names,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.arrays_zip(F.transform("lines", line_hash).alias("hash"), F.col("sizes").alias("words")).alias("lines"),
     )
 
 
-def frequent_lines(rules: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """``host, text_hash, line, words``: lines above the limits, with the documents they are in.
+def frequent_lines(documents: DataFrame, host: str, min_docs: int, share: float) -> DataFrame:
+    """``host, text_hash, n_frequent_words, frequent``: texts with lines above the limits, and the lines' hashes.
 
-    Copies count as one document of their host, which they are after the first
-    grouping, so a text does not make its own lines frequent.
+    Texts are hashed line by line and travel as hashes. Copies count as one
+    document of their host, which they are after the first grouping, so a text
+    does not make its own lines frequent.
     """
-    documents = rules.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    documents = stored(documents, "line-digests")
-    hosts = documents.groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = documents.select("host", "text_hash", F.explode("lines").alias("l"))
-    lines = lines.select("host", "text_hash", F.col("l.hash").alias("line"), F.col("l.words").alias("words"))
-    distinct = documents.select("host", F.explode(F.array_distinct("lines.hash")).alias("line"))
+    own = documents.select(_own_host(host), F.xxhash64("text").alias("text_hash"), "text")
+
+    def digest(line: Column) -> Column:
+        size = F.size(F.array_remove(F.split(line, BLANKS), ""))
+        return F.struct(line_hash(line).alias("hash"), size.alias("words"))
+
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), digest), lambda d: d["words"] > 0)
+    texts = own.select("host", "text_hash", lines.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    hosts = own.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    distinct = texts.select("host", F.explode(F.array_distinct("lines.hash")).alias("line"))
     counts = distinct.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     above = lookup(counts, hosts, ["host"], "inner").where(F.col("n_docs") > F.col("host_docs") * share)
-    return lookup(lines, above.select("host", "line"), ["host", "line"], "inner")
+    found = texts.select("host", "text_hash", F.explode("lines").alias("l"))
+    found = found.select("host", "text_hash", F.col("l.hash").alias("line"), F.col("l.words").alias("words"))
+    found = lookup(found, above.select("host", "line"), ["host", "line"], "inner").groupBy("host", "text_hash")
+    return found.agg(F.sum("words").alias("n_frequent_words"), F.collect_set("line").alias("frequent"))
+
 
+def _judged(rows: DataFrame, frequent: DataFrame, min_words: int, min_left: float) -> DataFrame:
+    """``rows`` of ``document_rules`` with what is frequent in them, and the verdict.
 
-def _verdict(rows: DataFrame, min_words: int, min_left: float) -> DataFrame:
+    The frequent lines are counted before they are joined: up to ``SMALL_ROWS``
+    of them are broadcast, so the texts stay where they are; of more, both
+    sides are shuffled.
+    """
+    frequent = frequent.persist()
+    size = frequent.agg(F.sum(F.size("frequent"))).first()[0] or 0
+    keys = ["host", "text_hash"]
+    joined = rows.join(F.broadcast(frequent), keys, "left") if size <= SMALL_ROWS else lookup(rows, frequent, keys)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    frequent = F.coalesce("n_frequent_words", F.lit(0).cast("long"))
-    left = F.col("n_words") - frequent
-    kept = ~failed & (left >= min_words) & (left >= min_left * F.col("n_words"))
-    return rows.withColumns({"n_frequent_words": frequent, "base_failed": failed, "kept": kept})
+    gone = F.coalesce("n_frequent_words", F.lit(0).cast("long"))
+    left = F.col("n_words") - gone
+    # One number, not a conjunction: a part of it pushed below the join would
+    # work out the figures once more for every use in a filter on ``kept``.
+    rules = [~failed, left >= min_words, left >= min_left * F.col("n_words")]
+    kept = F.least(*[rule.cast("int") for rule in rules]) == 1
+    return joined.withColumns({"n_frequent_words": gone, "base_failed": failed, "kept": kept})
 
 
 def quality_rules(
@@ -134,13 +149,12 @@ def quality_rules(
     ``n_frequent_words`` (in frequent lines) and ``kept``. Documents of a host
     with the same text count once, repeated rows too, and get the same verdict.
     A null host is the empty one. Null and empty texts have no words and fail.
-    No rows: none. Other columns are not read. The texts are read once and not
-    shuffled; hosts and lines are counted inside tasks before they meet.
+    No rows: none. Other columns are not read. Hosts and lines are counted
+    inside tasks before they meet.
     """
-    rules = stored(document_rules(documents, host), "rules")
-    frequent = frequent_lines(rules, min_docs, share)
-    words = frequent.groupBy("host", "text_hash").agg(F.sum("words").alias("n_frequent_words"))
-    return _verdict(lookup(rules.drop("lines"), words, ["host", "text_hash"]), min_words, min_left)
+    rows = document_rules(documents, host, "doc_id")
+    judged = _judged(rows, frequent_lines(documents, host, min_docs, share), min_words, min_left)
+    return judged.select("row_columns.doc_id", *[c for c in judged.columns if c not in ("row_columns", "frequent")])
 
 
 def apply_quality_rules(
@@ -155,15 +169,9 @@ def apply_quality_rules(
 
     Limits and edge cases are those of ``quality_rules``. All columns are kept.
     """
-    rules = stored(document_rules(documents, host), "rules")
-    frequent = frequent_lines(rules, min_docs, share).groupBy("host", "text_hash")
-    frequent = frequent.agg(F.sum("words").alias("n_frequent_words"), F.collect_set("line").alias("frequent"))
-    texts = rules.groupBy("host", "text_hash").agg(F.max("n_words").alias("n_words"), F.max("n_repeat_words").alias("n_repeat_words"))
-    kept = _verdict(texts.join(frequent, ["host", "text_hash"], "left"), min_words, min_left).where("kept")
-    own_host = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
-    rows = documents.select(F.struct(*documents.columns).alias("row"), own_host, F.xxhash64("text").alias("text_hash"))
-    rows = lookup(rows, kept.select("host", "text_hash", "frequent"), ["host", "text_hash"], "inner")
-    text = F.col("row.text")
+    rows = document_rules(documents, host, *documents.columns)
+    kept = _judged(rows, frequent_lines(documents, host, min_docs, share), min_words, min_left).where("kept")
+    text = F.col("row_columns.text")
     lines = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("frequent", line_hash(x)))
     cut = F.when(F.col("frequent").isNull(), text).otherwise(F.array_join(lines, "\n"))
-    return rows.select(F.col("row").withField("text", cut).alias("row")).select("row.*")
+    return kept.select(F.col("row_columns").withField("text", cut).alias("row_columns")).select("row_columns.*")
