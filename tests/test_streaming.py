@@ -198,3 +198,22 @@ def test_numbered_directories_are_ticks_however_they_arrive(spark, tmp_path):
     batch = spark.createDataFrame([("addEdge 1 a 2", 2, "f", 0)], "value string, batch long, file string, block long")
     with pytest.raises(ValueError):
         stream.apply(batch, 99)
+
+
+@pytest.mark.parametrize("kind", [StreamingFold, SequentialFold])
+def test_retention_bounds_the_store(spark, tmp_path, kind):
+    log = random_log(random.Random(6), 12, 120, range(8))
+    stream = kind(spark, str(tmp_path / "store"), every=2, retain=1)
+    for tick in range(1, 13):
+        stream.apply(batch_of(spark, list(text([c for c in log if c[0] == tick]))), tick)
+        # A new process goes on, and may repeat the last batch.
+        stream = kind(spark, str(tmp_path / "store"), every=2, retain=1)
+        if tick in (4, 7):
+            stream.apply(batch_of(spark, list(text([c for c in log if c[0] == tick]))), tick)
+    assert len(list((tmp_path / "store" / "log").glob("tick=*"))) <= 4
+    if kind is StreamingFold:
+        assert rows(stream.edges()) == fold(log, "last_wins")[0]
+        assert rows(stream.vertices()) == fold(log, "last_wins")[1]
+        assert len(list((tmp_path / "store" / "vertices").glob("version=*"))) == 2
+    else:
+        assert rows(stream.edges()) == run_in_order(log, True)[0]

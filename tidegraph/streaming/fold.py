@@ -54,6 +54,10 @@ class StreamingFold(TickedStream):
         self.overwrite(edges.withColumn("is_open", F.col("end_tick") == OPEN), f"edges/version={tick}", "is_open")
         self.overwrite(self._merged_vertices(before, tick), f"vertices/version={tick}")
 
+    def only_for(self, version: int) -> list[str]:
+        # Closed intervals are written once and needed for ever.
+        return [f"edges/version={version}/is_open=true", f"vertices/version={version}"]
+
     def _log(self, after: int, upto: int) -> DataFrame:
         """The batches after tick ``after``, up to one that is committed or being folded."""
         log = self.spark.read.schema("pos long, op string, src long, dst long, tick long").parquet(f"{self.store}/log")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidegraph.runtime import delete_folder
 from tidegraph.schema import CHECKPOINT_EVERY
 from tidegraph.sources.commands import numbered_lines, parse_commands, with_place
 
@@ -42,10 +43,16 @@ class TickedStream:
         parse: Callable[[DataFrame], DataFrame] = parse_commands,
         clock: Callable[[], float] = time.time,
         numbered: bool = False,
+        retain: int | None = None,
     ):
         self.spark, self.store, self.every, self.parse, self.clock = spark, store.rstrip("/"), every, parse, clock
         # Whether a numbered directory is a tick, rather than a micro-batch.
         self.numbered = numbered
+        # How many versions before the last keep what only they need; None keeps all. One
+        # at least, for batches that are replayed and readers that have begun.
+        if retain is not None and retain < 1:
+            raise ValueError("one version before the last is needed")
+        self.retain = retain
         self._last: tuple[int, int] | None = None
         # Leaves a store that exists alone; a new one becomes readable.
         spark.createDataFrame([], MARKER).write.mode("ignore").parquet(f"{self.store}/ticks/batch=-1")
@@ -73,11 +80,19 @@ class TickedStream:
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Fold one micro-batch. An empty one does not become a tick."""
-        if batch.isEmpty():
-            return
-        if self.numbered:
-            self._apply_numbered(batch, batch_id)
-            return
+        # The text is read once, for the ranks of its splits and for its lines.
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            if self.numbered:
+                self._apply_numbered(batch, batch_id)
+            else:
+                self._apply_whole(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _apply_whole(self, batch: DataFrame, batch_id: int) -> None:
         tick = self._ticks_before(batch_id) + 1
         lines = numbered_lines(batch.withColumn("batch", F.lit(0))).withColumn("tick", F.lit(tick).cast("long"))
         commands = self.parse(lines).persist()
@@ -117,7 +132,22 @@ class TickedStream:
         # Last of all: a reader that sees the tick finds everything it needs.
         now = int(self.clock() * 1000)
         self.overwrite(self.spark.createDataFrame([(t, now, base) for t in ticks], MARKER).coalesce(1), f"ticks/batch={batch_id}")
+        before = ticks[0] - 1 if self._last is None else self._last[1]
         self._last = (batch_id, ticks[-1])
+        if self.retain is not None:
+            for version in range(before // self.every * self.every + self.every, ticks[-1] + 1, self.every):
+                self._forget(version - (self.retain + 1) * self.every)
+
+    def _forget(self, version: int) -> None:
+        """Delete the logs that led to ``version`` and what only it needs."""
+        for tick in range(max(1, version - self.every + 1), version + 1):
+            delete_folder(self.spark, f"{self.store}/log/tick={tick}")
+        for name in self.only_for(version):
+            delete_folder(self.spark, f"{self.store}/{name}")
+
+    def only_for(self, version: int) -> list[str]:
+        """Folders that no reader of a later version needs."""
+        return []
 
     def tick(self) -> int:
         return self._ticks_before(None)
