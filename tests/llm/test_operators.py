@@ -185,3 +185,35 @@ def test_frequent_lines_need_share_and_number(spark):
     assert found.where("n_frequent_words = 6").count() == 25 and found.where("NOT kept").isEmpty()
     copies = spark.createDataFrame([(k, f"{line}\n{body}", "h") for k in range(500)], docs.schema)
     assert line_frequency.quality_rules(copies).where("kept").count() == 500
+
+
+def near_pair(name, common, own):
+    """Two texts that share ``common`` shingles of five words and have ``own`` more each."""
+    base = [f"{name}w{k}" for k in range(common + 4)]
+    return [" ".join(base + [f"{name}{end}{k}" for k in range(own)]) for end in "ab"]
+
+
+def test_near_duplicates_are_those_of_that_similarity(spark):
+    # 144 / (144 + 36) is 0.8; 143 / (143 + 38) is 0.79, as is 15 / (15 + 4); of four and five shingles 4 are the same.
+    alike = [near_pair(f"p{k}x", 144, 18) for k in range(300)]
+    apart = [near_pair(f"q{k}x", 143, 19) for k in range(300)]
+    few = [(x, x.rsplit(" ", 1)[0]) for x in (f"r{k}a r{k}b r{k}c r{k}d r{k}e r{k}f r{k}g r{k}h r{k}i" for k in range(300))]
+    assert brute.jaccard(*alike[0]) == 0.8 == brute.jaccard(*few[0]) and 0.79 <= brute.jaccard(*apart[0]) < 0.8
+    rows = [(2 * k + end, pair[end]) for k, pair in enumerate([*alike, *apart, *few]) for end in (0, 1)]
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(900)} <= left
+    assert {2 * k + 1 for k in range(300, 600)} <= left
+    assert sum(2 * k + 1 in left for k in range(300)) <= 2
+    assert sum(2 * k + 1 in left for k in range(600, 900)) <= 2
+
+
+def test_near_duplicates_in_groups_that_are_not_compared_pair_by_pair(spark):
+    """A dense group of over 128 fingerprints whose members are linked by some of their pairs only."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(100 * f + k, " ".join([*base, *(f"f{f}x{j}" for j in range(40)), *(f"m{f}x{k}x{j}" for j in range(6 + k % 5))])) for f in range(2) for k in range(75)]
+    expected = brute.roots([d for d, _ in rows], lambda a, b, t=dict(rows): brute.jaccard(t[a], t[b]) >= 0.8)
+    least = {}
+    for d, root in expected.items():
+        least[root] = min(d, least.get(root, d))
+    found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == sorted(least.values()) and len(least) == 2
