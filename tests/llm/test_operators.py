@@ -217,3 +217,13 @@ def test_near_duplicates_in_groups_that_are_not_compared_pair_by_pair(spark):
         least[root] = min(d, least.get(root, d))
     found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in found) == sorted(least.values()) and len(least) == 2
+
+
+def test_a_passage_that_recurs_in_one_copy_does_not_hide_it(spark):
+    rows = []
+    for k in range(20):
+        text = " ".join(f"d{k}w{j}" for j in range(204))
+        rows += [(2 * k, text), (2 * k + 1, text + (" " + " ".join(f"d{k}s{j}" for j in range(10))) * 15)]
+    assert brute.jaccard(rows[0][1], rows[1][1]) > 0.9
+    found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [2 * k for k in range(20)]

@@ -80,7 +80,7 @@ def with_fingerprint(documents: DataFrame, words: int = 4, size: int = 1) -> Dat
 
 
 def with_shingle_set(documents: DataFrame, words: int, size: int) -> DataFrame:
-    """``documents`` with ``fingerprint`` as bytes, and hash ``node`` and number of ``shingles`` of the set of shingles of ``text``."""
+    """``documents`` with ``fingerprint`` as bytes, and hash ``node`` and number of ``shingles``, all of the set of shingles of ``text``."""
     from xxhash import xxh64_intdigest
 
     schema = documents.selectExpr("*", "binary('') as fingerprint", "0L as node", "0L as shingles").schema
@@ -88,9 +88,10 @@ def with_shingle_set(documents: DataFrame, words: int, size: int) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.as_py(), words) for t in batch.column(at).cast(pa.binary())]
+            # Without repetitions: a passage that recurs in one copy would outvote all others.
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(at).cast(pa.binary())]
             prints = pa.array([_majority(x, size).tobytes() for x in sets], pa.binary())
-            nodes = pa.array(np.array([xxh64_intdigest(np.unique(x).tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
+            nodes = pa.array(np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
             counts = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints, nodes, counts], names=schema.names)
 
