@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tidegraph.llm.decontaminate import WindowIndex, _without
 from tidegraph.llm.elias_fano import EliasFano
@@ -130,3 +131,18 @@ def test_window_index_and_cutting():
     hits = {(a, b, tuple(index.items[k] for k in own)) for a, b, own in index.scan(ids)}
     assert hits == {(1, 4, ("1",)), (2, 5, ("1", "2")), (3, 6, ("2",)), (7, 8, ("3",))}
     assert _without("Z, a b! c é d", [{"begin": 1, "end": 4}]) == "Z,   é d"
+
+
+PLAIN = Tokenizer.from_file(WORD_BPE)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "foo", "Bar.", ",", " ", "\n", "\x1c", "é", "Σ", "\u0301"]), max_size=12))
+def test_markers_encode_like_the_library_does(pieces):
+    text = "".join(pieces)
+    assert np.frombuffer(encoder(WORD_BPE).encode(text), "<u2").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_a_marker_has_one_id():
+    ids = np.frombuffer(encoder(WORD_BPE).encode("foo <|endoftext|> bar"), "<u2").tolist()
+    assert ids == [23435, 49407, 2411]

@@ -46,7 +46,8 @@ class WordEncoder:
 
     ``word_bpe_49k.json`` is of that kind: it composes and lowers characters,
     drops white space and splits there before any merge, so a text's ids are
-    those of its words in order. A word is encoded once and remembered. The
+    those of its words in order. The markers of the vocabulary, such as
+    ``<|endoftext|>``, hold no white space and have their own ids. A word is encoded once and remembered. The
     memory is emptied when it holds ``limit`` words; words of over 64
     characters are not kept.
     """
@@ -56,7 +57,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # Ids that the caller appends are below the size of the vocabulary.
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.limit = limit
@@ -74,6 +74,9 @@ class WordEncoder:
             return []
         if any(c in text for c in _ODD):
             return _ASCII_WORDS.findall(text)
+        if "<|" in text:
+            # A marker as it stands has one id; what lowering would make one has not.
+            return text.split()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
