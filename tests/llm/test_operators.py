@@ -227,3 +227,13 @@ def test_a_passage_that_recurs_in_one_copy_does_not_hide_it(spark):
     assert brute.jaccard(rows[0][1], rows[1][1]) > 0.9
     found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in found) == [2 * k for k in range(20)]
+
+
+def test_rows_of_null_and_repeated_ids_are_written_once(spark, documents, tmp_path):
+    more = spark.createDataFrame([(7, "x" * 100, k) for k in range(300)] + [(None, "y" * 100, k) for k in range(50)], "doc_id long, text string, n_chars long")
+    docs = documents.select(*BASE, "row").unionByName(more, allowMissingColumns=True)
+    sharding.write_shards(docs, str(tmp_path / "out"), 20_000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    same(map(repr, back.select(docs.columns).collect()), map(repr, docs.collect()))
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("docs")).collect()
+    assert len(sizes) > 5 and all((r.n or 0) <= 20_000 or r.docs == 1 for r in sizes)

@@ -75,8 +75,17 @@ def assign_shards(documents: DataFrame, max_bytes: int) -> DataFrame:
     stays a table and the driver sees one sum.
     """
     number = F.monotonically_increasing_id()
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    rows = stored(documents.select("doc_id", size, number.alias("row")), "sizes")
+    rows = stored(documents.select("doc_id", _size("text"), number.alias("row")), "sizes")
+    placed, sizes = _places(rows, max_bytes)
+    return lookup(placed, sizes, ["shard"], "inner").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")
+
+
+def _places(rows: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, n_bytes, shard, depth`` of each of ``rows(doc_id, n_bytes, row)``, and the sizes of the shards."""
     address = F.concat(hash_bits(F.col("doc_id")), hash_bits(F.col("row")))
     rows = rows.withColumn("address", address)
     parts = directory(rows.select("address", F.col("n_bytes").alias("bytes")), max_bytes)
@@ -93,12 +102,19 @@ def assign_shards(documents: DataFrame, max_bytes: int) -> DataFrame:
     # The empty prefix is the only shard there is, or there is none of that name.
     placed = placed.withColumn("shard", F.substring("address", F.lit(1), F.col("depth")))
     placed = placed.select("doc_id", "row", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"))
-    sizes = placed.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
-    return lookup(placed, sizes, ["shard"], "inner").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+    return placed, placed.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
 
 
 def write_shards(documents: DataFrame, folder: str, max_bytes: int) -> None:
-    """Write ``documents`` as Parquet, one folder ``shard=p<prefix>`` for each shard; ids have to be unique."""
-    places = assign_shards(documents, max_bytes).select("doc_id", F.concat(F.lit("p"), "shard").alias("shard"))
-    rows = documents.drop("shard").join(places, "doc_id")
-    rows.repartition("shard").write.partitionBy("shard").parquet(folder)
+    """Write ``documents`` as Parquet, one folder ``shard=p<prefix>`` for each shard.
+
+    The documents are written once with the numbers of their rows, which are
+    what places are found by, so rows with null or repeated ids come out once
+    each, in the shard ``assign_shards`` gives them.
+    """
+    document = F.struct(*documents.drop("shard").columns).alias("document")
+    rows = stored(documents.select(document, F.monotonically_increasing_id().alias("row")), "numbered")
+    placed, _ = _places(rows.select("document.doc_id", _size("document.text"), "row"), max_bytes)
+    places = placed.select("row", F.concat(F.lit("p"), "shard").alias("shard"))
+    placed_rows = lookup(rows, places, ["row"], "inner").select("document.*", "shard")
+    placed_rows.repartition("shard").write.partitionBy("shard").parquet(folder)
