@@ -279,6 +279,8 @@ def similar_roots(nodes: DataFrame, bits: int, chance: float, verify: Callable[[
     empty = close.where("a <> a")
     links, roots = empty, empty.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for k in range(3):
+        if untried.isEmpty():
+            break
         few = untried
         if k < 2:
             # The smallest neighbour of each node, from the other end in turn.
