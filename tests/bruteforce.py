@@ -97,3 +97,7 @@ def relax(edges, sources, step, max_hops):
         for v in better:
             hops.setdefault(v, hop)
     return best, hops
+
+
+def rows(df):
+    return sorted(tuple(row) for row in df.collect())

@@ -22,7 +22,3 @@ def commands(spark):
         return parse_commands(spark.createDataFrame(rows, "tick long, pos long, value string"))
 
     return make
-
-
-def rows(df):
-    return sorted(tuple(row) for row in df.collect())

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from bruteforce import rows
 from pyspark.sql import functions as F
 
 from tidegraph.operators import activity, graph

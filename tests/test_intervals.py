@@ -1,8 +1,7 @@
 import random
 
 import pytest
-from bruteforce import fold, random_log
-from conftest import rows
+from bruteforce import fold, random_log, rows
 from pyspark.sql import functions as F
 
 from tidegraph.operators.compact import compact_batches

@@ -1,8 +1,7 @@
 import random
 
 import pytest
-from bruteforce import OPEN, relax
-from conftest import rows
+from bruteforce import OPEN, relax, rows
 
 from tidegraph.functions import clock_step
 from tidegraph.operators import paths

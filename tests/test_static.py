@@ -1,8 +1,7 @@
 import random
 
 import pytest
-from bruteforce import random_log, run_in_order
-from conftest import rows
+from bruteforce import random_log, rows, run_in_order
 
 from tidegraph.operators import static
 from tidegraph.sources.commands import parse_commands
