@@ -14,7 +14,6 @@ from tidegraph.llm.queries import QUERIES
 @pytest.fixture(scope="module")
 def encoded(doc_rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     return [(d, tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t, _, _ in doc_rows]
 
 
