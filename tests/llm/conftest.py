@@ -59,8 +59,8 @@ def tables(tmp_path_factory, documents, items):
     folder = str(tmp_path_factory.mktemp("tables"))
     documents.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
     items.write.parquet(f"{folder}/benchmark.parquet")
-    labels = pq.read_table(f"{SF_DIR}/labels.parquet")
-    pq.write_table(labels, f"{folder}/labels.parquet")
+    for name in ("labels", "conversations", "embeddings"):
+        pq.write_table(pq.read_table(f"{SF_DIR}/{name}.parquet"), f"{folder}/{name}.parquet")
     return folder
 
 
@@ -72,4 +72,6 @@ def no_tables(tmp_path_factory):
     pq.write_table(pa.schema([("item_id", pa.int64()), ("text", pa.string())]).empty_table(), f"{folder}/benchmark.parquet")
     labels = [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]
     pq.write_table(pa.schema(labels).empty_table(), f"{folder}/labels.parquet")
+    for name in ("conversations", "embeddings"):
+        pq.write_table(pq.read_schema(f"{SF_DIR}/{name}.parquet").empty_table(), f"{folder}/{name}.parquet")
     return folder

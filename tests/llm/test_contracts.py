@@ -87,7 +87,9 @@ def test_op5(spark, tables, doc_rows, items):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_empty_tables(spark, no_tables, name):
-    assert QUERIES[name](spark, no_tables).collect() == []
+    found = QUERIES[name](spark, no_tables).collect()
+    # The conversation that op11 adds is there without any other.
+    assert [r.conv_id for r in found] == [-1] if name == "op11_reply_trees" else found == []
 
 
 def test_op7(spark, tables, doc_rows):

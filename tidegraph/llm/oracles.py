@@ -77,8 +77,28 @@ sharded AS (SELECT doc_id, n_bytes, substr(address, 1, depth) AS shard, CAST(dep
 SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY shard) AS BIGINT) AS shard_bytes, count(*) OVER (PARTITION BY shard) AS shard_docs
 FROM sharded"""
 
+_CONTROL = r"'(<\\*)(/?s>)|(\[\\*)(/?(?:INST|SYS|ROLE)\])', '\1\3\\\2\4', 'g'"
+
+_OP11 = rf"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+row AS (
+  SELECT *, regexp_replace(text, {_CONTROL}) AS escaped, length(escaped) + CASE role
+           WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 13
+           ELSE 21 + length(regexp_replace(role, {_CONTROL})) END AS chars FROM said),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars) AS formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, escaped) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, escaped) FILTER (WHERE role = 'assistant'), '') AS learnt
+  FROM row GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+       sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined"""
+
 ORACLES: dict[str, str] = {
     "op4_line_frequency": _OP4,
     "op5_decontamination": _OP5,
     "op8_extendible_hashing": _OP8,
+    "op11_reply_trees": _OP11,
 }

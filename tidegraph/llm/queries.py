@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import table
@@ -110,6 +110,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents, train_language_model(documents))
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back."""
+    from tidegraph.llm.reply_trees import chat_digests, format_conversations, reply_paths
+
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    # A turn replies to the one before it; rows without a turn come first.
+    rows = rows.withColumn("turn", F.coalesce("turn", F.lit(-(1 << 63)).cast("long")))
+    turns = rows.select("conv_id", "turn").distinct()
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    names = {"tree": "conv_id", "message": "turn"}
+    paths = reply_paths(turns.withColumn("reply_to", before), best=1, parent="reply_to", score=None, **names)
+    return chat_digests(format_conversations(rows, paths, **names))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_vector_packing": op2_vector_packing,
@@ -121,4 +137,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extendible_hashing": op8_extendible_hashing,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_language_id": op10_language_id,
+    "op11_reply_trees": op11_reply_trees,
 }
