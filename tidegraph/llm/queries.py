@@ -126,6 +126,13 @@ def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_conversations(rows, paths, **names))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of the words of all documents, with planted misspellings."""
+    from tidegraph.llm.spelling import count_words, group_variants
+
+    return group_variants(count_words(table(spark, sf_dir, "documents"), every=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_vector_packing": op2_vector_packing,
@@ -138,4 +145,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_language_id": op10_language_id,
     "op11_reply_trees": op11_reply_trees,
+    "op12_spelling_variants": op12_spelling_variants,
 }
