@@ -114,7 +114,7 @@ def _blocks(words: DataFrame, rounds: Rounds, block_chars: int) -> DataFrame:
     enough or one character wide; then its words differ in two characters at
     most, so the alphabet bounds them. Only counts of blocks are shuffled here.
     """
-    size = F.explode(F.array(F.length("word"), F.length("word") - 1))
+    size = F.explode(F.filter(F.array(F.length("word"), F.length("word") - 1), lambda s: s >= 0))
     rows = words.select("word", "n", size.alias("size")).withColumns({"low": F.lit(0), "high": F.col("size")})
     rows, done = _placed(rows), []
     while True:
