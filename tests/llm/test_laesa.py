@@ -1,0 +1,99 @@
+"""Vector codes against plain nearest entries."""
+
+import hashlib
+import math
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidegraph.llm import laesa
+from tidegraph.llm.queries import QUERIES
+
+
+def plain_codes(rows, parts=4, entries=256, rounds=4):
+    """(vec_id, code, error, label_error, digest) of (vec_id, vector, label), in whole Python numbers."""
+    kept = []
+    for vec_id, vector, label in rows:
+        if vector and all(x is not None and math.isfinite(x) for x in vector):
+            kept.append((vec_id, [math.floor(1024 * x) for x in vector], label))
+    kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    if not kept:
+        return []
+    size = len(kept[0][1]) // parts
+    books, codes = [], []
+    for part in range(parts):
+        points = [v[part * size : part * size + size] for _, v, _ in kept]
+        book = [list(p) for p in points[:entries]]
+
+        def nearest(book=book, points=points):
+            out = []
+            for p in points:
+                away = [sum((a - b) ** 2 for a, b in zip(p, e, strict=True)) for e in book]
+                out.append((away.index(min(away)), min(away)))
+            return out
+
+        for _ in range(rounds):
+            found = nearest()
+            for k in range(len(book)):
+                own = [p for p, (place, _) in zip(points, found, strict=True) if place == k]
+                if own:
+                    book[k][:] = [sum(xs) // len(own) for xs in zip(*own, strict=True)]
+        books.append(book)
+        codes.append(nearest())
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    errors, by_label = [], {}
+    for k, (_, _, label) in enumerate(kept):
+        errors.append(sum(c[k][1] for c in codes))
+        by_label[label] = by_label.get(label, 0) + errors[-1]
+    return [
+        (r[0], "".join(f"{c[k][0]:02x}" for c in codes), errors[k], by_label[r[2]], digest) for k, r in enumerate(kept)
+    ]
+
+
+def edge_rows(count, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(k, [float(x) for x in rng.normal(0, 0.1, 8).astype("f4")], int(rng.integers(0, 3))) for k in range(count)]
+    rows += [(3, rows[3][1], 1)] * 5  # repeated rows
+    rows += [(500 + k, rows[k % 7][1], None) for k in range(20)]  # equal vectors, no label
+    rows += [(600 + k, [0.0] * 8, 1) for k in range(9)]
+    rows += [(700, None, 1), (701, [], 1), (702, [1.0, float("nan")] * 4, 1), (703, [float("inf")] * 8, 1), (704, [None] + [0.0] * 7, 1)]
+    return [*rows, (None, [0.25, -0.25] * 4, None)]
+
+
+@pytest.mark.parametrize("count,entries,pivots", [(150, 16, 3), (60, 256, 8), (1, 4, 1)])
+def test_codes(spark, count, entries, pivots):
+    rows = edge_rows(count, count) if count > 1 else [(1, [0.5] * 8, None)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, code string, part int")
+    books, placed = laesa.train_codebooks(laesa.whole_vectors(frame.repartition(4)), entries=entries, pivots=pivots)
+    found = laesa.errors_by_label(laesa.encode_vectors(placed, books)).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()))
+    brute.same(found.collect(), plain_codes(rows, entries=entries))
+
+
+def test_vectors_of_other_lengths_and_sizes(spark):
+    rows = [(1, [1.0] * 8, 1), (2, [1.0] * 12, 1), (3, [1e30] * 8, 1), (4, [-2.5] * 8, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    books, placed = laesa.train_codebooks(laesa.whole_vectors(frame))
+    assert sorted(r.vec_id for r in laesa.encode_vectors(placed, books).collect()) == [1, 4]
+    with pytest.raises(ValueError):
+        laesa.train_codebooks(laesa.whole_vectors(frame), parts=3)
+
+
+def test_bounds_prune_and_ties_go_to_the_lower_entry():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-2000, 2000, (64, 4))
+    entries = np.concatenate([centres, centres[:5]])  # the last five are never nearest
+    points = centres[rng.integers(0, 64, 3000)] + rng.integers(-40, 40, (3000, 4))
+    pivots = laesa._fixed_pivots(entries[None], 6)[0]
+    place, best, evaluated = laesa.nearest_entries(points, laesa._distances(points, pivots), entries, laesa._distances(entries, pivots))
+    exact = ((points[:, None] - entries[None]) ** 2).sum(2)
+    assert (best == exact.min(1)).all() and (place == exact.argmin(1)).all()
+    assert evaluated < 0.4 * exact.size
+
+
+def test_op13(spark, tables):
+    columns = ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    found = QUERIES["op13_laesa_codes"](spark, tables).select(columns).collect()
+    rows = spark.read.parquet(f"{tables}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    brute.same(found, plain_codes([tuple(r) for r in rows]))

@@ -133,6 +133,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(count_words(table(spark, sf_dir, "documents"), every=97))
 
 
+def op13_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four parts for all vectors, with their errors."""
+    from tidegraph.llm.laesa import encode_vectors, errors_by_label, train_codebooks, whole_vectors
+
+    books, placed = train_codebooks(whole_vectors(table(spark, sf_dir, "embeddings")))
+    found = errors_by_label(encode_vectors(placed, books))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_vector_packing": op2_vector_packing,
@@ -146,4 +155,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_reply_trees": op11_reply_trees,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_laesa_codes": op13_laesa_codes,
 }
