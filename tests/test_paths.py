@@ -3,7 +3,7 @@ import random
 import pytest
 from bruteforce import OPEN, relax, rows
 
-from tidegraph.functions import clock_step
+from tidegraph.functions import CLOCK_STEP, HOP_STEP
 from tidegraph.operators import paths
 
 
@@ -41,7 +41,7 @@ def test_clock(intervals, hops):
 
 def test_hubs_are_set_apart_without_changing_the_answer(intervals):
     edges, frame = intervals
-    found = paths.relax(frame, paths._from(frame, 1, 0), clock_step(), 20, hub_edges=3)
+    found = paths.relax(frame, paths._from(frame, 1, 0), CLOCK_STEP, 20, hub_edges=3)
     best, hops = relax(edges, {1: 0}, clock, 20)
     assert rows(found.where("value IS NOT NULL")) == sorted((v, x, hops[v]) for v, x in best.items() if v in {v for e in edges for v in e[:2]})
 
@@ -113,34 +113,95 @@ def test_window_reads_the_covering_checkpoint(spark):
     assert rows(paths.window_clock_arrival(frame, 1, 4, 5)) == [(1, 0), (5, 5)]
 
 
-def test_edges_stay_in_place_between_rounds(spark, monkeypatch):
-    """A round joins the cached edges where they are, even with no broadcast."""
-    from tidegraph import runtime
+@pytest.fixture
+def wide(spark, monkeypatch):
+    """Graphs count as large from 30 edges on."""
+    monkeypatch.setattr(paths, "FEW_EDGES", 30)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
-    plans = []
-    keep = runtime.Rounds.keep
 
-    def keep_plan(self, df):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return keep(self, df)
+@pytest.fixture
+def jobs(monkeypatch):
+    """The plan and the figures of every table a loop writes."""
+    from tidegraph import runtime
 
-    monkeypatch.setattr(runtime.Rounds, "keep", keep_plan)
-    monkeypatch.setattr(paths, "FEW_EDGES", 30)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        edges = random_intervals(random.Random(9), 40, 100)
-        frame = spark.createDataFrame(edges, "src long, dst long, start_tick long, end_tick long")
-        paths.clock_arrival(frame, edges[0][0])
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    rounds = [plan for plan in plans if "InMemoryTableScan" in plan]
-    assert rounds
-    for plan in rounds:
-        # Only what changed is dealt out by source; the scan of the edges comes straight below the join.
-        lines = plan.split("InMemoryRelation")[0].splitlines()
-        scan = next(k for k, line in enumerate(lines) if "InMemoryTableScan" in line)
-        above = next(line for line in lines[:scan][::-1] if "Join" in line or "Exchange" in line)
-        assert "Join" in above
+    written = []
+    keep = runtime.Rounds.keep_observed
+
+    def watched(self, df, **figures):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        table, seen = keep(self, df, **figures)
+        written.append((self, plan, seen))
+        return table, seen
+
+    monkeypatch.setattr(runtime.Rounds, "keep_observed", watched)
+    return written
+
+
+def test_edges_stay_in_place_between_hops(spark, wide, jobs):
+    """A hop joins the cached edges where they are and shuffles its offers once."""
+    edges = random_intervals(random.Random(9), 40, 100)
+    frame = spark.createDataFrame(edges, "src long, dst long, start_tick long, end_tick long")
+    paths.clock_arrival(frame, edges[0][0])
+    plans = [plan for _, plan, seen in jobs if "changed" in seen]
+    assert plans
+    for plan in plans:
+        lines = plan.splitlines()
+        joins = [k for k, line in enumerate(lines) if "SortMergeJoin" in line and "src#" in line]
+        assert len(joins) == paths.HOPS_A_JOB
+        for join in joins:
+            deep = lines[join].index("SortMergeJoin")
+            below = next(k for k in range(join + 1, len(lines)) if lines[k][deep : deep + 2] == "+-")
+            below += "Filter isnotnull" in lines[below]
+            assert "InMemoryTableScan" in lines[below]
+
+
+def test_large_graphs_give_the_same(spark, wide):
+    """Over several partitions, with and without hubs, by level and by bucket."""
+    rng = random.Random(12)
+    edges = random_intervals(rng, 60, 400) + [(5, k, rng.randint(1, 20), OPEN) for k in range(60)]
+    frame = spark.createDataFrame(edges, "src long, dst long, start_tick long, end_tick long")
+    best, hops = relax(edges, {1: 0}, clock, 100)
+    expected = sorted(best.items())
+    for hub_edges in (paths.HUB_EDGES, 9):
+        found = paths.relax(frame, paths._from(frame, 1, 0), CLOCK_STEP, hub_edges=hub_edges)
+        assert rows(found) == sorted((v, x, hops[v]) for v, x in best.items())
+        found = paths.relax(frame, paths._from(frame, 1, 0), CLOCK_STEP, hub_edges=hub_edges, bucket=3)
+        assert rows(found.select("id", "value")) == expected
+
+
+def test_settled_vertices_are_not_sent_again(spark, jobs):
+    """By bucket, an arrival is written once per vertex but for those that wait."""
+    rng = random.Random(2)
+    edges = random_intervals(rng, 300, 3000)
+    frame = spark.createDataFrame(edges, "src long, dst long, start_tick long, end_tick long")
+    best, _ = relax(edges, {1: 0}, clock, 100)
+    assert rows(paths.clock_arrival(frame, 1)) == sorted(best.items())
+    written = [seen for _, _, seen in jobs if "changed" in seen]
+    assert [seen["low"] for seen in written] == sorted((seen["low"] for seen in written), key=lambda x: (x is None, x))
+    assert sum(seen["first"] for seen in written) == len(best) - 1
+
+
+def test_a_long_path_of_contacts_takes_few_jobs(spark, jobs):
+    frame = spark.createDataFrame([(k, k + 1, k + 1) for k in range(200)], "src long, dst long, t long")
+    assert rows(paths.earliest_arrival(frame, 0, 1, 300)) == [(0, 1)] + [(k, k + 1) for k in range(1, 201)]
+    assert len(jobs) <= 200 / paths.HOPS_A_JOB + 10
+
+
+def test_times_far_apart_take_no_more_jobs_than_buckets(spark, jobs):
+    hour = 3_600_000
+    frame = spark.createDataFrame([(k, k + 1, 1_700_000_000_000 + k * hour) for k in range(30)], "src long, dst long, t long")
+    found = paths.earliest_arrival(frame, 0, 0, 2_000_000_000_000)
+    assert rows(found)[-1] == (30, 1_700_000_000_001 + 29 * hour)
+    assert len(jobs) <= 2 + paths.BUCKETS * 1.5
+
+
+def test_an_earlier_arrival_at_a_reached_vertex_opens_a_path(spark):
+    # Vertex 3 is reached first by one hop, late; only the way by 2 is in time for the contact at 5.
+    frame = spark.createDataFrame([(1, 3, 8), (1, 2, 1), (2, 3, 3), (3, 4, 5)], "src long, dst long, t long")
+    assert rows(paths.fewest_hops(frame, 1, 1, 20)) == [(1, 0), (2, 1), (3, 1), (4, 3)]
 
 
 def test_settings_are_put_back(spark):
@@ -166,22 +227,18 @@ def test_loops_use_the_sessions_width_and_leave_its_settings_alone(spark):
     assert before == {k: spark.conf.get(k) for k in before}
 
 
-def test_rounds_write_changed_rows_and_are_deleted(spark, monkeypatch):
-    from tidegraph import runtime
-
-    written = []
-    keep = runtime.Rounds.keep
+def test_jobs_write_changed_rows_and_are_deleted(spark, jobs):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(0, k) for k in range(100, 400)], "src long, dst long")
+    found = paths.bfs_hops(edges, 0)
+    assert found.count() == 313
+    # The edges, the root, eight hops, the next four, and one job that finds nothing more.
+    changed = [seen["changed"] for _, _, seen in jobs if "changed" in seen]
+    assert changed in ([308, 4], [308, 4, 0])
+    # Only what the result is read from is left.
+    assert len(jobs[0][0].kept) == 1 + len(changed)
 
-    def counting(self, df):
-        table, n = keep(self, df)
-        written.append((self, n))
-        return table, n
 
-    monkeypatch.setattr(runtime.Rounds, "keep", counting)
-    edges = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(0, k) for k in range(100, 400)], "src long, dst long")
-    paths.bfs_hops(edges, 0).collect()
-    sizes = [n for _, n in written]
-    # The edges, the root, its neighbours, then one vertex a round, or all of them when rounds are merged.
-    assert sizes[:3] == [312, 1, 301]
-    assert sizes.count(1) >= 10 and sum(n > 1 for n in sizes[3:]) <= 3
-    assert not written[0][0].kept
+def test_a_loop_refuses_hops_by_bucket(spark):
+    frame = spark.createDataFrame([(1, 2)], "src long, dst long")
+    with pytest.raises(ValueError):
+        paths.relax(frame, paths._from(frame, 1, 0), HOP_STEP, max_hops=3, bucket=2)

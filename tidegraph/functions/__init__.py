@@ -1,18 +1,18 @@
 from tidegraph.functions.columns import (
+    CLOCK_STEP,
+    CONTACT_STEP,
+    HOP_STEP,
     checkpoint_tick,
-    clock_step,
-    contact_step,
-    hop_step,
     last_pos,
     seen_at,
     triplet_text,
 )
 
 __all__ = [
+    "CLOCK_STEP",
+    "CONTACT_STEP",
+    "HOP_STEP",
     "checkpoint_tick",
-    "clock_step",
-    "contact_step",
-    "hop_step",
     "last_pos",
     "seen_at",
     "triplet_text",

@@ -13,19 +13,13 @@ def last_pos(condition: Column) -> Column:
     return F.coalesce(F.max(F.when(condition, F.col("pos"))), F.lit(-1).cast("long"))
 
 
-def hop_step() -> Column:
-    return F.col("value") + 1
-
-
-def clock_step() -> Column:
-    """Arrival over an interval edge; the end of the interval still counts."""
-    value, start, end = F.col("value"), F.col("start_tick"), F.col("end_tick")
-    return F.when(value <= start, start + 1).when(value <= end, value + 1)
-
-
-def contact_step() -> Column:
-    """Arrival over a contact at ``t``, which takes one tick to cross."""
-    return F.when(F.col("t") >= F.col("value"), F.col("t") + 1)
+# Steps of the path queries, as SQL over ``value`` and the columns of an edge: the
+# value at its far end, NULL where the edge cannot be used.
+HOP_STEP = "value + 1"
+# Arrival over an interval edge; the end of the interval still counts.
+CLOCK_STEP = "CASE WHEN value <= start_tick THEN start_tick + 1 WHEN value <= end_tick THEN value + 1 END"
+# Arrival over a contact at t, which takes one tick to cross.
+CONTACT_STEP = "CASE WHEN t >= value THEN t + 1 END"
 
 
 def seen_at(tick: Column) -> Column:

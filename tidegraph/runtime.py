@@ -101,11 +101,16 @@ class Rounds:
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, int]:
         """``df`` written and read again, and its number of rows."""
+        table, seen = self.keep_observed(df, n=F.count(F.lit(1)))
+        return table, seen["n"]
+
+    def keep_observed(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+        """``df`` written and read again, and aggregates of its rows that come with the writing."""
+        seen = Observation()
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.observe(seen, *[figure.alias(name) for name, figure in figures.items()]).write.parquet(path)
         self.kept[path] = self.spark.read.schema(df.schema).parquet(path)
-        # The files say how many rows they have.
-        return self.kept[path], self.kept[path].count()
+        return self.kept[path], seen.get
 
     def forget_all_but(self, *tables: DataFrame) -> None:
         for path in [p for p, own in self.kept.items() if not any(own is t for t in tables)]:
