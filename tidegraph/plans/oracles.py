@@ -201,6 +201,13 @@ SELECT '{part}' AS part, count(l.{first}) AS left_rows, count(r.{first}) AS righ
 FROM {left} l FULL JOIN {right} r ON {on}"""
 
 
+_EDGE_APPEND = f"""WITH {ORDER_LINES},
+seen AS (SELECT tick, src AS id FROM line UNION ALL SELECT tick, dst FROM line)
+SELECT t.tick,
+       (SELECT count(*) FROM line l WHERE l.tick <= t.tick) AS num_edges,
+       (SELECT count(DISTINCT id) FROM seen s WHERE s.tick <= t.tick) AS num_vertices
+FROM (SELECT DISTINCT tick FROM line) t"""
+
 ORACLES: dict[str, str] = {
     "parse_commands": f"""{LONG_TEXT}
 SELECT tick, pos * 2 AS pos,
@@ -222,12 +229,8 @@ FROM line WHERE turn = 0""",
     "rejected_commands_short": f"{SHORT_TEXT} SELECT tick, pos * 2 + 1 AS pos, raw FROM line WHERE turn = 1",
     "batch_directories": f"WITH {TEXT}, {BATCH}, {HISTORY} SELECT src, dst, start_tick, end_tick FROM history",
     "edge_list_scan": f"WITH {ORDER_LINES} SELECT src, dst, label FROM line",
-    "edge_list_append": f"""WITH {ORDER_LINES},
-seen AS (SELECT tick, src AS id FROM line UNION ALL SELECT tick, dst FROM line)
-SELECT t.tick,
-       (SELECT count(*) FROM line l WHERE l.tick <= t.tick) AS num_edges,
-       (SELECT count(DISTINCT id) FROM seen s WHERE s.tick <= t.tick) AS num_vertices
-FROM (SELECT DISTINCT tick FROM line) t""",
+    "edge_list_append": _EDGE_APPEND,
+    "stream_edge_append": _EDGE_APPEND,
     "batch_compact": f"""WITH {CMD}, {BATCH}
 SELECT tick, CAST(2 AS BIGINT) AS pos, 'addEdge' AS op, src, dst FROM opens
 UNION ALL SELECT tick, 1, 'rmvEdge', src, dst FROM closes
@@ -300,6 +303,11 @@ UNION ALL {_difference("edges", "le", "re", "src, dst")}""",
     "vertex_dossier": f"WITH {CMD}, {DOSSIER} SELECT * FROM dossier",
     "dossier_store": f"""WITH {CMD.replace("cmd AS", "fine AS")}, cmd AS (SELECT * FROM fine WHERE tick <= 15), {DOSSIER}
 SELECT *, CAST(1 AS BIGINT) AS tick FROM dossier""",
+    "stream_dossiers": f"""WITH {CMD.replace("cmd AS", "fine AS")},
+cmd AS (
+  SELECT * FROM fine WHERE pos % 500 <> 9 AND (
+    tick <= 17 OR (tick = 18 AND pos * 2 <= (SELECT min(pos) * 2 + 4 FROM fine WHERE tick = 18)))), {DOSSIER}
+SELECT * FROM dossier""",
     "triplet_dump": f"""WITH {TRIPLETS}
 SELECT '((' || src || ',' || src_attr || '),(' || dst || ',' || dst_attr || '),' || label || ')' AS value FROM triplet""",
     "labelled_text_roundtrip": f"WITH {CMD}, {BAG} SELECT src, dst, label FROM bag",
@@ -342,6 +350,17 @@ SELECT src, dst, start_tick, end_tick FROM history WHERE start_tick <= 12 AND en
     "checkpoints": f"""WITH {FOLD}
 SELECT t.tick, src, dst, start_tick, {_seen("t.tick")} AS end_tick
 FROM (SELECT unnest([5, 10, 15, 20, 25, 30])::BIGINT AS tick) t JOIN history ON start_tick <= t.tick""",
+    "interval_store_as_of": f"""WITH {FOLD}
+SELECT src, dst, start_tick, end_tick FROM history WHERE start_tick <= 12 AND end_tick >= 13""",
+    "interval_store_checkpoint": f"""WITH {FOLD}
+SELECT src, dst, start_tick, {_seen(20)} AS end_tick FROM history WHERE start_tick <= 20""",
+    "checkpoint_deltas": f"""WITH {FOLD},
+placed AS (
+  SELECT *, (start_tick + 4) // 5 * 5 AS started,
+         CASE WHEN end_tick < {OPEN} THEN (end_tick + 4) // 5 * 5 END AS ended FROM history)
+SELECT started AS tick, 'start' AS change, src, dst, start_tick,
+       CASE WHEN ended = started THEN end_tick ELSE {OPEN} END AS end_tick FROM placed
+UNION ALL SELECT ended, 'end', src, dst, start_tick, end_tick FROM placed WHERE ended > started""",
     "checkpoint_roundtrip": f"""WITH {FOLD}
 SELECT src, dst, start_tick, {_seen(15)} AS end_tick FROM history WHERE start_tick <= 15""",
     "text_snapshot_roundtrip": f"""WITH {FOLD}, {VERTICES}

@@ -14,7 +14,9 @@ from tidegraph.plans.inputs import DEFAULT_NAME, LAST_TICK
 from tidegraph.runtime import cut_lineage, scratch_path
 from tidegraph.schema import CHECKPOINT_EVERY, OPEN
 from tidegraph.sources import commands as command_source
-from tidegraph.sources import edge_lists, snapshots
+from tidegraph.sources import edge_lists, interval_store, snapshots
+from tidegraph.streaming.append import EdgeAppends
+from tidegraph.streaming.dossiers import DossierStream
 from tidegraph.streaming.fold import StreamingFold
 from tidegraph.streaming.sequential import SequentialFold
 from tidegraph.streaming.store import TickedStream, command_stream
@@ -81,6 +83,17 @@ def edge_list_append(spark, sf_dir):
     return edge_lists.append_status(edge_lists.parse_edge_list(inputs.order_lines(spark, sf_dir)))
 
 
+@query
+def stream_edge_append(spark, sf_dir):
+    """Orders land in numbered directories, a directory for each month, in three portions."""
+    landing, lines = scratch_path(spark, "landing"), inputs.order_lines(spark, sf_dir).withColumn("pos", F.lit(0))
+    appends = EdgeAppends(spark, scratch_path(spark, "appends"))
+    for portion, months in enumerate(["tick < 23930", "tick BETWEEN 23930 AND 23959", "tick > 23959"]):
+        command_source.write_batch_directories(lines.where(months), f"{landing}/portion-{portion}")
+        appends.start(command_stream(spark, landing), availableNow=True).awaitTermination()
+    return appends.status()
+
+
 # Folding a log into intervals
 
 
@@ -381,6 +394,20 @@ def dossier_store(spark, sf_dir):
     return spark.read.parquet(path).withColumn("tick", F.col("tick").cast("long"))
 
 
+@query
+def stream_dossiers(spark, sf_dir):
+    """Fifteen days, a batch that is empty, two days, and one with two commands: each writes what it touches."""
+    stream = DossierStream(spark, scratch_path(spark, "dossiers"), _dossier)
+    lines, landing = inputs.long_lines(spark, sf_dir), scratch_path(spark, "landing")
+    last = lines.where("tick = 18").agg(F.min("pos") + 4).scalar()
+    portions = ["tick <= 15", "tick > 99", "tick IN (16, 17)", (F.col("tick") == 18) & (F.col("pos") <= last)]
+    for portion, days in enumerate(portions):
+        part = lines.where(days).where("value NOT LIKE 'loadOld%'")
+        part.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.text(f"{landing}/{portion}")
+        stream.start(command_stream(spark, landing), availableNow=True).awaitTermination()
+    return stream.dossiers()
+
+
 # Paths
 
 
@@ -443,6 +470,29 @@ def checkpoints(spark, sf_dir):
     return timetravel.checkpoints(_history(spark, sf_dir), LAST_TICK)
 
 
+def _interval_store(spark: SparkSession, sf_dir: str) -> str:
+    """The history up to day 15, then the rest, which adds closed intervals and replaces the open edges."""
+    path = scratch_path(spark, "intervals")
+    interval_store.write_intervals(_history(spark, sf_dir, upto=15), path)
+    interval_store.replace_open(_history(spark, sf_dir), path, since=15)
+    return path
+
+
+@query
+def interval_store_as_of(spark, sf_dir):
+    return interval_store.intervals_as_of(spark, _interval_store(spark, sf_dir), 12)
+
+
+@query
+def interval_store_checkpoint(spark, sf_dir):
+    return interval_store.intervals_at(spark, _interval_store(spark, sf_dir), 20)
+
+
+@query
+def checkpoint_deltas(spark, sf_dir):
+    return interval_store.checkpoint_deltas(spark, _interval_store(spark, sf_dir))
+
+
 @query
 def checkpoint_roundtrip(spark, sf_dir):
     store = scratch_path(spark, "checkpoints")

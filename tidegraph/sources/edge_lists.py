@@ -44,10 +44,15 @@ def append_status(arrivals: DataFrame, base: DataFrame | None = None) -> DataFra
         .groupBy("tick")
         .agg(F.count(F.lit(1)).alias("new_vertices"))
     )
+    status = running_status(per_tick.join(first_seen, "tick", "left"))
+    return status if base is None else status.where("tick > 0")
+
+
+def running_status(per_tick: DataFrame) -> DataFrame:
+    """``(tick, num_edges, num_vertices)`` of ``(tick, new_edges, new_vertices)``, one row per tick."""
     running = W.orderBy("tick").rowsBetween(W.unboundedPreceding, W.currentRow)
-    status = per_tick.join(first_seen, "tick", "left").select(
+    return per_tick.select(
         "tick",
         F.sum("new_edges").over(running).alias("num_edges"),
         F.sum(F.coalesce("new_vertices", F.lit(0))).over(running).cast("long").alias("num_vertices"),
     )
-    return status if base is None else status.where("tick > 0")
