@@ -213,6 +213,65 @@ def test_retention_bounds_the_store(spark, tmp_path, kind):
     if kind is StreamingFold:
         assert rows(stream.edges()) == fold(log, "last_wins")[0]
         assert rows(stream.vertices()) == fold(log, "last_wins")[1]
-        assert len(list((tmp_path / "store" / "vertices").glob("version=*"))) == 2
+        # Every version that is kept goes back to a full one.
+        kept = sorted(int(f.name[8:]) for f in (tmp_path / "store" / "vertices").glob("version=*") if f.name != "version=-1")
+        full = sorted(int(f.name[8:]) for f in (tmp_path / "store" / "open").glob("version=*") if f.name != "version=-1")
+        assert kept[0] == full[0] and 10 in kept and 12 in kept and len(kept) < 6
     else:
         assert rows(stream.edges()) == run_in_order(log, True)[0]
+
+
+def test_marks_take_a_bounded_number_of_folders(spark, tmp_path):
+    stream = SequentialFold(spark, str(tmp_path / "store"), every=2, retain=1)
+    counts = []
+    for tick in range(1, 15):
+        stream.apply(batch_of(spark, [f"addEdge {tick} a {tick + 1}"]), tick)
+        counts.append(len(list((tmp_path / "store" / "ticks").glob("batch=*"))))
+    assert max(counts[6:]) <= 6 and max(counts[10:]) <= max(counts[6:10])
+    # All snapshots can still be asked for, by a process that knows nothing.
+    stream = SequentialFold(spark, str(tmp_path / "store"), every=2, retain=1)
+    assert [r[0] for r in rows(stream.ticks().where("tick = version").select("tick"))] == list(range(2, 15, 2))
+    stream.apply(batch_of(spark, ["addEdge 1 a 2"]), 14)  # a replay that lost its commit
+    assert stream.tick() == 14
+
+
+def test_numbers_far_apart_cost_no_more_than_those_there_are(spark, tmp_path):
+    log = [(t, "addEdge", k, "a", k + 1) for k, t in enumerate([1, 5, 1_700_000_000_001, 1_700_000_000_002, 1_700_000_900_001])]
+    for start in (0, 3):
+        for tick, *rest in log[start : start + 3]:
+            (tmp_path / "in" / str(tick - 1)).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / str(tick - 1) / "a.txt").write_text("".join(f"{x}\n" for x in text([(tick, *rest)])))
+        stream = StreamingFold(spark, str(tmp_path / "store"), every=2, numbered=True, retain=1)
+        stream.start(command_stream(spark, str(tmp_path / "in")), availableNow=True).awaitTermination()
+    assert rows(stream.edges()) == fold(log, "last_wins")[0]
+    assert len(list((tmp_path / "store" / "closed").glob("version=*"))) == 3
+
+
+def test_in_order_over_numbered_directories_with_restores(spark, tmp_path):
+    batches = [["addEdge 1 a 2"], ["addEdge 2 b 3"], ["rmvNode 1", "addEdge 3 c 4"],
+               ["addEdge 7 x 8", "loadOld 2015-11-21 11:00:00", "addEdge 5 d 6"], ["rmvEdge 1 a 2"]]
+    for number, lines in zip((0, 2, 3, 9, 40), batches, strict=True):
+        (tmp_path / "in" / str(number)).mkdir(parents=True)
+        (tmp_path / "in" / str(number) / "a.txt").write_text("".join(f"{x}\n" for x in lines))
+    stream = SequentialFold(spark, str(tmp_path / "store"), every=1, clock=Clock(), numbered=True)
+    stream.start(command_stream(spark, str(tmp_path / "in")), availableNow=True).awaitTermination()
+    assert stream.tick() == 41
+    assert rows(stream.edges()) == [(5, 6, "d")]
+    assert rows(stream.vertices().select("id")) == [(1,), (2,), (5,), (6,)]
+
+
+def test_bytes_of_a_version_follow_its_changes(spark, tmp_path):
+    many = [f"addEdge {k} a {k + 1}" for k in range(3000)]
+    batches = [many, ["addEdge 1 a 9"], ["rmvEdge 5 a 6", "addNode 4"], ["rmvNode 7"]]
+    stream = StreamingFold(spark, str(tmp_path / "store"), every=1)
+    for tick, lines in enumerate(batches, 1):
+        stream.apply(batch_of(spark, lines), tick)
+    size = {
+        tick: sum(f.stat().st_size for name in ("open", "opened", "closed", "vertices")
+                  for f in (tmp_path / "store" / name / f"version={tick}").glob("*.parquet"))
+        for tick in range(1, 5)
+    }
+    assert all(size[tick] < size[1] / 4 for tick in (2, 3, 4))
+    log = [(t, op, int(s), "a", int(rest[-1]) if rest else 0) for t, b in enumerate(batches, 1) for op, s, *rest in (x.split() for x in b)]
+    assert rows(stream.edges()) == fold(log, "last_wins")[0]
+    assert rows(stream.vertices()) == fold(log, "last_wins")[1]

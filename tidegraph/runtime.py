@@ -124,3 +124,13 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of this library's own on any file system Spark can write to."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def folder_numbers(spark: SparkSession, path: str, key: str) -> list[int]:
+    """The numbers n of the folders ``<key>=<n>`` in ``path``, from their names; no file is opened."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(root)]
+    return sorted(int(name.removeprefix(f"{key}=")) for name in names if name.startswith(f"{key}="))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegraph.functions import triplet_text
+from tidegraph.runtime import folder_numbers
 from tidegraph.schema import EDGES, LABELLED_EDGES
 
 # How the text layout writes a vertex and an edge.
@@ -33,11 +34,7 @@ def read_snapshot(spark: SparkSession, path: str, tick: int, labelled: bool = Fa
 
 def snapshot_ticks(spark: SparkSession, path: str) -> DataFrame:
     """The ticks in the store, from the names of its directories; no file is opened."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    names = [entry.getPath().getName() for entry in found]
-    ticks = [(int(name.removeprefix("tick=")),) for name in names if name.startswith("tick=")]
-    return spark.createDataFrame(ticks, "tick long")
+    return spark.createDataFrame([(n,) for n in folder_numbers(spark, path, "tick")], "tick long")
 
 
 def write_text_snapshot(vertices: DataFrame, edges: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Literal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.operators.compact import CANONICAL_POS, canonical_pos
@@ -26,12 +26,12 @@ LOG_COLUMNS = ["tick", "pos", "op", "src", "label", "dst"]
 
 
 class SequentialFold(TickedStream):
+    restores = True
+
     def __init__(
         self, spark: SparkSession, store: str, keep: Literal["bag", "set"] = "bag", default_name: str = "", **options
     ):
         super().__init__(spark, store, **options)
-        if self.numbered:
-            raise ValueError("the in-order fold takes micro-batches as ticks")
         self.keep, self.default_name = keep, default_name
 
     def edges(self) -> DataFrame:
@@ -48,7 +48,7 @@ class SequentialFold(TickedStream):
         load = last_restore(commands)
         if load is None:
             return None
-        saved = self.ticks().where((F.col("tick") < tick) & (F.col("tick") % self.every == 0))
+        saved = self.ticks().where((F.col("tick") < tick) & (F.col("tick") == F.col("version")))
         found = nearest_snapshot(saved, load["label"]).first()
         # Without a snapshot the graph goes back to the empty one, which version 0 stands for.
         return 0 if found is None else found["tick"]
@@ -69,14 +69,15 @@ class SequentialFold(TickedStream):
             F.lit(None).cast("long").alias("tick"), canonical_pos(), "op", "src", "label", "dst"
         )
 
-    def write_version(self, tick: int, before: int, restored: int | None) -> None:
-        base, after = self._state(tick - 1, before) if restored is None else (restored, tick - 1)
+    def write_version(self, tick: int, last: Row, restored: int | None) -> int:
+        base, after = self._state(tick - 1, last.version) if restored is None else (restored, tick - 1)
         self.overwrite(self._edges(base, after, tick), f"edges/version={tick}")
         self.overwrite(self._vertices(base, after, tick), f"vertices/version={tick}")
+        return tick
 
     def _state(self, tick: int, version: int | None = None) -> tuple[int, int]:
         """The version to start from and the tick after which the log applies."""
-        version = self.version(tick + 1) if version is None else version
+        version = self._last_mark(None).version if version is None else version
         restores = self.ticks().where(F.col("base").isNotNull() & (F.col("tick") > version) & (F.col("tick") <= tick))
         last = restores.agg(F.max_by(F.struct("base", "tick"), "tick").alias("last")).first()["last"]
         return (version, version) if last is None else (last["base"], last["tick"] - 1)

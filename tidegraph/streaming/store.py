@@ -4,8 +4,13 @@ Directories are named by tick or batch and overwritten, and a batch reads only
 what earlier ticks wrote, so a batch that is replayed after a failure writes the
 same again.
 
-    log/tick=<t>/     compacted commands of the batch
-    ticks/batch=<b>/  the tick that batch b became, when, and the version it restored
+    log/tick=<t>/     compacted commands of the tick
+    ticks/batch=<b>/  marks of the ticks that batch b became
+
+A mark says when its tick was folded, the version it restored, how many ticks
+there are with it, and the last version and the last full one by then. A batch
+that writes a version repeats the earlier marks that are still needed; folders
+before the last but one of that kind are deleted, so their number is bounded.
 """
 
 from __future__ import annotations
@@ -13,15 +18,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegraph.runtime import delete_folder
+from tidegraph.runtime import delete_folder, folder_numbers
 from tidegraph.schema import CHECKPOINT_EVERY
 from tidegraph.sources.commands import numbered_lines, parse_commands, with_place
 
-MARKER = "tick long, snapshot_ms long, base long"
+MARKER = "tick long, snapshot_ms long, base long, nth long, version long, full long, own long, whole boolean"
 
 
 def command_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -35,6 +40,9 @@ def command_stream(spark: SparkSession, path: str, files_per_batch: int | None =
 class TickedStream:
     """Runs a fold batch by batch; subclasses say what a batch and a version leave behind."""
 
+    # Whether a tick may go back to a version, so that ticks are folded one by one and versions stay.
+    restores = False
+
     def __init__(
         self,
         spark: SparkSession,
@@ -53,7 +61,9 @@ class TickedStream:
         if retain is not None and retain < 1:
             raise ValueError("one version before the last is needed")
         self.retain = retain
-        self._last: tuple[int, int] | None = None
+        self._last: tuple[int, Row] | None = None
+        # Ticks of the batch in work, which has no marks yet.
+        self._pending: list[Row] = []
         # Leaves a store that exists alone; a new one becomes readable.
         spark.createDataFrame([], MARKER).write.mode("ignore").parquet(f"{self.store}/ticks/batch=-1")
 
@@ -61,12 +71,12 @@ class TickedStream:
         """What the log keeps of the commands of one tick."""
         raise NotImplementedError
 
-    def write_version(self, tick: int, before: int, restored: int | None) -> None:
-        """Fold the log onto version ``before``; runs every few ticks."""
+    def write_version(self, tick: int, last: Row, restored: int | None) -> int:
+        """Fold the log since the version that ``last`` names; returns the last version written in full."""
         raise NotImplementedError
 
     def restored(self, commands: DataFrame, tick: int) -> int | None:
-        """The version before ``tick`` the batch goes back to, if any."""
+        """The version before ``tick`` its commands go back to, if any."""
         return None
 
     def start(self, lines: DataFrame, **trigger) -> StreamingQuery:
@@ -81,7 +91,7 @@ class TickedStream:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Fold one micro-batch. An empty one does not become a tick."""
         # The text is read once, for the ranks of its splits and for its lines.
-        batch = batch.persist()
+        batch, self._pending = batch.persist(), []
         try:
             if batch.isEmpty():
                 return
@@ -93,25 +103,23 @@ class TickedStream:
             batch.unpersist()
 
     def _apply_whole(self, batch: DataFrame, batch_id: int) -> None:
-        tick = self._ticks_before(batch_id) + 1
+        tick = self._last_mark(batch_id).tick + 1
         lines = numbered_lines(batch.withColumn("batch", F.lit(0))).withColumn("tick", F.lit(tick).cast("long"))
         commands = self.parse(lines).persist()
         try:
-            base = self.restored(commands, tick)
-            self.overwrite(self.compacted(commands).drop("tick"), f"log/tick={tick}")
+            self._fold_one_by_one(commands, [tick], batch_id)
         finally:
             commands.unpersist()
-        if tick % self.every == 0:
-            self.write_version(tick, self.version(tick), base)
-        self._mark(batch_id, [tick], base)
 
     def _apply_numbered(self, batch: DataFrame, batch_id: int) -> None:
         """Fold the directories of one micro-batch, each as the tick after its number.
 
-        The driver sees one number for each directory. A file for a tick that
-        an earlier micro-batch has folded is refused, as history would change.
+        Only numbers that exist count: they may be far apart, and a version
+        comes after every few of them. The driver sees one number for each
+        directory. A file for a tick that an earlier micro-batch has folded is
+        refused, as history would change.
         """
-        before = self._ticks_before(batch_id)
+        before = self._last_mark(batch_id).tick
         lines = numbered_lines(batch.where("batch IS NOT NULL")).withColumn("tick", F.col("batch") + 1)
         commands = self.parse(lines).persist()
         try:
@@ -120,53 +128,112 @@ class TickedStream:
                 return
             if ticks[0] <= before:
                 raise ValueError(f"directory {ticks[0] - 1} has new files after tick {before} was folded")
+            if self.restores:
+                self._fold_one_by_one(commands, ticks, batch_id)
+                return
             log = self.compacted(commands).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             log.partitionBy("tick").parquet(f"{self.store}/log")
         finally:
             commands.unpersist()
-        for tick in range(before // self.every * self.every + self.every, ticks[-1] + 1, self.every):
-            self.write_version(tick, self.version(tick), None)
-        self._mark(batch_id, ticks, None)
+        for tick in ticks:
+            self._pend(tick, None, batch_id)
+        self._mark(batch_id)
+
+    def _fold_one_by_one(self, commands: DataFrame, ticks: list[int], batch_id: int) -> None:
+        """Each tick sees what those before it have left, in this batch too."""
+        for tick in ticks:
+            own = commands.where(F.col("tick") == tick)
+            base = self.restored(own, tick)
+            self.overwrite(self.compacted(own).drop("tick"), f"log/tick={tick}")
+            self._pend(tick, base, batch_id)
+        self._mark(batch_id)
+
+    def _pend(self, tick: int, base: int | None, batch_id: int) -> None:
+        """Count a tick whose log is written, with a version if one is due."""
+        last = self._pending[-1] if self._pending else self._last_mark(batch_id)
+        version, full = last.version, last.full
+        if (last.nth + 1) % self.every == 0:
+            version, full = tick, self.write_version(tick, last, base)
+        now = int(self.clock() * 1000)
+        self._pending.append(Row(
+            tick=tick, snapshot_ms=now, base=base, nth=last.nth + 1, version=version, full=full, own=batch_id, whole=False
+        ))
 
-    def _mark(self, batch_id: int, ticks: list[int], base: int | None) -> None:
+    def _mark(self, batch_id: int) -> None:
         # Last of all: a reader that sees the tick finds everything it needs.
-        now = int(self.clock() * 1000)
-        self.overwrite(self.spark.createDataFrame([(t, now, base) for t in ticks], MARKER).coalesce(1), f"ticks/batch={batch_id}")
-        before = ticks[0] - 1 if self._last is None else self._last[1]
-        self._last = (batch_id, ticks[-1])
-        if self.retain is not None:
-            for version in range(before // self.every * self.every + self.every, ticks[-1] + 1, self.every):
-                self._forget(version - (self.retain + 1) * self.every)
-
-    def _forget(self, version: int) -> None:
-        """Delete the logs that led to ``version`` and what only it needs."""
-        for tick in range(max(1, version - self.every + 1), version + 1):
-            delete_folder(self.spark, f"{self.store}/log/tick={tick}")
-        for name in self.only_for(version):
-            delete_folder(self.spark, f"{self.store}/{name}")
-
-    def only_for(self, version: int) -> list[str]:
-        """Folders that no reader of a later version needs."""
-        return []
+        before, rows = self._last_mark(batch_id), self._pending
+        marks = self.spark.createDataFrame(rows, MARKER)
+        whole = rows[-1].version != before.version
+        if whole:
+            earlier = self._marks(batch_id)
+            # A replay of this batch goes on from the version before it; snapshots can be asked for at any time.
+            needed = F.col("tick") > before.version - 1
+            if self.restores or self.retain is None:
+                needed |= F.col("tick") == F.col("version")
+            else:
+                needed |= F.col("tick") >= self._kept_versions(earlier, before.version)
+            marks = earlier.where(needed).drop("batch").unionByName(marks).withColumn("whole", F.lit(True))
+        self.overwrite(marks.coalesce(1), f"ticks/batch={batch_id}")
+        self._last, self._pending = (batch_id, rows[-1]), []
+        if whole:
+            self._forget(batch_id)
+
+    def _kept_versions(self, marks: DataFrame, upto: int) -> int:
+        """The earliest version that retention keeps, counted back from ``upto``."""
+        versions = marks.where((F.col("tick") == F.col("version")) & (F.col("tick") <= upto)).select("tick").distinct()
+        kept = versions.orderBy(F.desc("tick")).limit(self.retain + 1).collect()
+        return kept[-1]["tick"] if len(kept) > self.retain else 0
+
+    def _forget(self, batch_id: int) -> None:
+        """Delete marks that are repeated later and, with ``retain``, logs and tables of earlier versions only."""
+        marks = self._all_marks()
+        repeated = marks.where(F.col("whole") & (F.col("batch") < batch_id)).agg(F.max("batch")).first()[0]
+        if repeated is not None:
+            self._delete_below("ticks", "batch", repeated)
+        if self.retain is None:
+            return
+        marks = self._marks(None)
+        kept = self._kept_versions(marks, self._last[1].version)
+        if kept:
+            # Readers of the earliest version that is kept go on from its own log.
+            self._delete_below("log", "tick", kept + 1)
+            full = marks.where(F.col("tick") == kept).agg(F.max("full")).first()[0]
+            for name in self.only_for_later:
+                self._delete_below(name, "version", full)
+
+    # Tables of versions that no reader needs below the last full one.
+    only_for_later: tuple[str, ...] = ()
+
+    def _delete_below(self, name: str, key: str, least: int) -> None:
+        for number in folder_numbers(self.spark, f"{self.store}/{name}", key):
+            if number < least:
+                delete_folder(self.spark, f"{self.store}/{name}/{key}={number}")
 
     def tick(self) -> int:
-        return self._ticks_before(None)
-
-    def version(self, tick: int) -> int:
-        """The last version written before ``tick``; 0 stands for the empty graph."""
-        return (tick - 1) // self.every * self.every
+        return self._last_mark(None).tick
 
     def ticks(self) -> DataFrame:
-        return self.spark.read.schema(f"{MARKER}, batch long").parquet(f"{self.store}/ticks")
+        """Marks of the ticks that are still needed, those of the batch in work too."""
+        marks = self._marks(None if not self._pending else self._pending[0].own).drop("batch")
+        return marks.unionByName(self.spark.createDataFrame(self._pending, MARKER)) if self._pending else marks
 
     def overwrite(self, df: DataFrame, name: str, *partitions: str) -> None:
         df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.store}/{name}")
 
-    def _ticks_before(self, batch_id: int | None) -> int:
-        """How many batches before ``batch_id`` became ticks; all of them for None."""
+    def _all_marks(self) -> DataFrame:
+        return self.spark.read.schema(f"{MARKER}, batch long").parquet(f"{self.store}/ticks")
+
+    def _marks(self, batch_id: int | None) -> DataFrame:
+        """The marks made before ``batch_id``, or all: the last folder that repeats them and those since."""
+        marks = self._all_marks()
+        if batch_id is not None:
+            marks = marks.where(F.col("batch") < batch_id)
+        whole = marks.where("whole").agg(F.max("batch")).first()[0]
+        return marks if whole is None else marks.where(F.col("batch") >= whole)
+
+    def _last_mark(self, batch_id: int | None) -> Row:
+        """The last tick before ``batch_id``, or of all; zeros where there is none."""
         if self._last is not None and (batch_id is None or self._last[0] < batch_id):
             return self._last[1]
-        ticks = self.ticks()
-        if batch_id is not None:
-            ticks = ticks.where(F.col("batch") < batch_id)
-        return ticks.agg(F.max("tick").alias("tick")).first()["tick"] or 0
+        last = self._marks(batch_id).drop("batch").orderBy(F.desc("tick")).limit(1).collect()
+        return last[0] if last else Row(tick=0, snapshot_ms=None, base=None, nth=0, version=0, full=0, own=-1, whole=False)
