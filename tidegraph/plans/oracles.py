@@ -201,6 +201,15 @@ SELECT '{part}' AS part, count(l.{first}) AS left_rows, count(r.{first}) AS righ
 FROM {left} l FULL JOIN {right} r ON {on}"""
 
 
+_STREAM_RESTORE = f"""WITH {CMD.replace("cmd AS", "fine AS")},
+load AS (SELECT (tick - 1) // 10 + 1 AS batch, max(pos) AS pos FROM fine WHERE pos % 500 = 9 GROUP BY 1),
+last AS (SELECT max(batch) AS batch, max(pos) AS pos FROM load),
+cmd AS (
+  SELECT f.* FROM fine f, last WHERE f.pos % 500 <> 9 AND (
+    last.pos IS NULL OR f.pos > last.pos
+    OR (last.batch > 2 AND f.tick <= 20 AND f.pos > coalesce((SELECT max(pos) FROM load WHERE batch <= 2), -1)))), {BAG}
+SELECT src, dst, label FROM bag"""
+
 _EDGE_APPEND = f"""WITH {ORDER_LINES},
 seen AS (SELECT tick, src AS id FROM line UNION ALL SELECT tick, dst FROM line)
 SELECT t.tick,
@@ -316,14 +325,8 @@ SELECT p.id, CASE WHEN EXISTS (
     SELECT 1 FROM cmd a WHERE a.op = 'addNode' AND a.src = p.id
       AND NOT EXISTS (SELECT 1 FROM cmd r WHERE r.op = 'rmvNode' AND r.src = a.src AND r.pos > a.pos))
   THEN 'n' || p.id ELSE 'John Doe' END AS name FROM present p""",
-    "stream_restore": f"""WITH {CMD.replace("cmd AS", "fine AS")},
-load AS (SELECT (tick - 1) // 10 + 1 AS batch, max(pos) AS pos FROM fine WHERE pos % 500 = 9 GROUP BY 1),
-last AS (SELECT max(batch) AS batch, max(pos) AS pos FROM load),
-cmd AS (
-  SELECT f.* FROM fine f, last WHERE f.pos % 500 <> 9 AND (
-    last.pos IS NULL OR f.pos > last.pos
-    OR (last.batch > 2 AND f.tick <= 20 AND f.pos > coalesce((SELECT max(pos) FROM load WHERE batch <= 2), -1)))), {BAG}
-SELECT src, dst, label FROM bag""",
+    "stream_restore": _STREAM_RESTORE,
+    "stream_restore_numbered": _STREAM_RESTORE,
     "bfs_hops": f"""WITH RECURSIVE {FOLD}, {_PAIRS}, {_WALK}
 SELECT v AS id, CAST(min(hop) AS BIGINT) AS hops FROM walk GROUP BY v""",
     "bfs_customer_chains": """

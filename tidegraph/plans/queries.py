@@ -203,6 +203,17 @@ def stream_restore(spark, sf_dir):
     return fold.edges()
 
 
+@query
+def stream_restore_numbered(spark, sf_dir):
+    """The same log in four numbered directories of ten days that arrive at once, with restores between them."""
+    root = scratch_path(spark, "batches")
+    lines = inputs.long_lines(spark, sf_dir).withColumn("tick", F.expr("(tick - 1) div 10 + 1"))
+    command_source.write_batch_directories(lines, root)
+    fold = SequentialFold(spark, scratch_path(spark, "store"), "bag", every=2, numbered=True)
+    fold.start(command_stream(spark, root), availableNow=True).awaitTermination()
+    return fold.edges()
+
+
 @query
 def restore_nearest(spark, sf_dir):
     """After 20 days the graph goes back to the snapshot nearest to a time, then the log goes on."""
