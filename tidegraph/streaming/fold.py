@@ -37,6 +37,7 @@ class StreamingFold(TickedStream):
     def __init__(self, spark: SparkSession, store: str, mode: Mode = "last_wins", **options):
         super().__init__(spark, store, **options)
         self.mode = mode
+        self._there: set[str] = set()
 
     def edges(self) -> DataFrame:
         """The whole history, ``(src, dst, start_tick, end_tick)``."""
@@ -78,15 +79,19 @@ class StreamingFold(TickedStream):
         return full
 
     def _due(self, last: Row) -> bool:
-        """Whether the next version is to be a full one. Files say how many rows they have."""
+        """Whether the next version is to be a full one. Only the numbers of versions are read."""
         if not last.full:
             return True
+        rows = self._stored("open").select("version", F.lit("open").alias("name"))
+        for name in ("opened", "closed"):
+            rows = rows.unionByName(self._stored(name).select("version", F.lit(name).alias("name")))
+        rows = rows.unionByName(self._stored_vertices().select("version", F.lit("vertices").alias("name")))
+        whole = (F.col("version") == last.full) & F.col("name").isin("open", "vertices")
         since = (F.col("version") > last.full) & (F.col("version") <= last.version)
-        changes = [self._stored(name).where(since) for name in ("opened", "closed")] + [self._stored_vertices().where(since)]
-        whole = [self._stored("open"), self._stored_vertices()]
-        held = sum(table.where(F.col("version") == last.full).count() for table in whole)
-        versions = self._stored_vertices().where(since).select("version").distinct().count()
-        return versions >= FULL_AFTER or sum(table.count() for table in changes) >= FULL_SHARE * held
+        seen = rows.where(whole | since).agg(
+            F.count_if(whole).alias("held"), F.count_if(since).alias("changed"), F.count_distinct(F.when(since, F.col("version"))).alias("versions")
+        ).first()
+        return seen["versions"] >= FULL_AFTER or seen["changed"] >= FULL_SHARE * seen["held"]
 
     @staticmethod
     def _touched(edges: DataFrame, log: DataFrame) -> DataFrame:
@@ -113,8 +118,9 @@ class StreamingFold(TickedStream):
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.store}/{name}"
         # Leaves a table that exists alone; a new one becomes readable.
-        if not folder_numbers(self.spark, path, "version"):
+        if name not in self._there and not folder_numbers(self.spark, path, "version"):
             self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/version=-1")
+        self._there.add(name)
         return self.spark.read.schema(f"{schema}, version long").parquet(path)
 
     def _open(self, last: Row) -> DataFrame:
