@@ -96,9 +96,46 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BI
        sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM joined"""
 
+
+
+def _nearest(k: int) -> str:
+    """Entry and distance of every part among the entries of round ``k``, as one number."""
+    return f"""
+near{k} AS MATERIALIZED (
+  SELECT a.r, a.p, min(CAST(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)]) AS BIGINT) * 256 + b.e) AS m
+  FROM part a JOIN book{k} b USING (p) GROUP BY a.r, a.p)"""
+
+
+def _moved(k: int) -> str:
+    """Entries after round ``k``: the mean of their parts, rounded down, or as before where there is none."""
+    return f"""{_nearest(k)},
+mean{k} AS (
+  SELECT p, e, list(x ORDER BY i) AS v FROM (
+    SELECT p, m % 256 AS e, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS x
+    FROM (SELECT n.p, n.m, a.v, unnest(range(1, len(a.v) + 1)) AS i FROM near{k} n JOIN part a USING (r, p)) GROUP BY ALL)
+  GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m USING (p, e))"""
+
+
+_OP13 = f"""
+WITH whole AS (
+  SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, w) AS r, *, len(w) // 4 AS s FROM whole),
+part AS MATERIALIZED (SELECT r, p, w[p * s + 1 : p * s + s] AS v FROM (SELECT *, unnest(range(4)) AS p FROM kept)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM part WHERE r <= 256),
+{", ".join(map(_moved, range(4)))},{_nearest(4)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM near4 GROUP BY r),
+entry AS (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM book4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM entry) AS codebooks_sha256
+FROM coded JOIN kept USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op4_line_frequency": _OP4,
     "op5_decontamination": _OP5,
     "op8_extendible_hashing": _OP8,
     "op11_reply_trees": _OP11,
+    "op13_laesa_codes": _OP13,
 }
