@@ -237,3 +237,20 @@ def test_rows_of_null_and_repeated_ids_are_written_once(spark, documents, tmp_pa
     same(map(repr, back.select(docs.columns).collect()), map(repr, docs.collect()))
     sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("docs")).collect()
     assert len(sizes) > 5 and all((r.n or 0) <= 20_000 or r.docs == 1 for r in sizes)
+
+
+def test_pipeline_on_empty_tables(spark, no_tables):
+    assert corpus_pipeline.run(spark, no_tables).collect() == []
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "near-duplicates"], ids=lambda s: s[0])
+def test_stages_with_clashing_columns(spark, documents, tables, stage):
+    """Columns with names that stages use themselves come through, and change nothing."""
+    name, run = stage
+    plain = run(spark, documents.select(*BASE), tables)
+    found = run(spark, documents, tables)
+    if name != "packing":
+        assert found.columns == documents.columns
+        same(found.select(*BASE).collect(), plain.collect())
+    else:
+        same([(r.doc_id, r.doc_tokens) for r in found.collect() if r.start == 0], [(r.doc_id, r.doc_tokens) for r in plain.collect() if r.start == 0])
