@@ -257,7 +257,8 @@ def _from(edges: DataFrame, root: int, value: int) -> DataFrame:
 def _bucket(edges: DataFrame, time: str) -> int:
     """Times a job should settle: what its hops settle for certain, or a share of the whole range."""
     span = edges.agg(F.max(time) - F.min(time)).first()[0] or 0
-    return max(HOPS_A_JOB, -(-span // BUCKETS))
+    # A multiple of the hops, so that no job is cut short by the bound.
+    return max(1, -(-span // (BUCKETS * HOPS_A_JOB))) * HOPS_A_JOB
 
 
 def bfs_hops(edges: DataFrame, root: int, max_hops: int | None = None, vertices: DataFrame | None = None) -> DataFrame:
