@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -142,55 +143,44 @@ def same(found, expected):
     assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, expected), key=repr)
 
 
-def line_dedup(rows, min_docs=2, min_tokens=5, similar=0.8, min_left=0.3):
+def line_dedup(rows, min_tokens=5, min_chars=10, similar=0.8, min_left=0.3):
     """(doc_id, n_tokens, n_lines, n_dropped, dropped, kept) of (doc_id, text)."""
     import xxhash
 
-    def signed(text):
-        value = xxhash.xxh64_intdigest((text or "").encode(), 42)
-        return value - (1 << 64) if value >> 63 else value
-
     def hash_of(text):
-        return 42 if text is None else signed(text)
+        value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return value - (1 << 64) if value >> 63 else value
 
-    def mask(line):
-        return ["<*>" if re.search("[0-9]", t) else t for t in BLANK_WORDS.findall(line)]
+    def names(line):
+        """The line itself and its templates; none if it is not compared."""
+        own = tuple(BLANK_WORDS.findall(line))
+        mask = tuple("<*>" if re.search("[0-9]", t) else t for t in own)
+        if len(own) < min_tokens or set(mask) == {"<*>"}:
+            return {own} if len(" ".join(own)) >= min_chars else set()
+        vary = int((1 - similar) * len(mask) + 1e-9)
+        width = max(1, vary // 2)
+        places = range(3, len(mask), width)
+        out = {mask}
+        for holes in itertools.combinations(places, min(vary, 2)) if vary else ():
+            wild = {k for a in holes for k in range(a, a + width)}
+            out.add((holes, tuple(None if k in wild else t for k, t in enumerate(mask))))
+        return out
 
     texts = {}
     for doc_id, text in rows:
         order = (doc_id is None, doc_id or 0, hash_of(text))
         texts[text] = min(texts.get(text, order), order)
-    lines = defaultdict(list)  # by text: (pos, tokens)
-    for text in texts:
-        for pos, line in enumerate((text or "").split("\n")):
-            if mask(line):
-                lines[text].append((pos, tuple(mask(line))))
-    usable = {t for own in lines.values() for _, t in own if len(t) >= min_tokens and set(t) != {"<*>"}}
-    leaves = defaultdict(list)
-    for t in usable:
-        leaves[len(t), t[:3]].append(t)
-    template = {}
-    for leaf in leaves.values():
-        rest = sorted(leaf, key=lambda t: signed(" ".join(t)))
-        while rest:
-            group = [t for t in rest if sum(a == b for a, b in zip(t, rest[0], strict=True)) >= similar * len(t)]
-            made = tuple(own if all(t[k] == own for t in group) else "<*>" for k, own in enumerate(rest[0]))
-            template.update(dict.fromkeys(group, made))
-            rest = [t for t in rest if t not in group]
-    documents = defaultdict(set)
+    lines = {text: [(k, x, names(x)) for k, x in enumerate((text or "").split("\n")) if BLANK_WORDS.search(x)] for text in texts}
+    first = {}
     for text, own in lines.items():
-        for _, t in own:
-            if t in template:
-                documents[template[t]].add(texts[text])
+        for _, _, found in own:
+            for name in found:
+                first[name] = min(first.get(name, texts[text]), texts[text])
     out = []
     for doc_id, text in rows:
-        gone = [
-            (pos, t)
-            for pos, t in lines[text]
-            if t in template and len(documents[template[t]]) >= min_docs and min(documents[template[t]]) != texts[text]
-        ]
-        size = sum(len(t) for _, t in lines[text])
-        left = size - sum(len(t) for _, t in gone)
+        gone = [(pos, x) for pos, x, found in lines[text] if found and min(first[n] for n in found) < texts[text]]
+        size = sum(len(BLANK_WORDS.findall(x)) for _, x, _ in lines[text])
+        left = size - sum(len(BLANK_WORDS.findall(x)) for _, x in gone)
         out.append((doc_id, size, len(lines[text]), len(gone), [pos for pos, _ in gone], left >= min_left * size))
     return out
 

@@ -22,12 +22,34 @@ def test_op6(spark, tables, doc_rows):
     assert any(not x[-1] for x in expected) and any(x[3] and x[-1] for x in expected)
 
 
-def test_large_leaves_are_split(spark, documents):
-    near = [(k, "every field of this line of text is the same but one here : n " + "abcdefgh"[k % 8] * (k + 1)) for k in range(40)]
-    docs = spark.createDataFrame(near, "doc_id long, text string")
-    assert line_templates.line_dedup(docs).where("n_dropped > 0").count() == 39
-    # Split by more leading tokens, all the same here, then by hash: the parts come to one template.
-    assert line_templates.line_dedup(docs, most=8).where("n_dropped > 0").count() == 39
+@pytest.mark.parametrize("names", [8, 4000, 5000, 50_000])
+def test_a_field_is_wild_however_many_values_it_has(spark, names):
+    letters = F.translate(F.hex("id"), "0123456789", "ghijklmnop")
+    text = F.concat(F.lit("Posted by member "), letters, F.lit(" in the forum about garden tools"))
+    docs = spark.range(names).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = line_templates.line_dedup(docs)
+    assert found.where("n_dropped > 0").count() == names - 1
+    assert found.where("n_dropped = 0").first().doc_id == 0
+
+
+def test_lines_without_templates_are_compared_as_they_are(spark):
+    lines = ["All rights reserved.", "2024-01-01 12:30 17", "無断転載を禁じますこの文章", "12 345 6789 10 11 12"]
+    rows = [(k, "\n".join([*lines, "short", f"1{k} 2{k} 3{k} 4{k} 5{k} 6{k}"])) for k in range(6)]
+    found = line_templates.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.dropped for r in found} == {k: [0, 1, 2, 3] if k else [] for k in range(6)}
+
+
+def test_lines_that_differ_in_some_places(spark):
+    words = "this line of text has twelve tokens in all as you see".split()
+    rows = [" ".join(words)]
+    for k, differ in enumerate([(3,), (3, 9), (5, 6), (4, 7, 10), (2,)]):
+        rows.append(" ".join(f"other{chr(97 + k)}" if j in differ else w for j, w in enumerate(words)))
+    found = line_templates.line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    # Two fields may vary, not three, and none of the leading tokens.
+    assert {r.doc_id for r in found if r.n_dropped} == {1, 2, 3}
+    same([(r.doc_id, r.n_tokens, r.n_lines, r.n_dropped, r.dropped, r.kept) for r in found], brute.line_dedup(list(enumerate(rows))))
+    with pytest.raises(ValueError):
+        line_templates.line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), similar=0.3)
 
 
 @pytest.mark.parametrize("max_bytes", [3000, 40_000])
