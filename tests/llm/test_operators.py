@@ -2,6 +2,7 @@
 
 import brute
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import same
@@ -107,6 +108,47 @@ def test_packing_with_prompts_and_limits(spark):
         packing.pack_texts(docs, WORD_BPE, 1, max_segments=0)
 
 
+def packed(docs, **limits):
+    """Pieces by sequence, and the choices of the packer that are not the longest that fits."""
+    packer = packing.Packer(0, **limits)
+    other, place = [], packer._place
+
+    def watched(k, length):
+        fitting = [j for j in range(packer.count) if packer.tokens[j] <= packer.left[0] and packer.loss[j] <= packer.left[1]]
+        if fitting and packer.tokens[k] < max(packer.tokens[j] for j in fitting):
+            other.append(k)
+        place(k, length)
+
+    packer._place = watched
+    for k, (n, prompt) in enumerate(docs):
+        packer.add(k, np.full(n, k, "<u4"), prompt)
+    packer.finish()
+    sequences = {}
+    for _, _, length, _, loss, _, sequence, _ in packer.rows:
+        sequences.setdefault(sequence, []).append((length, loss))
+    return list(sequences.values()), other
+
+
+def test_each_limit_of_packing_binds():
+    drawn = np.random.default_rng(3)
+    docs = [(int(n), int(n * share)) for n, share in zip(drawn.integers(5, 900, 3000), drawn.random(3000), strict=True)]
+    found, other = packed(docs, max_tokens=2048, max_segments=128, max_loss=1280, pool=512)
+    loss = [sum(x for _, x in own) for own in found]
+    assert len(other) > 100 and max(loss) == 1280 and max(sum(n for n, _ in own) for own in found) == 2048
+    # Little is left over for sequences of other sizes.
+    assert sum(sum(n for n, _ in own) == 2048 for own in found) > 0.98 * sum(n for n, _ in docs) / 2048
+    found, _ = packed([(n // 9, 0) for n, _ in docs], max_tokens=2048, max_segments=8, max_loss=1280, pool=512)
+    assert max(map(len, found)) == 8
+    sizes = {sum(n for n, _ in own) for own in packed([(700, 0)] * 300, max_tokens=2048, max_segments=128, max_loss=512, pool=64)[0]}
+    assert all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_prompts_are_the_first_half_of_the_lines(spark):
+    rows = [(1, "a\nb\nc"), (2, "a"), (3, None), (4, ""), (5, "a\n\nb\nc")]
+    found = packing.with_prompts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, "b\nc", "a"), (2, "a", None), (3, None, None), (4, "", None), (5, "b\nc", "a\n")]
+
+
 def test_a_benchmark_in_blocks_gives_the_same(spark, documents, items):
     whole = decontaminate.mark_contaminated(documents, items)
     blocks = decontaminate.mark_contaminated(documents, items, most_words=400)

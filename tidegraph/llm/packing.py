@@ -19,6 +19,8 @@ KINDS = pa.schema(
         for name, kind in (field.split() for field in PIECES.split(", "))
     ]
 )
+# Tokens that may wait in a task, so that very long examples do not add up.
+WAITING = 1 << 22
 
 
 class Packer:
@@ -27,11 +29,12 @@ class Packer:
     Up to ``pool`` open examples wait. A sequence is filled by the dot-product
     rule: of the examples that fit, take the one whose demand (tokens, loss
     tokens, one segment; each as a share of its limit) has the largest dot
-    product with what is left of the sequence. When none fits any more, the one
-    with the largest product is cut so that it fills the rest. A sequence so
+    product with what is left of the sequence. When none fits any more, the
+    longest beginnings that fit are compared in the same way, and the one with
+    the largest product is cut off. A sequence so
     ends short only where the limits on segments or loss tokens end it, and at
-    the end of the task, where what is left is dealt out over sequences with a
-    power of two of tokens.
+    the end of the task. What it holds is then dealt out over sequences with a
+    power of two of tokens, which need no padding.
     """
 
     def __init__(self, part: int, max_tokens: int, max_segments: int, max_loss: int, pool: int):
@@ -54,7 +57,7 @@ class Packer:
             return
         used = self.max_tokens - self.left[0]
         sizes = [used]
-        if used < self.max_tokens and self.count == 0:
+        if used < self.max_tokens:
             sizes = [1 << b for b in range(used.bit_length() - 1, -1, -1) if used >> b & 1]
         pieces = iter(self.placed)
         doc_id, ids, prompt, at, length, total = next(pieces)
@@ -70,12 +73,6 @@ class Packer:
             self.next_id += 1
         self._open()
 
-    def _fits(self, item: list, tokens: int, loss: int) -> int:
-        """The longest beginning of what is left of ``item`` within both limits."""
-        _, ids, prompt, at, _ = item
-        most = min(tokens, len(ids) - at)
-        return min(most, max(0, prompt - at) + loss)
-
     def _place(self, k: int, length: int) -> None:
         item = self.items[k]
         doc_id, ids, prompt, at, total = item
@@ -94,30 +91,24 @@ class Packer:
         """Place one example, or a part of it, or close the sequence."""
         left = np.array(self.left) / self.limits
         tokens, loss = self.tokens[: self.count], self.loss[: self.count]
-        product = tokens * (left[0] / self.limits[0]) + loss * (left[1] / self.limits[1])  # the segment counts alike for all
-        fitting = (tokens <= self.left[0]) & (loss <= self.left[1])
-        if fitting.any():
-            k = int(np.argmax(np.where(fitting, product, -1.0)))
-            self._place(k, int(tokens[k]))
-        else:
-            k = int(np.argmax(product))
-            length = self._fits(self.items[k], self.left[0], self.left[1])
-            if length == 0:
-                # Its next token bears loss and no more may; another may have a prompt left.
-                lengths = [self._fits(self.items[j], self.left[0], self.left[1]) for j in range(self.count)]
-                k = int(np.argmax(lengths))
-                length = lengths[k]
-            if length == 0:
-                self._close()
-                return
-            self._place(k, length)
+        # What of each example may be placed: its prompt comes first and bears no loss.
+        prompt = tokens - loss
+        length = np.minimum(np.minimum(tokens, self.left[0]), prompt + self.left[1])
+        bears = np.maximum(length - prompt, 0)
+        product = length * (left[0] / self.limits[0]) + bears * (left[1] / self.limits[1])  # the segment counts alike for all
+        fitting = length == tokens
+        k = int(np.argmax(np.where(fitting, product, -1.0) if fitting.any() else product))
+        if length[k] == 0:
+            self._close()
+            return
+        self._place(k, int(length[k]))
         if 0 in (self.left[0], self.left[2]):
             self._close()
 
     def add(self, doc_id: int | None, ids: np.ndarray, prompt: int) -> None:
         total, at = len(ids), 0
-        # What fills a sequence by itself need not wait.
-        while total - at >= self.max_tokens and at + self.max_tokens - max(at, prompt) <= self.max_loss:
+        # What fills a sequence by itself need not wait, unless prompts have to go with loss tokens of others.
+        while total - at >= self.max_tokens <= self.max_loss:
             loss = max(0, at + self.max_tokens - max(at, prompt))
             piece = ids[at : at + self.max_tokens].tobytes()
             self.rows.append((doc_id, at, self.max_tokens, piece, loss, total, self.next_id, 0))
@@ -132,6 +123,8 @@ class Packer:
         if self.count == 2 * self.pool:
             while self.count > self.pool:
                 self._step()
+        while self.tokens[: self.count].sum() > WAITING:
+            self._step()
 
     def finish(self) -> None:
         while self.count:
@@ -145,6 +138,19 @@ class Packer:
         return made
 
 
+def with_prompts(documents: DataFrame) -> DataFrame:
+    """``doc_id, text, prompt``: the first half of a document's lines, rounded down, is its prompt.
+
+    The line feed between the halves belongs to neither; it makes no token. A
+    text of one line has no prompt, a null text is null.
+    """
+    lines = F.split("text", "\n")
+    half = F.floor(F.size(lines) / 2).cast("int")
+    prompt = F.when(half > 0, F.array_join(F.slice(lines, F.lit(1), half), "\n"))
+    rest = F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n")
+    return documents.select("doc_id", F.when(F.col("text").isNotNull(), rest).alias("text"), prompt.alias("prompt"))
+
+
 def pack_texts(
     examples: DataFrame,
     tokenizer: str,

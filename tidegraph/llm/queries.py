@@ -11,6 +11,8 @@ from tidegraph.llm.common import table
 from tidegraph.runtime import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
+# Tokens of a sequence that may bear loss; some 60 of 100 tokens of the documents do.
+MAX_LOSS = 1280
 
 
 def word_bpe() -> str:
@@ -30,10 +32,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of 2048 tokens; one row for each piece."""
-    from tidegraph.llm.packing import pack_texts
+    """Pack all documents, half of whose lines bear loss, into sequences of 2048 tokens; one row for each piece."""
+    from tidegraph.llm.packing import pack_texts, with_prompts
 
-    pieces = pack_texts(table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
+    documents = with_prompts(table(spark, sf_dir, "documents"))
+    pieces = pack_texts(documents, word_bpe(), end_id=1, max_loss=MAX_LOSS, prompt="prompt")
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
     )
