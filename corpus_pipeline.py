@@ -15,8 +15,8 @@ from tidegraph.llm.common import table
 from tidegraph.llm.decontaminate import decontaminate
 from tidegraph.llm.line_frequency import apply_quality_rules
 from tidegraph.llm.line_templates import apply_line_dedup
-from tidegraph.llm.packing import pack_texts
-from tidegraph.llm.queries import word_bpe
+from tidegraph.llm.packing import pack_texts, with_prompts
+from tidegraph.llm.queries import MAX_LOSS, word_bpe
 from tidegraph.llm.simhash import drop_near_duplicates
 from tidegraph.runtime import scratch_path
 
@@ -42,8 +42,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences of 2048 tokens."""
-    pieces = pack_texts(docs, word_bpe(), end_id=1)
+    """Pieces of documents in training sequences of 2048 tokens, with limits on loss tokens and segments."""
+    pieces = pack_texts(with_prompts(docs), word_bpe(), end_id=1, max_loss=MAX_LOSS, prompt="prompt")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
