@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.tokens import encoder
@@ -38,14 +38,13 @@ class Packer:
     """
 
     def __init__(self, part: int, max_tokens: int, max_segments: int, max_loss: int, pool: int):
-        self.limits = np.array([max_tokens, max_loss, max_segments], dtype=np.float64)
         self.max_tokens, self.max_segments, self.max_loss, self.pool = max_tokens, max_segments, max_loss, pool
         self.next_id = part << 40
         self.rows: list[tuple] = []
         self.items: list[list] = [None] * (2 * pool)  # doc_id, ids, prompt, at, all tokens
         self.tokens = np.zeros(2 * pool)
         self.loss = np.zeros(2 * pool)
-        self.count = 0
+        self.count = self.waiting = 0
         self._open()
 
     def _open(self) -> None:
@@ -80,6 +79,7 @@ class Packer:
         self.placed.append((doc_id, ids, prompt, at, length, total))
         self.left = [self.left[0] - length, self.left[1] - loss, self.left[2] - 1]
         item[3] = at + length
+        self.waiting -= length
         if item[3] < len(ids):
             self.tokens[k], self.loss[k] = len(ids) - item[3], self.loss[k] - loss
             return
@@ -89,13 +89,13 @@ class Packer:
 
     def _step(self) -> None:
         """Place one example, or a part of it, or close the sequence."""
-        left = np.array(self.left) / self.limits
+        by_tokens, by_loss = self.left[0] / self.max_tokens**2, self.left[1] / self.max_loss**2
         tokens, loss = self.tokens[: self.count], self.loss[: self.count]
         # What of each example may be placed: its prompt comes first and bears no loss.
         prompt = tokens - loss
         length = np.minimum(np.minimum(tokens, self.left[0]), prompt + self.left[1])
         bears = np.maximum(length - prompt, 0)
-        product = length * (left[0] / self.limits[0]) + bears * (left[1] / self.limits[1])  # the segment counts alike for all
+        product = length * by_tokens + bears * by_loss  # the segment counts alike for all
         fitting = length == tokens
         k = int(np.argmax(np.where(fitting, product, -1.0) if fitting.any() else product))
         if length[k] == 0:
@@ -123,7 +123,8 @@ class Packer:
         if self.count == 2 * self.pool:
             while self.count > self.pool:
                 self._step()
-        while self.tokens[: self.count].sum() > WAITING:
+        self.waiting += total - at
+        while self.waiting > WAITING:
             self._step()
 
     def finish(self) -> None:
@@ -144,11 +145,14 @@ def with_prompts(documents: DataFrame) -> DataFrame:
     The line feed between the halves belongs to neither; it makes no token. A
     text of one line has no prompt, a null text is null.
     """
-    lines = F.split("text", "\n")
-    half = F.floor(F.size(lines) / 2).cast("int")
-    prompt = F.when(half > 0, F.array_join(F.slice(lines, F.lit(1), half), "\n"))
-    rest = F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n")
-    return documents.select("doc_id", F.when(F.col("text").isNotNull(), rest).alias("text"), prompt.alias("prompt"))
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    half = F.floor(lines / 2).cast("int")
+
+    def part(count: Column) -> Column:
+        return F.call_function("substring_index", F.col("text"), F.lit("\n"), count)
+
+    prompt = F.when(half > 0, part(half))
+    return documents.select("doc_id", part(half - lines).alias("text"), prompt.alias("prompt"))
 
 
 def pack_texts(
