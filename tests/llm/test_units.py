@@ -31,6 +31,18 @@ def test_elias_fano_gives_back_every_number(steps):
     assert [again.select(k) for k in range(len(values))] == values.tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=1500), st.data())
+def test_elias_fano_decodes_any_stretch(steps, data):
+    values = np.cumsum(np.array(steps, np.int64))
+    made = EliasFano.encode(values)
+    first = data.draw(st.integers(0, len(values)))
+    last = data.draw(st.integers(first, len(values)))
+    assert made.between(first, last).tolist() == values[first:last].tolist()
+    value = data.draw(st.integers(-1, int(values[-1]) + 1))
+    assert made.place_after(value, first) == max(first, int(np.searchsorted(values, value, side="right")))
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(1).integers(0, 1000, 100_000))
     bits = 8 * sum(map(len, EliasFano.encode(values).parts()))

@@ -63,12 +63,32 @@ class EliasFano:
         position = byte * 8 + (current & -current).bit_length() - 1
         return ((position - i) << self.low_bits) | int(self._lows(i, i + 1)[0])
 
+    def between(self, first: int, last: int) -> np.ndarray:
+        """The numbers from place ``first`` to before place ``last``; only the bits around them are decoded."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        begin, after = int(self.samples[first // SAMPLE]), -(-last // SAMPLE)
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")) + begin // 8 * 8
+        ones = ones[ones >= begin][first % SAMPLE :][: last - first]
+        return ((ones - np.arange(first, last)) << self.low_bits) | self._lows(first, last)
+
+    def place_after(self, value: int, first: int = 0) -> int:
+        """The first place from ``first`` on whose number is over ``value``, by halving with ``select``."""
+        low, high = first, self.n
+        while low < high:
+            middle = (low + high) // 2
+            if self.select(middle) > value:
+                high = middle
+            else:
+                low = middle + 1
+        return low
+
     def all(self) -> np.ndarray:
         """All numbers in order."""
-        if self.n == 0:
-            return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._lows(0, self.n)
+        return self.between(0, self.n)
 
     def parts(self) -> tuple[bytes, bytes, bytes]:
         return self.high.tobytes(), self.low.tobytes(), self.samples.tobytes()

@@ -155,8 +155,9 @@ def read_token_files(spark: SparkSession, folder: str, tasks: int | None = None)
     """All documents of ``folder``: ``doc_id, start, n_tokens, ids, file``.
 
     ``start`` counts the ids of all documents before, ``ids`` are little-endian
-    unsigned 32-bit numbers. A file is read by one task, some thousand
-    documents at a time.
+    unsigned 32-bit numbers. A file is read by one task, about a million ids or
+    65,536 documents at a time: ``select`` on the coded boundaries finds where
+    such a block ends, and only its own offsets are decoded.
     """
     files = read_manifest(spark, folder)
     if tasks is None:
@@ -169,18 +170,21 @@ def read_token_files(spark: SparkSession, folder: str, tasks: int | None = None)
             for row in batch.to_pylist():
                 with system.open_input_file(f"{root}/{row['file']}") as source:
                     opened = TokenFile(source)
-                    bounds = opened.bounds.all()
+                    bounds = opened.bounds
                     first = 0
                     while first < opened.n_docs:
                         # About a million ids at a time, one document at least.
-                        last = int(np.searchsorted(bounds, bounds[first] + (1 << 20), side="right")) - 1
-                        last = min(max(last, first + 1), opened.n_docs)
-                        block = opened.slice(int(bounds[first]), int(bounds[last])).astype("<u4")
-                        at = bounds[first : last + 1] - bounds[first]
+                        begin = bounds.select(first)
+                        last = bounds.place_after(begin + (1 << 20), first + 1) - 1
+                        last = min(max(last, first + 1), opened.n_docs, first + (1 << 16))
+                        # Offsets of this block alone; the code of all others stays as it is.
+                        starts = bounds.between(first, last + 1)
+                        block = opened.slice(begin, int(starts[-1])).astype("<u4")
+                        at = starts - begin
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "doc_id": pa.array([opened.doc_id(k) for k in range(first, last)], pa.int64()),
-                                "start": pa.array(bounds[first:last] + row["start"], pa.int64()),
+                                "start": pa.array(starts[:-1] + row["start"], pa.int64()),
                                 "n_tokens": pa.array(np.diff(at), pa.int64()),
                                 "ids": pa.array([block[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
                                 "file": pa.array([row["file"]] * (last - first), pa.string()),
