@@ -187,15 +187,25 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np
     return score.argmax(axis=1)
 
 
-def exchange(codes: DataFrame, unit_of_code: np.ndarray, class_of_unit: np.ndarray, classes: int) -> np.ndarray:
-    """One round of exchange clustering: every unit moves to its best class.
+def likelihood(pairs: np.ndarray) -> float:
+    """Natural log-likelihood of the training tokens under these class pairs, less what no class changes."""
+
+    def part(n: np.ndarray) -> float:
+        n = n[n > 0]
+        return float(n @ np.log(n))
+
+    return part(pairs) - part(pairs.sum(axis=0)) - part(pairs.sum(axis=1))
+
+
+def exchange(codes: DataFrame, unit_of_code: np.ndarray, class_of_unit: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """One round of exchange clustering: every unit moves to its best class, given the class ``pairs`` so far.
 
     Tasks count the classes around each unit and send a row for each unit they
     met; a unit's rows are summed by one task, which picks its class. The
     driver gets one class for each unit, of which there are
     ``1 / OWN_SHARE + ENDINGS`` at most.
     """
-    pairs = class_bigrams(codes, class_of_unit[unit_of_code], classes)
+    classes = len(pairs)
     context = codes.sparkSession.sparkContext
     shared = context.broadcast((unit_of_code, class_of_unit, pairs))
     width = 2 * classes
@@ -251,14 +261,24 @@ class BrownModel:
 
 
 def train(codes: DataFrame, words: Vocabulary, classes: int = 64, rounds: int = 5) -> BrownModel:
-    """Cluster by ``rounds`` of exchange, beginning with units dealt out in turn, then count."""
+    """Cluster by exchange, beginning with units dealt out in turn, then count.
+
+    A round counts only if the likelihood rises by it. The first that does not
+    raise it, or moves nothing, ends the clustering; ``rounds`` bounds them.
+    """
     unit_of_code = words.unit_of_code()
     class_of_unit = np.arange(words.own + ENDINGS + 1) % classes
     training = codes.where(~F.col("held_out")).select("codes")
+    pairs = class_bigrams(training, class_of_unit[unit_of_code], classes)
     for _ in range(rounds):
-        class_of_unit = exchange(training, unit_of_code, class_of_unit, classes)
+        moved = exchange(training, unit_of_code, class_of_unit, pairs)
+        if np.array_equal(moved, class_of_unit):
+            break
+        after = class_bigrams(training, moved[unit_of_code], classes)
+        if likelihood(after) <= likelihood(pairs):
+            break
+        class_of_unit, pairs = moved, after
     class_of_code = class_of_unit[unit_of_code]
-    pairs = class_bigrams(training, class_of_code, classes)
     transition = np.log10((pairs + ADD) / (pairs.sum(axis=1, keepdims=True) + ADD * classes))
     counts = np.r_[words.counts, words.ending_counts, words.ends]
     kinds = np.r_[np.ones(len(words.words)), words.ending_kinds, float(words.ends > 0)]
