@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from bruteforce import OPEN, relax, rows
@@ -242,3 +243,33 @@ def test_a_loop_refuses_hops_by_bucket(spark):
     frame = spark.createDataFrame([(1, 2)], "src long, dst long")
     with pytest.raises(ValueError):
         paths.relax(frame, paths._from(frame, 1, 0), HOP_STEP, max_hops=3, bucket=2)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_search_takes_the_tasks_its_edges_fill(spark, wide, jobs, many_partitions):
+    """However wide the session is: every task tells the driver about itself, at every hop."""
+    edges = random_intervals(random.Random(9), 40, 100)
+    pairs = spark.createDataFrame([e[:2] for e in edges], "src long, dst long")
+    before = spark.createDataFrame([(edges[0][0], 0), (edges[1][0], 3)], "id long, hops long")
+    best, _ = relax(edges, {edges[0][0]: 2, edges[1][0]: 2}, lambda x, e: x + 1, 100)
+    earlier = {edges[1][0]: 3, edges[0][0]: 0}
+    found = paths.bfs_incremental(pairs, before, edges[0][0], 2)
+    plans = [plan for _, plan, seen in jobs if "changed" in seen]
+    widths = {int(n) for plan in plans for n in re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\)", plan)}
+    assert widths == {2}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    assert rows(found) == sorted((v, min(x, earlier.get(v, x))) for v, x in best.items())
+
+
+def test_a_search_that_fails_leaves_the_settings(spark, wide, many_partitions):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100)], "src long, dst long")
+    with pytest.raises(Exception):
+        paths.relax(edges, paths._from(edges, 0, 0), "raise_error('no step') + value")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "64"

@@ -7,6 +7,8 @@ vertices changed or wait in a job come back to the driver.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -29,8 +31,12 @@ CHANGES_APART = 4
 
 
 def _partitions(edge_count: int, configured: int) -> int:
-    """The session's width, so that shuffles fit without a setting; one partition for a small graph."""
-    return 1 if edge_count <= FEW_EDGES else configured
+    """As many partitions as the edges fill, at most the session's; one for a small graph.
+
+    Every task of every hop reports its metrics to the driver, so a search in
+    more tasks than its rows need sends more there than it finds.
+    """
+    return 1 if edge_count <= FEW_EDGES else max(1, min(configured, -(-edge_count // (2 * FEW_EDGES))))
 
 
 # A row of the loop is a vertex with the best value offered so far. Its value
@@ -54,9 +60,11 @@ class Relaxation:
 
     A vertex with more than ``hub_edges`` out-edges has its edges dealt out
     over as many slots as it needs, and is sent to all of them. Graphs of at
-    most ``FEW_EDGES`` edges are in one partition and shuffle nothing. No
-    setting of the session is touched and nothing is broadcast by hint but a
-    list of hubs that was counted.
+    most ``FEW_EDGES`` edges are in one partition and shuffle nothing. Larger
+    ones have a partition for each ``2 * FEW_EDGES`` edges; the session's number
+    of shuffle partitions is set to that while a job is written, so that its
+    shuffles fit the edges, and put back. A hop sends no table through the
+    driver: it broadcasts nothing but a list of hubs that was counted.
     """
 
     def __init__(self, edges: DataFrame, step: str, vertices: DataFrame | None = None, hub_edges: int = HUB_EDGES):
@@ -104,18 +112,28 @@ class Relaxation:
         self.views.append(name)
         return name
 
+    @contextmanager
+    def _shuffles_in_place(self) -> Iterator[None]:
+        """Shuffles planned meanwhile have the partitions of the edges."""
+        name, conf = "spark.sql.shuffle.partitions", self.spark.conf
+        before = conf.get(name)
+        conf.set(name, str(self.width))
+        try:
+            yield
+        finally:
+            conf.set(name, before)
+
     def _in_place(self, rows: DataFrame, *keys: str) -> DataFrame:
         return rows.coalesce(1) if self.width == 1 else rows.repartition(self.width, *keys)
 
     def _hop(self, reached: DataFrame, known: list[str]) -> DataFrame:
         """``reached`` and what it offers, the best of every vertex.
 
-        A merge join reads both sides where they are, in order; the few edges
-        of a single partition are left to Spark, which finds them small enough
-        to broadcast. Offers no better than in one of the ``known`` tables are
-        dropped; ``held`` is the best value there.
+        A merge join reads both sides where they are, in order. Without the
+        hint Spark may find a side small enough to broadcast, and would collect
+        it anew at every hop. Offers no better than in one of the ``known``
+        tables are dropped; ``held`` is the best value there.
         """
-        merge = "" if self.width == 1 else "/*+ MERGE(e) */"
         rows = "SELECT *, shiftright(code, 2) AS value, code & 2 <> 0 AND shiftright(code, 2) < bound AS sent FROM "
         rows += self._view(reached)
         meets = "g.id = e.src AND g.sent"
@@ -127,7 +145,7 @@ class Relaxation:
             meets += " AND g.at = e.slot"
         best = f"""
             SELECT id, min(code) AS code, min(hops) AS hops, max(bound) AS bound, max(level) AS level FROM (
-                SELECT {merge} coalesce(e.dst, g.id) AS id, bound, level + 1 AS level,
+                SELECT /*+ MERGE(e) */ coalesce(e.dst, g.id) AS id, bound, level + 1 AS level,
                        CASE WHEN e.dst IS NOT NULL THEN shiftleft({self.step}, 2) + {_WAITS | _NEW}
                             WHEN g.sent THEN code - {_WAITS} ELSE code END AS code,
                        CASE WHEN e.dst IS NOT NULL THEN level + 1 ELSE hops END AS hops
@@ -137,7 +155,7 @@ class Relaxation:
             return self.spark.sql(best)
         held = ", ".join(f"{table}.value" for table in known)
         tables = " ".join(f"LEFT JOIN {table} ON b.id = {table}.id" for table in known)
-        best = f"SELECT b.*, {f'least({held})' if len(known) > 1 else held} AS held FROM ({best}) b {tables}"
+        best = f"SELECT /*+ MERGE({', '.join(known)}) */ b.*, {f'least({held})' if len(known) > 1 else held} AS held FROM ({best}) b {tables}"
         return self.spark.sql(f"SELECT * FROM ({best}) WHERE held IS NULL OR code & {_NEW} = 0 OR shiftright(code, 2) < held")
 
     def _job(self, pending: DataFrame, bound: int, done: int, hops: int, known: list[str]) -> DataFrame:
@@ -191,17 +209,19 @@ class Relaxation:
             elif bound is None or low >= bound:
                 bound = low + bucket
             waits, new = F.col("waits"), F.col("new")
-            pending, seen = rounds.keep_observed(
-                self._job(pending, bound, done, hops, names), n=F.count_if(waits), low=F.min(F.when(waits, F.col("value"))), changed=F.count_if(new),
-                first=F.count_if(new & F.col("first")),
-            )
+            with self._shuffles_in_place():
+                pending, seen = rounds.keep_observed(
+                    self._job(pending, bound, done, hops, names), n=F.count_if(waits), low=F.min(F.when(waits, F.col("value"))), changed=F.count_if(new),
+                    first=F.count_if(new & F.col("first")),
+                )
             waiting, low, done = seen["n"], seen["low"], done + hops
             reached += seen["first"]
             own.append((pending, seen["changed"]))
             known.append(self._known_again(pending.where("new")))
             names.append(self._view(known[-1]))
             if len(own) > CHANGES_APART or sum(n for _, n in own[1:]) > own[0][1] > FEW_EDGES:
-                merged, count = rounds.keep(self._best([t if k == 0 else t.where("new") for k, (t, _) in enumerate(own)]))
+                with self._shuffles_in_place():
+                    merged, count = rounds.keep(self._best([t if k == 0 else t.where("new") for k, (t, _) in enumerate(own)]))
                 for table in known:
                     table.unpersist()
                 own, known = [(merged, count)], [self._known_again(merged)]
@@ -215,7 +235,7 @@ class Relaxation:
     def _known_again(self, table: DataFrame) -> DataFrame:
         """A stored table in place: read where it is used, in one partition; else dealt out once and kept."""
         placed = self._in_place(table.select("id", "value", "hops"), "id")
-        return placed if self.width == 1 else placed.persist(StorageLevel.MEMORY_AND_DISK)
+        return placed if self.width == 1 else placed.sortWithinPartitions("id").persist(StorageLevel.MEMORY_AND_DISK)
 
     @staticmethod
     def _best(tables: list[DataFrame]) -> DataFrame:
