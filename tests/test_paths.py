@@ -273,3 +273,14 @@ def test_a_search_that_fails_leaves_the_settings(spark, wide, many_partitions):
     with pytest.raises(Exception):
         paths.relax(edges, paths._from(edges, 0, 0), "raise_error('no step') + value")
     assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+
+
+@pytest.mark.parametrize("few", [1 << 17, 30])
+def test_hops_broadcast_nothing(spark, monkeypatch, jobs, few):
+    """A small table is not collected by the driver anew at every hop, in one partition or several."""
+    monkeypatch.setattr(paths, "FEW_EDGES", few)
+    frame = spark.createDataFrame([(0 if k % 20 == 0 else k, k + 1) for k in range(100)], "src long, dst long")
+    assert rows(paths.bfs_hops(frame, 0)) == [(0, 0)] + [(k + 1, k % 20 + 1) for k in range(100)]
+    plans = [plan for _, plan, seen in jobs if "changed" in seen]
+    assert len(plans) >= 20 / paths.HOPS_A_JOB
+    assert not [plan for plan in plans if "Broadcast" in plan]
