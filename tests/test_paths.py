@@ -284,3 +284,17 @@ def test_hops_broadcast_nothing(spark, monkeypatch, jobs, few):
     plans = [plan for _, plan, seen in jobs if "changed" in seen]
     assert len(plans) >= 20 / paths.HOPS_A_JOB
     assert not [plan for plan in plans if "Broadcast" in plan]
+
+
+def test_windows_are_searched_in_place(spark, monkeypatch, jobs, many_partitions):
+    """Over several partitions: no wider than the window's edges, without broadcasts, and the same arrivals."""
+    monkeypatch.setattr(paths, "FEW_EDGES", 30)
+    edges = random_intervals(random.Random(6), 60, 400)
+    frame = spark.createDataFrame(edges, "src long, dst long, start_tick long, end_tick long")
+    seen = [(a, b, start, OPEN if end > 20 else end) for a, b, start, end in edges if 4 <= start < 18]
+    best, _ = relax(seen, {1: 0}, clock, 100)
+    assert rows(paths.window_clock_arrival(frame, 1, 4, 18)) == sorted(best.items())
+    plans = [plan for _, plan, figures in jobs if "changed" in figures]
+    widths = {int(n) for plan in plans for n in re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\)", plan)}
+    assert widths == {-(-len(seen) // 60)}
+    assert not [plan for plan in plans if "Broadcast" in plan]
